@@ -82,7 +82,7 @@ select 'p2' as layer, row, col, case when (row + col) % 31 = 0 then -9999e0 else
 select 'soil' as layer, cast(row as int) as row, cast(col as int) as col,
   case when (row * 3 + col) % 17 = 0 then null else v end as value
 from (select cast(floor(row / 2) as int) as row, cast(floor(col / 2) as int) as col,
-        cast(max(p2) as double) as v from fx_cells group by 1, 2) t""",
+        max(p2) / 7.77e0 as v from fx_cells group by 1, 2) t""",
     "fx_env": """
 select vec_id as pid, case when label < 3 then 1 else 0 end as label, {env} from embeddings""",
     "fx_importance": """
@@ -99,7 +99,7 @@ select algorithm, replicate, feature, grid_i,
   (q * 17 % 1000) / 1000e0 as pred
 from (select case cast(l_suppkey as int) % 3 when 0 then 'lr' when 1 then 'rf' else 'enfa' end as algorithm,
         cast(l_partkey % 4 as int) as replicate, concat('f', cast(cast(l_linenumber as int) % 3 as varchar(10))) as feature,
-        cast(l_quantity as int) - 1 as grid_i, cast(sum(cast(l_extendedprice as int)) as bigint) as q
+        cast(l_quantity as int) - 1 as grid_i, cast(sum(cast(floor(l_extendedprice) as bigint)) as bigint) as q
       from lineitem group by 1, 2, 3, 4) t""",
 }
 _TABLES = ("lineitem", "events", "embeddings")

@@ -99,15 +99,23 @@ def _sums(rows, predictors, lows, steps, intervals, beta):
     return flat[:size * size].reshape(size, size), flat[size * size:]
 
 
+def _pieces(coef) -> np.ndarray:
+    """Polynomial coefficients (constant first) of the curve on each interval."""
+    unit = np.array([[1, -3, 3, -1], [4, 0, -6, 3], [1, 3, 3, -3], [0, 0, 0, 1]]) / 6.0
+    c = np.asarray(coef)
+    return np.array([c[j:j + ORDER + 1] @ unit for j in range(len(c) - ORDER)])
+
+
 def _smooth_term(col, lo, step, intervals, coef):
     high = lo + step * intervals
     inside = F.least(F.lit(high), F.greatest(F.lit(lo), col))
     t = (inside - lo) / step
-    j = F.least(F.lit(float(intervals - 1)), F.floor(t).cast("double"))
-    held = F.array(*[F.lit(float(c)) for c in coef])
-    value = F.lit(0.0)
-    for k, w in enumerate(_weights(t - j)):
-        value = value + w * F.element_at(held, (j + (k + 1.0)).cast("int"))
+    j = F.least(F.lit(intervals), F.floor(t).cast("int") + 1)  # 1-based interval
+    u = t - (j - 1)
+    constant, *powers = [F.element_at(F.array(*[F.lit(float(v)) for v in k]), j) for k in _pieces(coef).T]
+    value = powers[2]
+    for k in (powers[1], powers[0], constant):
+        value = value * u + k
     # Beyond the training range the curve goes on straight.
     left, right = (coef[2] - coef[0]) / (2 * step), (coef[-1] - coef[-3]) / (2 * step)
     slope = F.when(col < lo, F.lit(float(left))).otherwise(F.lit(float(right)))
@@ -120,8 +128,7 @@ def _probability(model: Model):
     for i, p in enumerate(model.predictors):
         coef = st["coef"][1 + i * n:1 + (i + 1) * n]
         eta = eta + _smooth_term(F.col(p), st["lows"][i], st["steps"][i], st["intervals"], coef)
-    p = logistic(eta)
-    return F.when(F.isnan(p), F.lit(0.5)).otherwise(p)
+    return F.nanvl(logistic(eta), F.lit(0.5))
 
 
 score = by_formula(_probability)

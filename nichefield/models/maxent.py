@@ -42,28 +42,38 @@ def feature_classes_column(n_presence):
     return F.array_compact(F.array(*wanted))
 
 
-def _terms(predictors, lows, highs, classes, knots):
-    """(class, column) of every feature; predictors are scaled to and clamped at [0, 1]."""
-    unit = []
-    for p, lo, hi in zip(predictors, lows, highs):
-        span = hi - lo if hi > lo else 1.0
-        unit.append(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col(p) - lo) / span)))
-    out = []
+def _unit(predictors, lows, highs):
+    """Predictors scaled to, and clamped at, [0, 1]."""
+    return [F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col(p) - lo) / (hi - lo if hi > lo else 1.0)))
+            for p, lo, hi in zip(predictors, lows, highs)]
+
+
+def _layout(p: int, classes, knots: int) -> list[str]:
+    """Class of every feature, in the order ``_expanded`` builds them."""
+    sizes = {"linear": p, "quadratic": p, "product": p * (p - 1) // 2, "hinge": 2 * p * knots,
+             "threshold": p * (knots - 1)}
+    return [c for c in sizes if c in classes for _ in range(sizes[c])]
+
+
+def _expanded(unit, classes, knots: int):
+    """All features of a row as one array: linear, quadratic, product, hinge, threshold."""
+    parts, every = [], F.array(*unit)
+    starts = F.array(*[F.lit(i / knots) for i in range(knots)])
     if "linear" in classes:
-        out += [("linear", u) for u in unit]
+        parts.append(every)
     if "quadratic" in classes:
-        out += [("quadratic", u * u) for u in unit]
-    if "product" in classes:
-        out += [("product", a * b) for a, b in combinations(unit, 2)]
-    steps = [i / knots for i in range(knots)]
-    if "hinge" in classes:
-        for u in unit:
-            out += [("hinge", F.greatest(F.lit(0.0), (u - k) / (1.0 - k))) for k in steps]
-            out += [("hinge", F.greatest(F.lit(0.0), (F.lit(1.0 - k) - u) / (1.0 - k))) for k in steps]
+        parts.append(F.transform(every, lambda u: u * u))
+    if "product" in classes and len(unit) > 1:
+        parts.append(F.array(*[a * b for a, b in combinations(unit, 2)]))
+    if "hinge" in classes:  # rising from each knot, then falling towards each mirrored knot
+        for side in (lambda u: u, lambda u: 1.0 - u):
+            parts.append(F.flatten(F.transform(every, lambda u: F.transform(
+                starts, lambda k: F.greatest(F.lit(0.0), (side(u) - k) / (1.0 - k))))))
     if "threshold" in classes:
-        for u in unit:
-            out += [("threshold", F.when(u >= k, 1.0).otherwise(0.0)) for k in steps[1:]]
-    return out
+        inner = F.slice(starts, 2, knots - 1)
+        parts.append(F.flatten(F.transform(every, lambda u: F.transform(
+            inner, lambda k: F.when(u >= k, 1.0).otherwise(0.0)))))
+    return F.concat(*parts)
 
 
 def fit(df, predictors, label, seed, feature_types, beta_multiplier, n_hinge_features, max_iter) -> Model:
@@ -77,14 +87,15 @@ def fit(df, predictors, label, seed, feature_types, beta_multiplier, n_hinge_fea
     classes = tuple(feature_types) if feature_types else feature_classes(n1)
     if set(classes) - set(CLASSES):
         raise ValueError(f"feature classes must be among {CLASSES}")
-    terms = _terms(predictors, lows, highs, classes, n_hinge_features)
+    kinds = _layout(len(predictors), classes, n_hinge_features)
+    features = _expanded(_unit(predictors, lows, highs), classes, n_hinge_features)
     weight = F.when(F.col("label") == 1, F.lit(PRESENCE_WEIGHT)).otherwise(F.lit(BACKGROUND_WEIGHT))
     data = rows.select("label", weight.alias("w"),
-                       array_to_vector(F.array(*[c for _, c in terms])).alias("raw")).persist()
+                       array_to_vector(features).alias("raw")).persist()
     try:
         spread = data.where("label = 1").select(Summarizer.metrics("std").summary(F.col("raw")).alias("s")).first()
         std = np.nan_to_num(spread.s.std.toArray())
-        base = np.array([np.interp(n1, *PENALTY[c]) for c, _ in terms])
+        base = np.array([np.interp(n1, *PENALTY[c]) for c in kinds])
         # A penalty per feature is a rescaled feature under one common penalty.
         penalty = np.maximum(beta_multiplier * base * std / np.sqrt(n1), PENALTY_FLOOR)
         scaled = ElementwiseProduct(scalingVec=Vectors.dense(1.0 / penalty), inputCol="raw", outputCol="features")
@@ -110,9 +121,37 @@ def fit(df, predictors, label, seed, feature_types, beta_multiplier, n_hinge_fea
 
 
 def _linear(model: Model):
-    st = model.state
-    terms = _terms(model.predictors, st["lows"], st["highs"], st["classes"], model.params["n_hinge_features"])
-    return weighted_sum([c for _, c in terms], st["coef"])
+    """The fitted sum. Hinges and thresholds share one knot grid, so per predictor they add up to
+    a table of values at the knots: straight lines between them, plus steps at them."""
+    st, knots = model.state, model.params["n_hinge_features"]
+    unit = _unit(model.predictors, st["lows"], st["highs"])
+    p, at, coef = len(unit), 0, np.asarray(st["coef"])
+    eta = F.lit(0.0)
+
+    def take(n):
+        nonlocal at
+        at += n
+        return coef[at - n:at]
+
+    if "linear" in st["classes"]:
+        eta = weighted_sum(unit, take(p))
+    if "quadratic" in st["classes"]:
+        eta = eta + weighted_sum([u * u for u in unit], take(p))
+    if "product" in st["classes"] and p > 1:
+        eta = eta + weighted_sum([a * b for a, b in combinations(unit, 2)], take(p * (p - 1) // 2))
+    nodes, starts = np.arange(knots + 1) / knots, np.arange(knots) / knots
+    ramp = np.maximum(0.0, (nodes[:, None] - starts) / (1.0 - starts))
+    if "hinge" in st["classes"]:
+        lines = take(p * knots).reshape(p, knots) @ ramp.T + take(p * knots).reshape(p, knots) @ ramp[::-1].T
+        for u, line in zip(unit, lines):
+            j = F.least(F.lit(knots), F.floor(u * knots).cast("int") + 1)
+            held, rise = (F.array(*[F.lit(float(v)) for v in t]) for t in (line[:-1], np.diff(line)))
+            eta = eta + F.element_at(held, j) + F.element_at(rise, j) * (u * knots - (j - 1))
+    if "threshold" in st["classes"]:
+        for u, step in zip(unit, take(p * (knots - 1)).reshape(p, knots - 1)):
+            passed = [F.when(u >= k, F.lit(float(w))).otherwise(0.0) for k, w in zip(starts[1:], step)]
+            eta = eta + weighted_sum(passed, np.ones(len(passed)))
+    return eta
 
 
 score = by_formula(lambda m: 1.0 - F.exp(-F.exp(_linear(m) + m.state["shift"])))

@@ -69,12 +69,12 @@ def ordinal(df: DataFrame, order_by, bucket: Column, by=(), name: str = "ordinal
     order = [F.col(c) if isinstance(c, str) else c for c in order_by]
     numbered = df.withColumn("_b", bucket).withColumn(
         "_r", F.row_number().over(W.partitionBy(*by, "_b").orderBy(*order)).cast("bigint"))
-    sizes = numbered.groupBy(*by, "_b").agg(F.max("_r").alias("_n"))
+    sizes = numbered.groupBy(*by, "_b").agg(F.max("_r").alias("_size"))
     earlier = W.partitionBy(*by).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
     if total:
-        offsets = offsets.withColumn(total, F.sum("_n").over(W.partitionBy(*by)))
-    out = numbered.join(offsets.drop("_n"), [*by, "_b"])
+        offsets = offsets.withColumn(total, F.sum("_size").over(W.partitionBy(*by)))
+    out = numbered.join(offsets.drop("_size"), [*by, "_b"])
     return out.withColumn(name, F.col("_before") + F.col("_r") - 1).drop("_b", "_r", "_before")
 
 

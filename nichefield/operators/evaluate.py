@@ -34,30 +34,30 @@ def score_counts(df: DataFrame, label: str, score: str, keys=()) -> DataFrame:
 
 def _ranking(counts: DataFrame, keys) -> DataFrame:
     """AUC (ties half), maximum TSS and its threshold per key."""
-    totals = counts.groupBy(*keys).agg(F.sum("p").alias("P"), F.sum("n").alias("N"))
+    totals = counts.groupBy(*keys).agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
     parts = range_parts(counts, [*keys, "s"])
     below = W.partitionBy(*keys, "_part").orderBy("s").rowsBetween(W.unboundedPreceding, -1)
     local = attach(parts, totals, keys).withColumns({
         "pb": F.coalesce(F.sum("p").over(below), F.lit(0)), "nb": F.coalesce(F.sum("n").over(below), F.lit(0))})
     # Presences below the score are missed, others below it are correctly rejected. The gain
-    # nb/N - pb/P is compared as an exact whole number, so equal gains really tie.
-    gain = (F.col("nb").cast("decimal(19,0)") * F.col("P").cast("decimal(19,0)")
-            - F.col("pb").cast("decimal(19,0)") * F.col("N").cast("decimal(19,0)")).cast(_EXACT)
+    # nb/all_n - pb/all_p is compared as an exact whole number, so equal gains really tie.
+    gain = (F.col("nb").cast("decimal(19,0)") * F.col("all_p").cast("decimal(19,0)")
+            - F.col("pb").cast("decimal(19,0)") * F.col("all_n").cast("decimal(19,0)")).cast(_EXACT)
     per_part = local.groupBy(*keys, "_part").agg(
         F.sum(F.col("p") * (F.col("nb") + F.col("n") / 2.0)).alias("wins"),
         F.max(F.struct(gain.alias("gain"), "s")).alias("best"),
-        F.sum("p").alias("pp"), F.sum("n").alias("nn"), F.first("P").alias("P"), F.first("N").alias("N"))
+        F.sum("p").alias("pp"), F.sum("n").alias("nn"), F.first("all_p").alias("all_p"), F.first("all_n").alias("all_n"))
     earlier = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     shifted = per_part.withColumns({"p0": F.coalesce(F.sum("pp").over(earlier), F.lit(0)),
                                     "n0": F.coalesce(F.sum("nn").over(earlier), F.lit(0))})
-    lift = (F.col("n0").cast("decimal(19,0)") * F.col("P").cast("decimal(19,0)")
-            - F.col("p0").cast("decimal(19,0)") * F.col("N").cast("decimal(19,0)")).cast(_EXACT)
+    lift = (F.col("n0").cast("decimal(19,0)") * F.col("all_p").cast("decimal(19,0)")
+            - F.col("p0").cast("decimal(19,0)") * F.col("all_n").cast("decimal(19,0)")).cast(_EXACT)
     best = F.struct((F.col("best.gain") + lift).cast(_EXACT).alias("gain"), F.col("best.s").alias("s"))
     out = shifted.groupBy(*keys).agg(
         F.sum(F.col("wins") + F.col("pp") * F.col("n0").cast("double")).alias("wins"),
-        F.max(best).alias("best"), F.first("P").alias("P"), F.first("N").alias("N"))
-    both = (F.col("P") > 0) & (F.col("N") > 0)
-    product = F.col("P").cast("double") * F.col("N")
+        F.max(best).alias("best"), F.first("all_p").alias("all_p"), F.first("all_n").alias("all_n"))
+    both = (F.col("all_p") > 0) & (F.col("all_n") > 0)
+    product = F.col("all_p").cast("double") * F.col("all_n")
     return out.select(
         *keys, F.when(both, F.col("wins") / product).alias("auc"),
         F.when(both, F.col("best.gain").cast("double") / product).alias("tss"),
@@ -68,7 +68,7 @@ def _boyce(counts: DataFrame, keys, windows: int, width: float) -> DataFrame:
     """Spearman correlation of window centre and presence-to-expected ratio, per key."""
     span = counts.groupBy(*keys).agg(
         F.min("s").alias("lo"), F.max("s").alias("hi"),
-        F.sum("p").alias("P"), F.sum(F.col("p") + F.col("n")).alias("T"))
+        F.sum("p").alias("all_p"), F.sum(F.col("p") + F.col("n")).alias("all_t"))
     rows = attach(counts, span, keys)
     w = (F.col("hi") - F.col("lo")) * F.lit(float(width))
     first = F.col("lo") + w / 2.0
@@ -79,12 +79,12 @@ def _boyce(counts: DataFrame, keys, windows: int, width: float) -> DataFrame:
         inside = (F.col("s") >= centre - w / 2.0) & (F.col("s") <= centre + w / 2.0)
         aggs += [F.sum(F.when(inside, F.col("p"))).alias(f"p{i}"),
                  F.sum(F.when(inside, F.col("p") + F.col("n"))).alias(f"t{i}")]
-    wide = rows.groupBy(*keys, "P", "T", "lo", "hi").agg(*aggs)
-    per = wide.select(*keys, "P", "T", "lo", "hi", F.posexplode(F.array(
+    wide = rows.groupBy(*keys, "all_p", "all_t", "lo", "hi").agg(*aggs)
+    per = wide.select(*keys, "all_p", "all_t", "lo", "hi", F.posexplode(F.array(
         *[F.struct(F.col(f"p{i}").alias("p"), F.col(f"t{i}").alias("t")) for i in range(windows)])).alias("i", "c"))
-    usable = per.where((F.col("P") >= BOYCE_MIN_PRESENCES) & (F.col("T") >= BOYCE_MIN_SCORES)
+    usable = per.where((F.col("all_p") >= BOYCE_MIN_PRESENCES) & (F.col("all_t") >= BOYCE_MIN_SCORES)
                        & (F.col("hi") > F.col("lo")) & (F.col("c.p") > 0) & (F.col("c.t") > 0))
-    ratio = usable.select(*keys, "i", ((F.col("c.p") / F.col("P")) / (F.col("c.t") / F.col("T"))).alias("pe"))
+    ratio = usable.select(*keys, "i", ((F.col("c.p") / F.col("all_p")) / (F.col("c.t") / F.col("all_t"))).alias("pe"))
     same = W.partitionBy(*keys, "pe")
     ranked = ratio.withColumn(
         "rank", F.rank().over(W.partitionBy(*keys).orderBy("pe")) + (F.count(F.lit(1)).over(same) - 1) / 2.0)
