@@ -299,12 +299,10 @@ def _kernel(reach: str, weight: str) -> str:
 near as (select row, col, floor(u - 0.5e0) + a.o as c, floor(v - 0.5e0) + b.o as r, u - 0.5e0 as u, v - 0.5e0 as v from pos, o a, o b),
 met as (select n.row, n.col, value, {weight.format(d='abs(u - c)')} * {weight.format(d='abs(v - r)')} as w from near n
   left join fx_coarse s on s.row = n.r and s.col = n.c)
-select 'soil' as layer, row, col, {r('case when abs(sum(w) filter (value is not null)) > 1e-9 then sum(w * value) / sum(w) filter (value is not null) end', 'value', 5)}
+select 'soil' as layer, row, col, {r('case when abs(sum(w) filter (value is not null)) > 1e-9 then sum(w * value) / sum(w) filter (value is not null) end', 'value')}
 from met group by row, col"""
 
 
-QUERIES["regrid_bilinear"] = lambda spark, sf_dir: tidy(_to_fine(Data(spark, sf_dir), "bilinear"), 5)
-QUERIES["regrid_cubic"] = lambda spark, sf_dir: tidy(_to_fine(Data(spark, sf_dir), "cubic"), 5)
 oracle("regrid_bilinear", _kernel("0, 1", "(1 - {d})"))
 oracle("regrid_cubic", _kernel("-1, 0, 1, 2", """(case when {d} <= 1 then 1.5e0 * {d} ** 3 - 2.5e0 * {d} ** 2 + 1
   when {d} < 2 then -0.5e0 * {d} ** 3 + 2.5e0 * {d} ** 2 - 4 * {d} + 2 else 0 end)"""))
