@@ -23,6 +23,16 @@ def hash_text(*parts) -> Column:
     return F.md5(F.concat_ws(":", *[_column(p) for p in parts]))
 
 
+def hash_order(*parts) -> Column:
+    """Seeded sort key: the leading 60 bits of the md5 as a number, in the text's order."""
+    return F.conv(F.substring(hash_text(*parts), 1, 15), 16, 10).cast("bigint")
+
+
+def order_bucket(order: Column, buckets: int) -> Column:
+    """Equal slices of the sort key's range, increasing with it."""
+    return F.floor(order / F.lit(2.0**60 / buckets)).cast("int")
+
+
 def unit_interval(digest: Column) -> Column:
     """Map an md5 text to [0, 1), keeping the text's sort order."""
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(_TWO_32)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -16,7 +15,7 @@ MIN_SPREAD = 1e-12  # a standard deviation below this counts as constant
 def finite(col) -> Column:
     """True for a usable number: not NULL, not NaN, not infinite."""
     c = F.col(col) if isinstance(col, str) else col
-    return c.isNotNull() & ~F.isnan(c) & (F.abs(c) != F.lit(math.inf))
+    return F.coalesce(c * 0.0 == 0.0, F.lit(False))  # one mention of the input keeps plans small
 
 
 def clean_number(col) -> Column:
@@ -25,20 +24,24 @@ def clean_number(col) -> Column:
     return F.when(finite(c), c)
 
 
+def not_nan(col) -> Column:
+    return F.nanvl(col, F.lit(None).cast("double"))
+
+
 def all_finite(cols) -> Column:
     return reduce(lambda a, b: a & b, [finite(c) for c in cols], F.lit(True))
 
 
 def with_cell(df: DataFrame, grid: Grid, x: str = "x", y: str = "y") -> DataFrame:
     """Row and column of the grid cell under each point (negative or past the edge off-grid)."""
-    gx = F.floor((clean_number(x) - F.lit(grid.minx)) / F.lit(grid.res_x))
-    gy = F.floor((F.lit(grid.maxy) - clean_number(y)) / F.lit(grid.res_y))
+    gx = F.floor((not_nan(x) - F.lit(grid.minx)) / F.lit(grid.res_x))
+    gy = F.floor((F.lit(grid.maxy) - not_nan(y)) / F.lit(grid.res_y))
     return df.withColumns({"row": gy, "col": gx})
 
 
 def complete_rows(df: DataFrame, cols) -> DataFrame:
     """Only rows whose every predictor is a usable number."""
-    return df.where(all_finite(cols))
+    return df.na.drop(subset=list(cols)).where(all_finite(cols))
 
 
 def binarise(df: DataFrame, threshold, value: str = "value", missing: int = 0,

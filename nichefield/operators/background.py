@@ -79,24 +79,32 @@ def _first_n(accepted: DataFrame, keys) -> DataFrame:
 
 
 def _sample(wanted: DataFrame, keys, seed: int, box, share: float, accept) -> DataFrame:
-    """Draw until every request is filled or the try budget is spent; may return fewer."""
+    """Draw until every request is filled or the try budget is spent; may return fewer.
+
+    The first stretch is sized from the share of usable cells, later ones from the acceptance
+    seen so far. Stretches only decide how the sequence is cut, never what is accepted.
+    """
     share = min(1.0, max(share, 1.0 / (MAX_ROUNDS * ROUND_FACTOR)))
+    budget = (MAX_ROUNDS * F.greatest(ROUND_FACTOR * F.col("n"), F.lit(MIN_ROUND))).cast("bigint")
     stretch = F.ceil(F.greatest(F.lit(MIN_ROUND), F.col("n") * F.lit(1.2 / share))).cast("bigint")
-    budget = MAX_ROUNDS * F.greatest(ROUND_FACTOR * F.col("n"), F.lit(MIN_ROUND))
-    found, done, step = None, F.lit(0).cast("bigint"), 1
+    state = wanted.withColumns({"_done": F.lit(0).cast("bigint"), "_upto": F.least(budget, stretch)})
+    found = None
     while True:
-        upto = F.least(budget, stretch * step).cast("bigint")
-        more = checkpointed(accept(candidates(wanted, box, seed, done, upto, keys)))
+        drawn = candidates(state, box, seed, F.col("_done"), F.col("_upto"), keys)
+        more = checkpointed(accept(drawn).select(*keys, "n", "i", "x", "y"))
         found = more if found is None else found.unionByName(more)
         got = found.groupBy(*keys).agg(F.count(F.lit(1)).alias("_got"))
         if keys:
-            state = wanted.join(got, keys, "left")
+            state = state.join(got, keys, "left")
         else:
-            state = wanted.withColumn("_got", got.select("_got").scalar())
-        short = state.where((F.coalesce("_got", F.lit(0)) < F.col("n")) & (upto < budget))
+            state = state.withColumn("_got", got.select("_got").scalar())
+        have = F.coalesce("_got", F.lit(0))
+        short = state.where((have < F.col("n")) & (F.col("_upto") < budget))
         if short.isEmpty():
             return _first_n(found, keys).select(*keys, "i", "x", "y")
-        done, step = upto, step * 2
+        need = F.ceil(F.col("n") * F.col("_upto") * 1.1 / F.greatest(have, F.lit(1))) + MIN_ROUND
+        state = checkpointed(short.withColumns({"_done": F.col("_upto"), "_upto": F.least(budget, need.cast("bigint"))})
+                             .drop("_got"))
 
 
 def _usable_share(cells: DataFrame, grid: Grid, condition: Column) -> float:
@@ -158,7 +166,7 @@ def background_disk(occ: DataFrame, cells: DataFrame, grid: Grid, n, predictors,
     on_cell = _on_usable_cells(cells, grid, [first], finite(first))
 
     def accept(drawn: DataFrame) -> DataFrame:
-        return in_distance_band(on_cell(drawn), presences, "i", low, high, keys)
+        return on_cell(in_distance_band(drawn, presences, "i", low, high, keys))
 
     out = _sample(wanted, keys, seed, box, _usable_share(cells, grid, finite(first)), accept)
     if out.isEmpty():

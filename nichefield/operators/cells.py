@@ -86,7 +86,7 @@ def extract(points: DataFrame, cells: DataFrame, predictors, keys=(), cell_keys=
     filtered where it is read, without shuffling it; otherwise both sides shuffle on the cell.
     """
     on = [*key_list(cell_keys), "row", "col"]
-    touched = points.select(*on).where(F.col("row").isNotNull() & F.col("col").isNotNull()).distinct()
+    touched = points.select(*on).distinct()
     wanted = cells.select(*on, *predictors)
     if at_most(touched, broadcast_rows):
         wanted = wanted.join(F.broadcast(touched), on, "left_semi")

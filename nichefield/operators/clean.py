@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import all_finite, with_cell
+from ..functions.scalars import all_finite, not_nan, with_cell
 from ..grid import Grid
 from .cells import extract
 from .common import key_list
@@ -18,26 +18,21 @@ def _predictors(cells: DataFrame, keys) -> list[str]:
     return [c for c in cells.columns if c not in {"row", "col", "x", "y", *keys}]
 
 
-def _missing(col: str) -> Column:
-    return F.col(col).isNull() | F.isnan(col)
-
-
 def _judged(occ: DataFrame, cells: DataFrame, grid: Grid, keys, predictors=None) -> DataFrame:
     """One row per distinct coordinate: first record, number of copies, first rule it fails.
 
     Grouping by coordinate settles duplicates with a map-side combine, so a coordinate shared by
-    a third of all records costs one partial row per task. Missing coordinates share one group.
+    a third of all records costs one partial row per task.
     """
     keys = key_list(keys)
     predictors = list(predictors or _predictors(cells, keys))
-    lost = _missing("x") | _missing("y")
-    xy = occ.withColumns({"x": F.when(~lost, F.col("x")), "y": F.when(~lost, F.col("y"))})
+    xy = occ.withColumns({"x": not_nan("x"), "y": not_nan("y")})
     rest = [c for c in occ.columns if c not in {"rid", "x", "y", *keys}]
     firsts = xy.groupBy(*keys, "x", "y").agg(
         F.min("rid").alias("rid"), F.count(F.lit(1)).alias("_copies"),
         *[F.min_by(c, "rid").alias(c) for c in rest])
     inside = (F.col("x").between(grid.minx, grid.maxx) & F.col("y").between(grid.miny, grid.maxy))
-    rule = (F.when(F.col("x").isNull(), "nan_coords")
+    rule = (F.when(F.col("x").isNull() | F.col("y").isNull(), "nan_coords")
             .when((F.col("x") == 0) & (F.col("y") == 0), "zero_zero")
             .when(~inside, "out_of_extent"))
     located = with_cell(firsts.withColumn("_rule", rule), grid)

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.hashing import hash_order, order_bucket
+
 # A side with at most this many rows may be broadcast; beyond it a shuffle join is used.
 BROADCAST_ROWS = 1_000_000
 
@@ -43,6 +46,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def join_on(left: DataFrame, right: DataFrame, keys, how: str = "inner") -> DataFrame:
+    """Null-safe equi-join on ``keys``.
+
+    A plain join adds "key is not null" filters to one branch only, after which two branches of the
+    same table no longer share their exchange. Null-safe equality adds none, and keeps null keys.
+    """
+    names = [c for c in right.columns if c not in keys]
+    renamed = right.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *names)
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    return left.join(renamed, same, how).drop(*[f"_k_{k}" for k in keys])
+
+
 def attach(df: DataFrame, stats: DataFrame, keys) -> DataFrame:
     """Add per-key statistics to each row; without keys ``stats`` has a single row.
 
@@ -51,7 +66,7 @@ def attach(df: DataFrame, stats: DataFrame, keys) -> DataFrame:
     """
     keys = key_list(keys)
     if keys:
-        return df.join(stats, keys)
+        return join_on(df, stats, keys)
     names = stats.columns
     row = stats.select(F.struct(*names).alias("s")).scalar()
     return df.withColumn("_stats", row).select(
@@ -67,20 +82,24 @@ def ordinal(df: DataFrame, order_by, bucket: Column, by=(), name: str = "ordinal
     """
     by = key_list(by)
     order = [F.col(c) if isinstance(c, str) else c for c in order_by]
-    numbered = df.withColumn("_b", bucket).withColumn(
+    sliced = df.withColumn("_b", bucket)
+    numbered = sliced.withColumn(
         "_r", F.row_number().over(W.partitionBy(*by, "_b").orderBy(*order)).cast("bigint"))
-    sizes = numbered.groupBy(*by, "_b").agg(F.max("_r").alias("_size"))
+    # Bucket sizes are counted on the map side: a handful of rows per task, not a second sort.
+    sizes = sliced.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_size"))
     earlier = W.partitionBy(*by).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
     if total:
         offsets = offsets.withColumn(total, F.sum("_size").over(W.partitionBy(*by)))
-    out = numbered.join(offsets.drop("_size"), [*by, "_b"])
+    out = join_on(numbered, offsets.drop("_size"), [*by, "_b"])
     return out.withColumn(name, F.col("_before") + F.col("_r") - 1).drop("_b", "_r", "_before")
 
 
-def hash_bucket(spark: SparkSession, uniform: Column) -> Column:
-    """Bucket of a [0, 1) number; enough buckets that each fits comfortably in one task."""
-    return F.floor(uniform * F.lit(float(shuffle_width(spark) * 8))).cast("int")
+def shuffled(df: DataFrame, ident: str, *seed, by=(), name: str = "ordinal", total: str | None = None) -> DataFrame:
+    """Exact position of each row in a seeded shuffle of its group (ties by ``ident``)."""
+    keyed = df.withColumn("_h", hash_order(*seed, F.col(ident)))
+    bucket = order_bucket(F.col("_h"), shuffle_width(df.sparkSession) * 8)
+    return ordinal(keyed, ["_h", ident], bucket, by, name, total).drop("_h")
 
 
 def range_parts(df: DataFrame, cols) -> DataFrame:

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import hash_text, unit_interval
 from ..functions.scalars import complete_rows
 from ..grid import DEFAULT_SEED
-from .common import hash_bucket, ordinal
+from .common import shuffled
 from .evaluate import auc
 from .quantiles import quantiles
 
@@ -19,11 +18,6 @@ DEFAULT_GRID = 50
 PD_RANGE = (0.025, 0.975)  # fixed value: share of records a dependence curve spans
 
 
-def _numbered(df: DataFrame, digest: Column, ident: str, by, name: str) -> DataFrame:
-    rows = df.withColumn("_h", digest)
-    return ordinal(rows, ["_h", ident], hash_bucket(df.sparkSession, unit_interval(F.col("_h"))), by, name).drop("_h")
-
-
 def permuted(df: DataFrame, ident: str, label: str, predictors, features, repeats: int,
              seed: int = DEFAULT_SEED) -> DataFrame:
     """Copies of the records with one predictor permuted, for every feature and repeat.
@@ -32,13 +26,12 @@ def permuted(df: DataFrame, ident: str, label: str, predictors, features, repeat
     permutation is exact, repeatable and spread over the cluster.
     """
     rows = complete_rows(df, predictors)
-    base = _numbered(rows.select(ident, label, *predictors), hash_text(seed, F.col(ident)), ident, (), "_o")
+    base = shuffled(rows.select(ident, label, *predictors), ident, seed, name="_o")
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(r).alias("repeat"),
                                         F.col(f).cast("double").alias("value"))
                                for f in features for r in range(repeats)]))
     moved = rows.select(ident, each.alias("_e")).select(ident, "_e.*")
-    moved = _numbered(moved, hash_text(seed, F.col("repeat"), F.col("feature"), F.col(ident)), ident,
-                      ["feature", "repeat"], "_o").drop(ident)
+    moved = shuffled(moved, ident, seed, F.col("repeat"), F.col("feature"), by=["feature", "repeat"], name="_o").drop(ident)
     both = base.join(moved, "_o")
     swapped = [F.when(F.col("feature") == p, F.col("value")).otherwise(F.col(p)).alias(p) for p in predictors]
     return both.select("feature", "repeat", ident, label, *swapped)

@@ -27,12 +27,6 @@ def _squares(points: DataFrame, size: float, keys) -> DataFrame:
                  F.min("y").alias("_y0"), F.max("y").alias("_y1")))
 
 
-def _lookup(open_pairs: DataFrame, squares: DataFrame, keys) -> DataFrame:
-    on = [*keys, "_qx", "_qy"]
-    small = at_most(squares, BROADCAST_ROWS)
-    return open_pairs.join(F.broadcast(squares) if small else squares, on)
-
-
 def _box_distances() -> tuple[Column, Column]:
     """Squared distance from (x, y) to the nearest and the farthest corner or edge of the box."""
     x, y, zero = F.col("x"), F.col("y"), F.lit(0.0)
@@ -58,6 +52,8 @@ def ids_within(candidates: DataFrame, presences: DataFrame, radius: float, cand_
     around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"))
                                  for i in reach for j in reach]))
     points = checkpointed(presences.select(*keys, "x", "y").distinct())
+    # No level has more squares than there are points, so one check covers every level's join.
+    small, on = at_most(points, BROADCAST_ROWS), [*keys, "_qx", "_qy"]
     pairs = (candidates.select(*keys, cand_id, "x", "y").withColumn("_o", around)
              .select(*keys, cand_id, "x", "y",
                      (F.floor(F.col("x") / size) + F.col("_o.i")).alias("_qx"),
@@ -65,7 +61,8 @@ def ids_within(candidates: DataFrame, presences: DataFrame, radius: float, cand_
     found = None
     for level in range(MAX_LEVELS):
         near, far = _box_distances()
-        judged = (_lookup(pairs, _squares(points, size, keys), keys)
+        squares = _squares(points, size, keys)
+        judged = (pairs.join(F.broadcast(squares) if small else squares, on)
                   .withColumns({"_near": near, "_far": far}).where(inside(F.col("_near"))))
         judged = checkpointed(judged.withColumn("_hit", inside(F.col("_far"))))
         hits = judged.where("_hit").select(*keys, cand_id).distinct()

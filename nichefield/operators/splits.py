@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.hashing import hash_text, hash_uniform, unit_interval
+from ..functions.hashing import hash_uniform
 from ..functions.scalars import finite, interpolate, with_cell
 from ..grid import DEFAULT_SEED, Grid
 from .cells import extract
-from .common import attach, hash_bucket, key_list, ordinal
+from .common import attach, key_list, ordinal, shuffled
 
 # Defaults of the split methods and of the block-size estimate.
 REPLICATE_STRIDE = 101
@@ -37,9 +37,7 @@ def replicate_seed(seed: int, replicate: int) -> int:
 
 def _shuffled(df: DataFrame, ident: str, seed: int, by) -> DataFrame:
     """``_o``: position of each row in a seeded shuffle of its group, ``_n``: group size."""
-    digest = df.withColumn("_h", hash_text(seed, F.col(ident)))
-    bucket = hash_bucket(df.sparkSession, unit_interval(F.col("_h")))
-    return ordinal(digest, ["_h", ident], bucket, by, "_o", "_n").drop("_h")
+    return shuffled(df, ident, seed, by=by, name="_o", total="_n")
 
 
 def split_holdout(df: DataFrame, ident: str, label: str | None = None,

@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.hashing import hash_text, unit_interval
+from ..functions.hashing import hash_order, order_bucket
 from ..functions.scalars import all_finite, complete_rows
 from .cells import moments
-from .common import checkpointed, at_most, hash_bucket, key_list, ordinal, range_parts
+from .common import at_most, checkpointed, key_list, ordinal, range_parts, shuffle_width
 
 BROADCAST_VALUES = 2_000_000  # training numbers held in memory by a task
 MIN_SPAN = 1e-9  # fixed value: floor of a predictor's training range
@@ -185,8 +185,8 @@ def _mop_blocked(cells, rows, predictors, percentile, block_rows: int = BLOCK_RO
     spark = cells.sparkSession
     n = rows.count()
     k, blocks = nearest_count(n, percentile), max(1, math.ceil(n / block_rows))
-    digest = rows.withColumn("_h", hash_text(*[F.col(p) for p in predictors]))
-    numbered = ordinal(digest, ["_h"], hash_bucket(spark, unit_interval(F.col("_h"))), name="_o")
+    digest = rows.withColumn("_h", hash_order(*[F.col(p) for p in predictors]))
+    numbered = ordinal(digest, ["_h", *predictors], order_bucket(F.col("_h"), shuffle_width(spark) * 8), name="_o")
     train = checkpointed(numbered.select((F.col("_o") % blocks).cast("int").alias("block"), *predictors))
     whole = complete_rows(cells, predictors)
     vectors = checkpointed(whole.select(*predictors).distinct()
