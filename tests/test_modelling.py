@@ -17,7 +17,7 @@ from nichefield.plans.crossval import cross_validate
 from nichefield.plans.run import Settings, run
 
 QUICK = {"rf": {"n_estimators": 20, "max_depth": 6}, "gbm": {"n_estimators": 10, "learning_rate": 0.1},
-         "xgb": {"n_estimators": 8}, "mlp": {"max_iter": 60}, "svm": {"max_iter": 20, "folds": 2, "landmarks": 32},
+         "xgb": {"n_estimators": 8}, "mlp": {"max_iter": 60}, "svm": {"max_iter": 10, "folds": 2, "landmarks": 24},
          "gam": {"max_iter": 20}, "lr": {"max_iter": 50}, "maxent": {"max_iter": 50}}
 
 
@@ -185,12 +185,12 @@ def test_maxent_table_of_knots_equals_its_features(spark, toy):
 
 @pytest.mark.parametrize("kernel", ["linear", "poly", "sigmoid"])
 def test_svm_kernels(toy, kernel):
-    got = fit("svm", toy, ["a", "b"], kernel=kernel, max_iter=20, folds=2, landmarks=24).score(toy)
+    got = fit("svm", toy, ["a", "b"], kernel=kernel, max_iter=8, folds=2, landmarks=16).score(toy)
     assert ev.auc(got).first().auc > 0.8
 
 
 def test_saved_models_score_the_same(spark, toy, tmp_path):
-    for name in ("gam", "svm", "maxent", "mlp", "gbm"):
+    for name in ("gam", "svm", "mlp"):
         m = fit(name, toy, ["a", "b"], **QUICK.get(name, {}))
         save_model(m, spark, str(tmp_path / name))
         both = load_model(spark, str(tmp_path / name)).score(m.score(toy, "u"), "v")
