@@ -82,14 +82,15 @@ def extract(points: DataFrame, cells: DataFrame, predictors, keys=(), cell_keys=
     """Predictor values at points that carry ``row`` and ``col``; NULL off-grid or missing.
 
     Points are first reduced to the distinct cells they touch, so a cell that holds a third of all
-    points is looked up once. When those cells are few they are broadcast and the cell table is
-    filtered where it is read, without shuffling it; otherwise both sides shuffle on the cell.
+    points is looked up once. When those cells are few they are broadcast, the cell table is
+    filtered where it is read, and what is left of it is broadcast to the points: neither large
+    table is shuffled. Otherwise both sides shuffle on the cell.
     """
     on = [*key_list(cell_keys), "row", "col"]
     touched = points.select(*on).distinct()
     wanted = cells.select(*on, *predictors)
     if at_most(touched, broadcast_rows):
-        wanted = wanted.join(F.broadcast(touched), on, "left_semi")
+        wanted = F.broadcast(wanted.join(F.broadcast(touched), on, "left_semi"))
     else:
         wanted = wanted.join(touched, on, "left_semi")
     return points.join(wanted, on, "left")

@@ -58,6 +58,16 @@ def join_on(left: DataFrame, right: DataFrame, keys, how: str = "inner") -> Data
     return left.join(renamed, same, how).drop(*[f"_k_{k}" for k in keys])
 
 
+def lookup(big: DataFrame, small: DataFrame, on, how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Join a table with one row per ``on`` to a large one.
+
+    A few weights or blocks are broadcast once a bounded count shows they are few: shuffling the
+    large side on a handful of keys would pile it up in as many tasks. More rows than that mean
+    enough keys for a shuffle join, where AQE splits the hot ones.
+    """
+    return big.join(F.broadcast(small) if at_most(small, rows) else small, on, how)
+
+
 def attach(df: DataFrame, stats: DataFrame, keys) -> DataFrame:
     """Add per-key statistics to each row; without keys ``stats`` has a single row.
 

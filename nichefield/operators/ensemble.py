@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.scalars import clean_number, finite
-from .common import attach, key_list
+from .common import attach, key_list, lookup
 from .evaluate import evaluate
 
 # Weighting methods, fallback threshold, SD that counts as disagreement.
@@ -42,7 +42,7 @@ def ensemble_weights(summary: DataFrame, method: str = "weighted_tss", keys=())
 
 def _weighted(values: DataFrame, weights: DataFrame, keys) -> DataFrame:
     """Attach each algorithm's weight; the weight table has one row per key and algorithm."""
-    return values.join(weights, [*keys, "algorithm"])
+    return lookup(values, weights, [*keys, "algorithm"])
 
 
 def ensemble_surface(surfaces: DataFrame, weights: DataFrame, keys=()) -> DataFrame:
@@ -78,7 +78,7 @@ def ensemble_scores(oof: DataFrame, weights: DataFrame, keys=()) -> DataFrame:
     total = ran.groupBy(*rep).agg(F.sum("weight").alias("_sum"), F.count(F.lit(1)).alias("_n"))
     share = F.when(F.col("_sum") > 0, F.col("weight") / F.col("_sum")).otherwise(1.0 / F.col("_n"))
     ran = ran.join(total, rep).select(*rep, "algorithm", share.alias("weight"), "_n")
-    per = oof.join(ran, [*rep, "algorithm"]).groupBy(*rep, "pid").agg(
+    per = lookup(oof, ran, [*rep, "algorithm"]).groupBy(*rep, "pid").agg(
         F.max("label").alias("label"), F.sum(F.col("score") * F.col("weight")).alias("_s"),
         F.count(clean_number("score")).alias("_have"), F.max("_n").alias("_n"))
     # Twelve decimals make equal inputs tie whatever order they were added in.
@@ -95,7 +95,8 @@ def surface_shares(ensemble: DataFrame, threshold, keys=()) -> DataFrame:
     """Share of the map where algorithms disagree, and share at or above the threshold."""
     keys = key_list(keys)
     if isinstance(threshold, DataFrame):
-        rows, t = attach(ensemble, threshold.select(*keys, F.col("threshold").alias("_t")), keys), F.col("_t")
+        limit = threshold.select(*keys, F.col("threshold").alias("_t"))
+        rows, t = (lookup(ensemble, limit, keys) if keys else attach(ensemble, limit, keys)), F.col("_t")
     else:
         rows, t = ensemble, F.lit(float(threshold))
 

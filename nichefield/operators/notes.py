@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import key_list
+from .common import attach, key_list
 
 # Headings, tones and the bounds between them.
 HEADINGS = {
@@ -119,13 +119,13 @@ def _rules() -> list[Column]:
     ]
 
 
-def run_notes(summary: DataFrame, runs: DataFrame, keys) -> DataFrame:
+def run_notes(summary: DataFrame, runs: DataFrame, keys=()) -> DataFrame:
     """L1: notes of every run as rows (keys, heading, tone, text).
 
     ``summary`` holds per-algorithm means and SDs of each run (with an ``Ensemble`` row if any),
-    ``runs`` one row of facts per run. All rules are tested in one pass over the joined row.
+    ``runs`` one row of facts per run (without keys: of the only run). All rules are tested in one pass over the joined row.
     """
     keys = key_list(keys)
-    facts = headline(summary, keys).join(runs, keys)
+    facts = attach(headline(summary, keys), runs, keys)
     notes = facts.select(*keys, F.explode(F.array_compact(F.array(*_rules()))).alias("n"))
     return notes.select(*keys, "n.heading", "n.tone", "n.text")

@@ -12,7 +12,7 @@ from ..functions.hashing import hash_uniform
 from ..functions.scalars import finite, interpolate, with_cell
 from ..grid import DEFAULT_SEED, Grid
 from .cells import extract
-from .common import attach, key_list, ordinal, shuffled
+from .common import attach, key_list, lookup, ordinal, shuffled
 
 # Defaults of the split methods and of the block-size estimate.
 REPLICATE_STRIDE = 101
@@ -129,7 +129,7 @@ def blocks_hex(df: DataFrame, size: float, keys=()) -> DataFrame:
     tiles = placed.select(*keys, "hex_q", "hex_r").distinct()
     numbered = ordinal(tiles, ["hex_q", "hex_r"], F.col("hex_q"), keys, "block_id")
     radius = hex_radius(size)
-    return placed.join(numbered, [*keys, "hex_q", "hex_r"]).withColumns({
+    return lookup(placed, numbered, [*keys, "hex_q", "hex_r"]).withColumns({
         "block_x": F.col("hex_q") * (1.5 * radius),
         "block_y": (F.col("hex_q") * (math.sqrt(3.0) / 2) + F.col("hex_r") * math.sqrt(3.0)) * radius,
     }).drop("hex_q", "hex_r")
@@ -177,7 +177,7 @@ def split_blocks(df: DataFrame, cells: DataFrame, grid: Grid, k: int = DEFAULT_K
     keys = key_list(keys)
     blocked = with_blocks(df, grid, block_size, shape, keys)
     folds = block_folds(blocked, k, seed, keys).select(*keys, "block_id", "fold")
-    return blocked.join(folds, [*keys, "block_id"]).drop("block_x", "block_y")
+    return lookup(blocked, folds, [*keys, "block_id"]).drop("block_x", "block_y")
 
 
 def _variogram_pairs(cells: DataFrame, grid: Grid, predictor: str, seed: int) -> DataFrame:

@@ -175,13 +175,13 @@ def run(occ: DataFrame, cells: DataFrame, grid: Grid, settings: Settings | None
         parity = mop(projection_cells, labelled, kept)
         beyond = extrapolation_share(novelty).first().extrapolated_share
     facts = shares.select(
-        F.lit("run").alias("run"), "disagreement_share", "suitable_share",
+        "disagreement_share", "suitable_share",
         F.lit(beyond).cast("double").alias("extrapolated_share"), F.lit(fit_auc).cast("double").alias("train_auc"),
         F.lit(cv_auc).cast("double").alias("cv_auc"), F.lit(s.split).alias("split_method"),
         F.lit(labelled.where("label = 1").count()).alias("n_presence"),
         F.lit("maxent" in s.algorithms).alias("has_maxent"), F.lit(len(names) - len(kept)).alias("n_dropped"),
         F.lit(s.data_mode == "presence_only").alias("presence_only"),
         F.lit(removed_fraction(occ, points).first().removed).alias("removed"))
-    notes = run_notes(everything.withColumn("run", F.lit("run")), facts, ["run"])
+    notes = run_notes(everything, facts)
     return Run(labelled, kept, steps, cv.oof, cv.models, cv.errors_frame(), exported, everything, weights,
                threshold, surface, projected, novelty, parity, notes)
