@@ -385,13 +385,18 @@ def _settings() -> Settings:
                     params={"lr": QUICK["lr"]})
 
 
+def _inputs(d):
+    """Occurrences and cells, derived once instead of once per stage of the run."""
+    return checkpointed(d.occ.drop("species")), checkpointed(d.cells), d.grid
+
+
 @query
 def habitat_run(d):
     """Flagship: occurrences and cells to the ensemble suitability surface with uncertainty."""
-    return tidy(run(d.occ.drop("species"), d.cells, d.grid, _settings()).surface)
+    return tidy(run(*_inputs(d), _settings()).surface)
 
 
 @query
 def habitat_run_notes(d):
     """The same run carried to a second grid, read by the rules."""
-    return run(d.occ.drop("species"), d.cells, d.grid, _settings(), projection_cells=d.future).notes
+    return run(*_inputs(d), _settings(), projection_cells=d.future).notes
