@@ -1,7 +1,7 @@
 """Operators for large-scale training data; nothing else in the library imports this subpackage."""
 
-from . import decontaminate, exact_dedup, sentencepieces, token_counts
+from . import decontaminate, exact_dedup, ngram_join, sentencepieces, token_counts
 
-MODULES = (exact_dedup, decontaminate, sentencepieces, token_counts)
+MODULES = (ngram_join, exact_dedup, decontaminate, sentencepieces, token_counts)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
