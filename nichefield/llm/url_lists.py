@@ -95,9 +95,9 @@ ORACLES = {"op7_url_lists": r"""
               union select 'domain', regexp_extract(host, '([^.]+\.[^.]+)$', 1) from p where regexp_extract(host, '([^.]+\.[^.]+)$', 1) <> ''
               union select 'prefix', host || '/' || s[1] from p where host <> '' and len(s) > 0),
     chosen as (select * from (select kind, pattern, ('0x' || substr(md5(kind || '|' || pattern), 1, 6))::bigint as h from names) where h % 3 < 2),
-    events as (select case when h % 5 = 0 then 'allow' else 'block' end as list, kind, pattern, h % 365 + e.d as at, e.action
+    events as (select case when h % 5 = 0 then 'allow' else 'block' end as list, kind, pattern, h % 365 + e.d as day, e.action
                from chosen, (values (0, 'add', 0), (60, 'remove', 1), (90, 'add', 1)) as e(d, action, k) where e.k <= h % 3),
-    spans as (select list, kind, pattern, at as since, lead(at) over (partition by list, kind, pattern order by at) as until, action from events),
+    spans as (select list, kind, pattern, day as since, lead(day) over (partition by list, kind, pattern order by day) as until, action from events),
     active as materialized (select * from spans where action = 'add'),
     keys as (select page_id, fetched, 'host' as kind, host as pattern from p where host <> ''
              union all select page_id, fetched, 'domain', array_to_string(l[i:], '.') from (
