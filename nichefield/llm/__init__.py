@@ -1,7 +1,7 @@
 """Operators for large-scale training data; nothing else in the library imports this subpackage."""
 
-from . import decontaminate, exact_dedup, ngram_join, quality, sentencepieces, token_counts, url_lists, warc
+from . import decontaminate, exact_dedup, ngram_join, quality, repeats, sentencepieces, token_counts, url_lists, warc
 
-MODULES = (ngram_join, exact_dedup, decontaminate, quality, sentencepieces, token_counts, url_lists, warc)
+MODULES = (ngram_join, exact_dedup, decontaminate, quality, repeats, sentencepieces, token_counts, url_lists, warc)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
