@@ -308,10 +308,10 @@ def block_links(sets: DataFrame, percent: int = PERCENT, block_shingles: int = B
     if not large.count():
         rows = members.select("block", F.lit(0).cast("bigint").alias("i"), F.lit(-1).cast("bigint").alias("j"), "doc_id", F.col("doc_id").alias("grp"))
         return _linked(rows, sets, percent).select(F.col("doc_id").alias("u"), F.col("root").alias("v")).where("u <> v")
-    placed = members.join(large, "block", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    placed = members.join(large, "block", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1).cast("bigint")))
     chunk = F.pmod(F.xxhash64("doc_id"), F.col("chunks"))
     own = placed.where("doc_id <> block").select("block", chunk.alias("i"), "doc_id")
-    heads = placed.where("doc_id = block").select("block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).cast("bigint").alias("i"), "doc_id")
+    heads = placed.where("doc_id = block").select("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("i"), "doc_id")
     rows = own.union(heads).select("block", "i", F.lit(-1).cast("bigint").alias("j"), "doc_id", F.col("doc_id").alias("grp"))
     first = _linked(rows, sets, percent)
     # In a large block, what its first class does not reach meets the members of the other chunks.
@@ -319,7 +319,7 @@ def block_links(sets: DataFrame, percent: int = PERCENT, block_shingles: int = B
     rest = checkpointed(apart.where("root <> block"))
     edges = first.select(F.col("doc_id").alias("u"), F.col("root").alias("v"))
     if rest.count():
-        spread = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).cast("bigint")
+        spread = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1))
         probes = rest.withColumn("j", spread).where("i <> j").select("block", "i", "j", "doc_id", F.col("root").alias("grp"))
         others = apart.withColumnRenamed("i", "own").withColumn("i", spread).where("i <> own")
         others = others.join(rest.select("block", "i").distinct(), ["block", "i"], "left_semi").select(

@@ -22,7 +22,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import pieces, sha256_of, table, texts
 
@@ -164,7 +164,8 @@ def model_at(path: str) -> PieceModel:
 def encode(docs: DataFrame, model: str | None = None, text: str = "text", into: str = "pieces") -> DataFrame:
     """``docs`` with an array of piece ids for each text; a column of that name is replaced. No shuffle."""
     path, df = model or default_model(), docs.drop(into)
-    schema = df.schema.add(into, "array<int>")
+    names = [*df.columns, into]
+    schema = T.StructType([*df.schema.fields, T.StructField(into, T.ArrayType(T.IntegerType()))])
 
     def work(batches):
         m = model_at(path)
@@ -172,7 +173,7 @@ def encode(docs: DataFrame, model: str | None = None, text: str = "text", into:
             packed = m.encode([t or "" for t in piece.column(text).to_pylist()])
             ends = np.cumsum([0, *(len(p) // 4 for p in packed)], dtype=np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32)))
-            yield pa.RecordBatch.from_arrays([*piece.columns, ids], names=[*df.columns, into])
+            yield pa.RecordBatch.from_arrays([*piece.columns, ids], names=names)
 
     return df.mapInArrow(work, schema)
 
@@ -180,13 +181,14 @@ def encode(docs: DataFrame, model: str | None = None, text: str = "text", into:
 def decode(encoded: DataFrame, model: str | None = None, ids: str = "pieces", into: str = "text") -> DataFrame:
     """``encoded`` with the text that its piece ids stand for; null ids give an empty text."""
     path, df = model or default_model(), encoded.drop(into)
-    schema = df.schema.add(into, "string")
+    names = [*df.columns, into]
+    schema = T.StructType([*df.schema.fields, T.StructField(into, T.StringType())])
 
     def work(batches):
         m = model_at(path)
         for batch in batches:
             out = [m.decode(x or ()).decode("utf-8", "replace") for x in batch.column(ids).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*df.columns, into])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=names)
 
     return df.mapInArrow(work, schema)
 
