@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import functions as F
 
@@ -266,15 +265,15 @@ def enfa_sql(train: str, target: str, keep: str, x1: str, x2: str, by: str = "",
     """
     g, gs = (f"{by}, ", f" group by {by}") if by else ("", "")
     on = f"t.{by} = m.{by}" if by else "true"
-    return f"""m as (select {g}avg({x1}) as m1, stddev_pop({x1}) as s1, avg({x2}) as m2, stddev_pop({x2}) as s2 from {train}{gs}),
-z as (select {'t.' + by + ', ' if by else ''}({x1} - m1) / s1 as z1, ({x2} - m2) / s2 as z2 from {train} t join m on {on} where label = 1),
-cv as (select {g}avg(z1) as c1, avg(z2) as c2, covar_samp(z1, z1) + 1e-6 as v11, covar_samp(z2, z2) + 1e-6 as v22,
+    return f"""m as materialized (select {g}avg({x1}) as m1, stddev_pop({x1}) as s1, avg({x2}) as m2, stddev_pop({x2}) as s2 from {train}{gs}),
+z as materialized (select {'t.' + by + ', ' if by else ''}({x1} - m1) / s1 as z1, ({x2} - m2) / s2 as z2 from {train} t join m on {on} where label = 1),
+cv as materialized (select {g}avg(z1) as c1, avg(z2) as c2, covar_samp(z1, z1) + 1e-6 as v11, covar_samp(z2, z2) + 1e-6 as v22,
   covar_samp(z1, z2) as v12 from z{gs}),
-inv as (select *, v22 / (v11*v22 - v12*v12) as i11, v11 / (v11*v22 - v12*v12) as i22, -v12 / (v11*v22 - v12*v12) as i12 from cv),
-dist as (select {'t.' + by + ', ' if by else ''}sqrt(greatest(0, (z1-c1)*(z1-c1)*i11 + 2*(z1-c1)*(z2-c2)*i12 + (z2-c2)*(z2-c2)*i22)) as d
+inv as materialized (select *, v22 / (v11*v22 - v12*v12) as i11, v11 / (v11*v22 - v12*v12) as i22, -v12 / (v11*v22 - v12*v12) as i12 from cv),
+dist as materialized (select {'t.' + by + ', ' if by else ''}sqrt(greatest(0, (z1-c1)*(z1-c1)*i11 + 2*(z1-c1)*(z2-c2)*i12 + (z2-c2)*(z2-c2)*i22)) as d
   from z t join inv m on {on}),
-sc as (select {g}quantile_cont(d, 0.95e0) as q from dist{gs}),
-tz as (select t.*, ({x1} - m1) / s1 as z1, ({x2} - m2) / s2 as z2 from {target} t join m on {link or on}),
+sc as materialized (select {g}quantile_cont(d, 0.95e0) as q from dist{gs}),
+tz as materialized (select t.*, ({x1} - m1) / s1 as z1, ({x2} - m2) / s2 as z2 from {target} t join m on {link or on}),
 scored as (select {keep}, case when z1 is not null and z2 is not null then exp(-sqrt(greatest(0, (z1-c1)*(z1-c1)*i11 + 2*(z1-c1)*(z2-c2)*i12 + (z2-c2)*(z2-c2)*i22))
   / case when q > 0 then q else 1 end) end as score from tz t join inv m on {link or on} join sc{' on sc.' + by + ' = t.' + by if by else ' on true'})"""
 
@@ -317,13 +316,13 @@ def cv_scores(d):
     return tidy(cv.oof)
 
 
-_CV_FOLDS = """reps as (select m.pid, m.label, m.a, m.d, unnest([0, 1]) as replicate from fx_matrix m),
-seeds as (select *, row_number() over (partition by replicate, label order by md5((42 + 101 * replicate) || ':' || pid), pid) - 1 as o,
+_CV_FOLDS = """reps as materialized (select m.pid, m.label, m.a, m.d, unnest([0, 1]) as replicate from fx_matrix m),
+seeds as materialized (select *, row_number() over (partition by replicate, label order by md5((42 + 101 * replicate) || ':' || pid), pid) - 1 as o,
   count(*) over (partition by replicate, label) as n from reps),
-folded as (select *, cast(case when o < (n % 3) * (n // 3 + 1) then o // (n // 3 + 1)
+folded as materialized (select *, cast(case when o < (n % 3) * (n // 3 + 1) then o // (n // 3 + 1)
   else n % 3 + (o - (n % 3) * (n // 3 + 1)) // (n // 3) end as int) as fold from seeds),
-train as (select replicate * 3 + (fold + s) % 3 as unit, label, a, d from folded, (values (1), (2)) t(s)),
-held as (select *, replicate * 3 + fold as unit from folded)"""
+train as materialized (select replicate * 3 + (fold + s) % 3 as unit, label, a, d from folded, (values (1), (2)) t(s)),
+held as materialized (select *, replicate * 3 + fold as unit from folded)"""
 oracle("cv_scores", f"""with {_CV_FOLDS}, {enfa_sql('train', 'held', 't.pid, t.label, t.replicate', 'a', 'd', 'unit', 't.unit = m.unit')}
 select 'enfa' as algorithm, replicate, pid, label, {r('score')} from scored""")
 

@@ -142,7 +142,7 @@ select replicate, {_METRICS} from ranked left join index using (replicate)""")
 @query
 def ensemble_curves(d):
     weights = _fixed_weights(d).withColumn("weight", F.col("weight") + 0.1)
-    return tidy(ens.ensemble_curves(ens.curve_bands(d.curves), weights, ["lr", "rf", "enfa"]), 5)
+    return tidy(ens.ensemble_curves(ens.curve_bands(d.curves), weights, ["lr", "rf", "enfa"]), 9)
 
 
 oracle("ensemble_curves", f"""
@@ -158,7 +158,7 @@ val as (select g.feature, grid_i, g, e.algorithm, case when g <= lo then mlo whe
   from grid g join ends e on e.feature = g.feature
   left join seg s on s.feature = g.feature and s.algorithm = e.algorithm and s.x1 is not null and g >= x0 and g < x1),
 tot as (select feature, sum(w) as s from ends join w using (algorithm) group by feature)
-select val.feature, grid_i, {r('min(g)', 'grid_v', 5)}, {r('sum(v * w / s)', 'pred', 5)}
+select val.feature, grid_i, {r('min(g)', 'grid_v', 9)}, {r('sum(v * w / s)', 'pred', 9)}
 from val join w using (algorithm) join tot on tot.feature = val.feature group by val.feature, grid_i""")
 
 
@@ -273,8 +273,9 @@ def _to_coarse(d, method):
 
 
 def _to_fine(d, method):
-    """The coarse layer onto the fine grid, whose first column it does not reach."""
-    return tidy(regrid(d.coarse, [d.coarse_layer], d.grid, method))
+    """The coarse layer onto a fine grid with three rows and columns more to the north and west than it covers."""
+    side = int(d.side) + 3
+    return tidy(regrid(d.coarse, [d.coarse_layer], Grid(-3.0, d.side + 3.0, 1.0, 1.0, side, side, "EPSG:32633"), method))
 
 
 for _method, _move in (("nearest", _to_fine), ("bilinear", _to_fine), ("cubic", _to_fine), ("average", _to_coarse),
@@ -287,17 +288,19 @@ def regrid_minmax(d):
     return tidy(_to_coarse(d, {"p1": "min", "p2": "max"}))
 
 
-_FINE = """n as (select g from fx_size), t as (select cast(i // g as int) as row, cast(i % g as int) as col from
-  (select unnest(range(0, (select g * g from fx_size))) as i), n),
-pos as (select row, col, (col + 0.5e0 - 0.5e0) / 2 as u, (row + 0.5e0) / 2 as v from t)"""
+_FINE = """n as (select g + 3 as g from fx_size), t as (select cast(i // g as int) as row, cast(i % g as int) as col from
+  (select unnest(range(0, (select g * g from n))) as i), n),
+pos as (select row, col, (col + 0.5e0 - 3 - 0.5e0) / 2 as u, (row + 0.5e0 - 3) / 2 as v from t),
+ends as (select max(row) + 1 as h, max(col) + 1 as w from fx_coarse)"""
 oracle("regrid_nearest", f"""with {_FINE} select 'soil' as layer, p.row, p.col, {r('value')} from pos p
 left join fx_coarse s on s.row = floor(v) and s.col = floor(u)""")
 
 
 def _kernel(reach: str, weight: str) -> str:
     return f"""with {_FINE}, o as (select unnest([{reach}]) as o),
-near as (select row, col, floor(u - 0.5e0) + a.o as c, floor(v - 0.5e0) + b.o as r, u - 0.5e0 as u, v - 0.5e0 as v from pos, o a, o b),
-met as (select n.row, n.col, value, {weight.format(d='abs(u - c)')} * {weight.format(d='abs(v - r)')} as w from near n
+near as (select row, col, floor(u - 0.5e0) + a.o as c, floor(v - 0.5e0) + b.o as r, u - 0.5e0 as u, v - 0.5e0 as v,
+  u >= 0 and u < w and v >= 0 and v < h as inside from pos, ends, o a, o b),
+met as (select n.row, n.col, case when inside then value end as value, {weight.format(d='abs(u - c)')} * {weight.format(d='abs(v - r)')} as w from near n
   left join fx_coarse s on s.row = n.r and s.col = n.c)
 select 'soil' as layer, row, col, {r('case when abs(sum(w) filter (value is not null)) > 1e-9 then sum(w * value) / sum(w) filter (value is not null) end', 'value')}
 from met group by row, col"""

@@ -54,8 +54,3 @@ def binarise(df: DataFrame, threshold, value: str = "value", missing: int = 0,
 
 def spread_or_one(sd: Column) -> Column:
     return F.when(sd < MIN_SPREAD, F.lit(1.0)).otherwise(sd)
-
-
-def interpolate(x: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
-    """Straight line through (x0, y0) and (x1, y1), flat where both ends coincide."""
-    return F.when(x1 == x0, y0).otherwise(y0 + (x - x0) * (y1 - y0) / (x1 - x0))

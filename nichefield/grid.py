@@ -33,7 +33,7 @@ class Grid:
 
     def __post_init__(self) -> None:
         if self.res_x <= 0 or self.res_y <= 0:
-            raise ValueError("resolution must be greater than zero")
+            raise ValueError("cells must have a positive size")
         if self.width < 1 or self.height < 1:
             raise ValueError("a grid needs at least one row and one column")
 
@@ -62,9 +62,9 @@ class Grid:
         """Smallest grid of whole cells that covers ``bounds`` from its top-left corner."""
         minx, miny, maxx, maxy = (float(v) for v in bounds)
         if res_x <= 0 or res_y <= 0:
-            raise ValueError("resolution must be greater than zero")
+            raise ValueError("cells must have a positive size")
         if maxx <= minx or maxy <= miny:
-            raise ValueError("the target extent is empty; the layers may not overlap")
+            raise ValueError("empty extent: nothing is common to the layers, or east and west or north and south are swapped")
         return cls(minx, maxy, res_x, res_y, cells_across(maxx - minx, res_x),
                    cells_across(maxy - miny, res_y), crs)
 

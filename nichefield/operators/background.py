@@ -7,12 +7,12 @@ the share of usable cells; a shortfall draws the next stretch of the same sequen
 
 from __future__ import annotations
 
-import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.coordinates import is_geographic, meters_per_degree_value
+from ..functions.coordinates import is_geographic, meters_per_degree, meters_per_degree_value
 from ..functions.hashing import hash_uniform
 from ..functions.scalars import all_finite, complete_rows, finite, with_cell
 from ..grid import DEFAULT_SEED, Grid
@@ -26,12 +26,26 @@ DEFAULT_COUNT = 10_000
 DEFAULT_RATIO = 4.0
 DEFAULT_QUANTILE = 0.025
 DEFAULT_MAX_METERS = 50_000.0
-MAX_ROUNDS = 20
-ROUND_FACTOR = 3
-MIN_ROUND = 1000
 BLOCK = 1024  # candidates expanded per row, so one request never sits in one task
 
 
+@dataclass(frozen=True)
+class Budget:
+    """Candidates tried at most for ``n`` wanted points: ``rounds * max(factor * n, least)``."""
+
+    rounds: int
+    factor: int
+    least: int
+
+    def tries(self, n: Column) -> Column:
+        return (self.rounds * F.greatest(self.factor * n, F.lit(self.least))).cast("bigint")
+
+
+# The budgets by kind of method. Each sampler takes another one as an argument.
+UNIFORM_BUDGET = Budget(20, 3, 1000)
+SEARCH_BUDGET = Budget(30, 5, 2000)  # where only some places qualify: disk, buffer, envelope
+
+
 def background_count(occ: DataFrame, method: str = "random", count: int = DEFAULT_COUNT,
                      ratio: float = DEFAULT_RATIO, keys=()) -> DataFrame:
     """Points to draw: a fixed count, or ``ratio`` per presence rounded half up (at least 1)."""
@@ -78,15 +92,15 @@ def _first_n(accepted: DataFrame, keys) -> DataFrame:
     return ranked.where(F.col("ordinal") < F.col("n")).drop("ordinal")
 
 
-def _sample(wanted: DataFrame, keys, seed: int, box, share: float, accept) -> DataFrame:
+def _sample(wanted: DataFrame, keys, seed: int, box, share: float, accept, tries: Budget) -> DataFrame:
     """Draw until every request is filled or the try budget is spent; may return fewer.
 
     The first stretch is sized from the share of usable cells, later ones from the acceptance
     seen so far. Stretches only decide how the sequence is cut, never what is accepted.
     """
-    share = min(1.0, max(share, 1.0 / (MAX_ROUNDS * ROUND_FACTOR)))
-    budget = (MAX_ROUNDS * F.greatest(ROUND_FACTOR * F.col("n"), F.lit(MIN_ROUND))).cast("bigint")
-    stretch = F.ceil(F.greatest(F.lit(MIN_ROUND), F.col("n") * F.lit(1.2 / share))).cast("bigint")
+    share = min(1.0, max(share, 1.0 / (tries.rounds * tries.factor)))
+    budget = tries.tries(F.col("n"))
+    stretch = F.ceil(F.greatest(F.lit(tries.least), F.col("n") * F.lit(1.2 / share))).cast("bigint")
     state = wanted.withColumns({"_done": F.lit(0).cast("bigint"), "_upto": F.least(budget, stretch)})
     found = None
     while True:
@@ -102,7 +116,7 @@ def _sample(wanted: DataFrame, keys, seed: int, box, share: float, accept) -> Da
         short = state.where((have < F.col("n")) & (F.col("_upto") < budget))
         if short.isEmpty():
             return _first_n(found, keys).select(*keys, "i", "x", "y")
-        need = F.ceil(F.col("n") * F.col("_upto") * 1.1 / F.greatest(have, F.lit(1))) + MIN_ROUND
+        need = F.ceil(F.col("n") * F.col("_upto") * 1.1 / F.greatest(have, F.lit(1))) + tries.least
         state = checkpointed(short.withColumns({"_done": F.col("_upto"), "_upto": F.least(budget, need.cast("bigint"))})
                              .drop("_got"))
 
@@ -119,7 +133,7 @@ def _on_usable_cells(cells: DataFrame, grid: Grid, columns, test: Column):
 
 
 def background_random(cells: DataFrame, grid: Grid, n, predictors, seed: int = DEFAULT_SEED,
-                      keys=()) -> DataFrame:
+                      keys=(), budget: Budget = UNIFORM_BUDGET) -> DataFrame:
     """Uniform over the extent, kept where the first predictor has a value.
 
     ``n`` is a number, or a table of ``keys`` and ``n`` such as ``background_count`` returns.
@@ -127,14 +141,15 @@ def background_random(cells: DataFrame, grid: Grid, n, predictors, seed: int = D
     keys, first = key_list(keys), predictors[0]
     share = _usable_share(cells, grid, finite(first))
     return _sample(_wanted(cells.sparkSession, n, keys), keys, seed, grid.bounds, share,
-                   _on_usable_cells(cells, grid, [first], finite(first)))
+                   _on_usable_cells(cells, grid, [first], finite(first)), budget)
 
 
 def background_disk(occ: DataFrame, cells: DataFrame, grid: Grid, n, predictors, min_m: float = 0.0,
-                    max_m: float = DEFAULT_MAX_METERS, seed: int = DEFAULT_SEED, keys=()) -> DataFrame:
+                    max_m: float = DEFAULT_MAX_METERS, seed: int = DEFAULT_SEED, keys=(),
+                    budget: Budget = SEARCH_BUDGET) -> DataFrame:
     """Nearest presence between ``min_m`` and ``max_m`` metres away (0 = no upper limit).
 
-    On a grid in degrees, metres are converted at the presences' mean latitude.
+    On a grid in degrees, metres are converted at the mean latitude of the presences, each key's own with ``keys``.
     """
     keys = key_list(keys)
     if min_m < 0 or max_m < 0:
@@ -146,38 +161,52 @@ def background_disk(occ: DataFrame, cells: DataFrame, grid: Grid, n, predictors,
         F.min("x"), F.min("y"), F.max("x"), F.max("y"), F.avg("y")).first()
     if px0 is None:
         raise ValueError("distance-based background needs presences")
-    per_unit = meters_per_degree_value(lat) if grid.crs and is_geographic(grid.crs) else 1.0
+    degrees = bool(grid.crs) and is_geographic(grid.crs)
+    per_unit = meters_per_degree_value(lat) if degrees else 1.0
+    # A key at another latitude has its coordinates stretched, so that one radius in units serves all keys.
+    stretch = None
+    if keys and degrees:
+        stretch = checkpointed(presences.groupBy(*keys).agg((meters_per_degree(F.avg("y")) / F.lit(per_unit)).alias("_s")))
     low, high = min_m / per_unit, max_m / per_unit
     wanted, box = _wanted(cells.sparkSession, n, keys), grid.bounds
     if high > 0:  # nothing beyond the presences' own box plus the outer radius can qualify
         box = (max(box[0], px0 - high), max(box[1], py0 - high),
                min(box[2], px1 + high), min(box[3], py1 + high))
-        if box[2] <= box[0] or box[3] <= box[1]:
+        if stretch is None and (box[2] <= box[0] or box[3] <= box[1]):
             raise ValueError("the area around the presences lies outside the grid")
         if keys:  # one box per request, so a narrow-ranged species is not searched for everywhere
-            own = presences.groupBy(*keys).agg(
-                F.greatest(F.lit(box[0]), F.min("x") - high).alias("_x0"),
-                F.greatest(F.lit(box[1]), F.min("y") - high).alias("_y0"),
-                F.least(F.lit(box[2]), F.max("x") + high).alias("_x1"),
-                F.least(F.lit(box[3]), F.max("y") + high).alias("_y1"))
+            far = F.lit(high) if stretch is None else F.lit(high) / F.first("_s")
+            near = presences if stretch is None else attach(presences, stretch, keys)
+            own = near.groupBy(*keys).agg(
+                F.greatest(F.lit(grid.bounds[0]), F.min("x") - far).alias("_x0"),
+                F.greatest(F.lit(grid.bounds[1]), F.min("y") - far).alias("_y0"),
+                F.least(F.lit(grid.bounds[2]), F.max("x") + far).alias("_x1"),
+                F.least(F.lit(grid.bounds[3]), F.max("y") + far).alias("_y1"))
             wanted = checkpointed(wanted.join(own, keys).where("_x1 > _x0 and _y1 > _y0"))
             box = tuple(F.col(c) for c in ("_x0", "_y0", "_x1", "_y1"))
     first = predictors[0]
     on_cell = _on_usable_cells(cells, grid, [first], finite(first))
 
     def accept(drawn: DataFrame) -> DataFrame:
-        return on_cell(in_distance_band(drawn, presences, "i", low, high, keys))
-
-    out = _sample(wanted, keys, seed, box, _usable_share(cells, grid, finite(first)), accept)
+        usable = on_cell(drawn)  # the cheap test first
+        if stretch is None:
+            return in_distance_band(usable, presences, "i", low, high, keys)
+        wide = {"x": F.col("x") * F.col("_s"), "y": F.col("y") * F.col("_s")}
+        there = attach(usable, stretch, keys).withColumns({"_px": F.col("x"), "_py": F.col("y")}).withColumns(wide)
+        known = attach(presences, stretch, keys).withColumns(wide).drop("_s")
+        held = in_distance_band(there, known, "i", low, high, keys)
+        return held.withColumns({"x": F.col("_px"), "y": F.col("_py")}).drop("_px", "_py", "_s")
+
+    out = _sample(wanted, keys, seed, box, _usable_share(cells, grid, finite(first)), accept, budget)
     if out.isEmpty():
         raise ValueError("no location lies between the minimum and maximum distance from a presence")
     return out
 
 
 def background_buffered(occ: DataFrame, cells: DataFrame, grid: Grid, n, predictors, dist_m: float,
-                        seed: int = DEFAULT_SEED, keys=()) -> DataFrame:
+                        seed: int = DEFAULT_SEED, keys=(), budget: Budget = SEARCH_BUDGET) -> DataFrame:
     """Any presence within one radius."""
-    return background_disk(occ, cells, grid, n, predictors, 0.0, dist_m, seed, keys)
+    return background_disk(occ, cells, grid, n, predictors, 0.0, dist_m, seed, keys, budget)
 
 
 def presence_envelope(values: DataFrame, predictors, q: float = DEFAULT_QUANTILE, keys=()) -> DataFrame:
@@ -191,7 +220,8 @@ def presence_envelope(values: DataFrame, predictors, q: float = DEFAULT_QUANTILE
 
 
 def background_sre(occ: DataFrame, cells: DataFrame, grid: Grid, n, predictors,
-                   q: float = DEFAULT_QUANTILE, seed: int = DEFAULT_SEED, keys=()) -> DataFrame:
+                   q: float = DEFAULT_QUANTILE, seed: int = DEFAULT_SEED, keys=(),
+                   budget: Budget = SEARCH_BUDGET) -> DataFrame:
     """Valid on every predictor and outside the presences' envelope on at least one."""
     keys = key_list(keys)
     at_presence = extract(with_cell(occ.where(F.col("presence") == 1), grid), cells, predictors)
@@ -207,7 +237,7 @@ def background_sre(occ: DataFrame, cells: DataFrame, grid: Grid, n, predictors,
         return attach(seen, envelope.drop("n_used"), keys).where(outside).select(*drawn.columns)
 
     out = _sample(_wanted(cells.sparkSession, n, keys), keys, seed, grid.bounds,
-                  _usable_share(cells, grid, all_finite(predictors)), accept)
+                  _usable_share(cells, grid, all_finite(predictors)), accept, budget)
     if out.isEmpty():
         raise ValueError("no location lies outside the presences' environmental envelope")
     return out

@@ -24,8 +24,8 @@ def shuffle_width(spark: SparkSession) -> int:
 
 
 def at_most(df: DataFrame, rows: int) -> bool:
-    """Whether ``df`` has no more than ``rows`` rows; stops counting just past the bound."""
-    return df.limit(rows + 1).count() <= rows
+    """Whether ``df`` has no more than ``rows`` rows, by a count that is combined on the map side."""
+    return df.count() <= rows
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,8 +46,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def join_on(left: DataFrame, right: DataFrame, keys, how: str = "inner") -> DataFrame:
-    """Null-safe equi-join on ``keys``.
+def join_on(left: DataFrame, right: DataFrame, keys, how: str = "inner", small: bool = False) -> DataFrame:
+    """Null-safe equi-join on ``keys``; ``small`` broadcasts ``right``, whose size the caller has checked.
 
     A plain join adds "key is not null" filters to one branch only, after which two branches of the
     same table no longer share their exchange. Null-safe equality adds none, and keeps null keys.
@@ -55,28 +55,32 @@ def join_on(left: DataFrame, right: DataFrame, keys, how: str = "inner") -> Data
     names = [c for c in right.columns if c not in keys]
     renamed = right.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *names)
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
-    return left.join(renamed, same, how).drop(*[f"_k_{k}" for k in keys])
+    return left.join(F.broadcast(renamed) if small else renamed, same, how).drop(*[f"_k_{k}" for k in keys])
 
 
 def lookup(big: DataFrame, small: DataFrame, on, how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join a table with one row per ``on`` to a large one.
 
-    A few weights or blocks are broadcast once a bounded count shows they are few: shuffling the
+    A few weights or blocks are broadcast once a count shows they are few: shuffling the
     large side on a handful of keys would pile it up in as many tasks. More rows than that mean
-    enough keys for a shuffle join, where AQE splits the hot ones.
+    enough keys for a shuffle join, where AQE splits the hot ones. The small table is
+    checkpointed, so that counting it does not compute it twice.
     """
+    small = checkpointed(small)
     return big.join(F.broadcast(small) if at_most(small, rows) else small, on, how)
 
 
 def attach(df: DataFrame, stats: DataFrame, keys) -> DataFrame:
     """Add per-key statistics to each row; without keys ``stats`` has a single row.
 
-    The single row travels as a scalar subquery, so no join runs at all. With keys the planner
-    chooses the join from its own size estimates.
+    The single row travels as a scalar subquery, so no join runs at all. With keys the statistics
+    are computed once and broadcast when they are few, so that a large table with a handful of keys
+    is not shuffled on them; many keys shuffle.
     """
     keys = key_list(keys)
     if keys:
-        return join_on(df, stats, keys)
+        stats = checkpointed(stats)
+        return join_on(df, stats, keys, small=at_most(stats, BROADCAST_ROWS))
     names = stats.columns
     row = stats.select(F.struct(*names).alias("s")).scalar()
     return df.withColumn("_stats", row).select(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.scalars import clean_number
-from .common import at_most, checkpointed, key_list, range_parts
+from .common import at_most, checkpointed, join_on, key_list, range_parts
 
 # Up to this many rows the built-in aggregate may hold all values of a group in one task.
 IN_TASK_ROWS = 1_000_000
@@ -31,12 +31,10 @@ def quantiles(df: DataFrame, cols, probs, keys=(), count: str | None = None,
     found = _ranked(rows, cols, probs, keys)
     wide = found.groupBy(*keys).agg(*[
         F.max(F.when(F.col("_f") == c, F.col("_q"))).alias(c) for c in cols])
-    if not count:
-        return wide
-    sizes = rows.groupBy(*keys).agg(number)
-    if keys:
-        return sizes.join(wide, keys)
-    return wide.withColumn(count, sizes.select(count).scalar())
+    if keys:  # every group keeps its row, null keys and groups without a value included
+        out = join_on(rows.groupBy(*keys).agg(number), wide, keys, "left")
+        return out if count else out.drop("_n")
+    return wide.withColumn(count, rows.select(number).scalar()) if count else wide
 
 
 def _ranked(rows: DataFrame, cols, probs, keys) -> DataFrame:
@@ -54,10 +52,11 @@ def _ranked(rows: DataFrame, cols, probs, keys) -> DataFrame:
     ranks = placed.withColumn("_p", F.explode(F.array(*[F.lit(p) for p in probs]))).withColumns(
         {"_lo": F.floor(position), "_hi": F.ceil(position), "_w": position - F.floor(position)})
     ranks = ranks.where("(_lo >= _off and _lo < _off + _size) or (_hi >= _off and _hi < _off + _size)")
-    hit = parts.join(placed.join(ranks.select(*by, "_part").distinct(), [*by, "_part"], "left_semi"), [*by, "_part"])
+    wanted = join_on(placed.select(*by, "_part", "_off"), ranks.select(*by, "_part").distinct(), [*by, "_part"])
+    hit = join_on(parts, wanted, [*by, "_part"])
     upto = F.sum("_c").over(W.partitionBy(*by, "_part").orderBy("_v")) + F.col("_off")
     spans = hit.withColumn("_end", upto).select(*by, "_part", "_v", (F.col("_end") - F.col("_c")).alias("_start"), "_end")
-    both = spans.join(ranks.select(*by, "_part", "_p", "_lo", "_hi", "_w"), [*by, "_part"])
+    both = join_on(spans, ranks.select(*by, "_part", "_p", "_lo", "_hi", "_w"), [*by, "_part"])
 
     def at(rank: str):
         return F.max(F.when((F.col(rank) >= F.col("_start")) & (F.col(rank) < F.col("_end")), F.col("_v")))

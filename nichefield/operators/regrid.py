@@ -4,6 +4,7 @@ centre; area methods send each source cell to the target cells it overlaps."""
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,21 +36,27 @@ def regrid(layer_values: DataFrame, layers: list[Layer], target: Grid, methods="
     bad = sorted(set(chosen.values()) - set(METHODS))
     if bad:
         raise ValueError(f"unknown resampling method {bad}")
-    values = mask_nodata(layer_values, layers)
-    out = None
+    values = mask_nodata(layer_values, layers).where(F.col("value").isNotNull()).select("layer", "row", "col", "value")
+    # Layers of one grid and method move together: one scan, with the layer as a key.
+    together: dict = {}
     for layer in layers:
-        source = values.where(F.col("layer") == layer.name).where(F.col("value").isNotNull()).select("row", "col", "value")
-        one = _regrid_one(source, layer.grid, target, chosen[layer.name]).select(
-            F.lit(layer.name).alias("layer"), "row", "col", "value")
-        out = one if out is None else out.unionByName(one)
-    return out
+        together.setdefault((layer.grid, chosen[layer.name]), []).append(layer.name)
+    moved = [_regrid_together(values.where(F.col("layer").isin(names)), names, grid, target, method)
+             for (grid, method), names in together.items()]
+    return reduce(DataFrame.unionByName, moved).select("layer", "row", "col", "value")
 
 
-def _regrid_one(source: DataFrame, grid: Grid, target: Grid, method: str) -> DataFrame:
+def _regrid_together(source: DataFrame, names: list[str], grid: Grid, target: Grid, method: str) -> DataFrame:
+    cells = target_cells(source.sparkSession, target).withColumn("layer", F.explode(F.array(*[F.lit(n) for n in names])))
     if method in ("nearest", "bilinear", "cubic"):
-        return _interpolated(source, grid, target, method)
-    found = _pooled(source, grid, target, method)
-    return target_cells(source.sparkSession, target).join(found, ["row", "col"], "left")
+        return _interpolated(source, cells, grid, target, method)
+    found = cells.join(_pooled(source, grid, target, method), ["layer", "row", "col"], "left")
+    if grid.crs == target.crs:
+        return found
+    # Between coordinate systems source cells count by their centres: a target cell without any takes the source
+    # cell that it lies in.
+    inside = _interpolated(source, cells, grid, target, "nearest").withColumnRenamed("value", "_at")
+    return found.join(inside, ["layer", "row", "col"], "left").withColumn("value", F.coalesce("value", "_at"))
 
 
 def _source_position(grid: Grid, target: Grid) -> tuple[Column, Column]:
@@ -67,42 +74,42 @@ def _cubic(t: Column) -> Column:
     return F.when(d <= 1.0, near).when(d < 2.0, far).otherwise(0.0)
 
 
-def _interpolated(source: DataFrame, grid: Grid, target: Grid, method: str) -> DataFrame:
+def _interpolated(source: DataFrame, cells: DataFrame, grid: Grid, target: Grid, method: str) -> DataFrame:
     u, v = _source_position(grid, target)
-    cells = target_cells(source.sparkSession, target)
+    held = source.select("layer", F.col("row").alias("_r"), F.col("col").alias("_c"), "value")
     if method == "nearest":
-        at = cells.select("row", "col", F.floor(v).alias("_r"), F.floor(u).alias("_c"))
-        return at.join(source.select(F.col("row").alias("_r"), F.col("col").alias("_c"), "value"),
-                       ["_r", "_c"], "left").select("row", "col", "value")
+        at = cells.select("layer", "row", "col", F.floor(v).alias("_r"), F.floor(u).alias("_c"))
+        return at.join(held, ["layer", "_r", "_c"], "left").select("layer", "row", "col", "value")
     reach = (0, 1) if method == "bilinear" else (-1, 0, 1, 2)
-    placed = cells.withColumns({"_u": u - 0.5, "_v": v - 0.5})
+    # Nothing is made up for a target centre outside the source grid.
+    within = (u >= 0) & (u < grid.width) & (v >= 0) & (v < grid.height)
+    placed = cells.withColumns({"_u": u - 0.5, "_v": v - 0.5, "_in": within})
     around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in reach for j in reach]))
     near = placed.withColumn("_o", around).withColumns(
         {"_c": F.floor("_u") + F.col("_o.i"), "_r": F.floor("_v") + F.col("_o.j")})
     du, dv = F.col("_u") - F.col("_c"), F.col("_v") - F.col("_r")
     weight = ((1.0 - F.abs(du)) * (1.0 - F.abs(dv))) if method == "bilinear" else _cubic(du) * _cubic(dv)
-    met = near.select("row", "col", "_r", "_c", weight.alias("_w")).join(
-        source.select(F.col("row").alias("_r"), F.col("col").alias("_c"), "value"), ["_r", "_c"], "left")
+    met = near.select("layer", "row", "col", "_r", "_c", F.when(F.col("_in"), weight).alias("_w")).join(held, ["layer", "_r", "_c"], "left")
     mass = F.sum(F.when(F.col("value").isNotNull(), F.col("_w")))
-    return met.groupBy("row", "col").agg(
+    return met.groupBy("layer", "row", "col").agg(
         F.when(F.abs(mass) > 1e-9, F.sum(F.col("value") * F.col("_w")) / mass).alias("value"))
 
 
 def _pooled(source: DataFrame, grid: Grid, target: Grid, method: str) -> DataFrame:
     met = _overlaps(source, grid, target)
-    group = met.groupBy("row", "col")
+    group = met.groupBy("layer", "row", "col")
     if method == "average":
         return group.agg((F.sum(F.col("value") * F.col("_w")) / F.sum("_w")).alias("value"))
     if method in ("min", "max"):
         return group.agg((F.min if method == "min" else F.max)("value").alias("value"))
     if method == "mode":  # counted by value first, so a huge target cell is never one task's list
-        counts = met.groupBy("row", "col", "value").agg(F.count(F.lit(1)).alias("n"))
-        return counts.groupBy("row", "col").agg((-F.max(F.struct("n", (-F.col("value")).alias("v")))["v"]).alias("value"))
+        counts = met.groupBy("layer", "row", "col", "value").agg(F.count(F.lit(1)).alias("n"))
+        return counts.groupBy("layer", "row", "col").agg((-F.max(F.struct("n", (-F.col("value")).alias("v")))["v"]).alias("value"))
     per_target = math.ceil(target.res_x / grid.res_x + 1) * math.ceil(target.res_y / grid.res_y + 1)
     if grid.crs == target.crs and per_target <= IN_TASK_ROWS:
         return group.agg(F.percentile("value", 0.5).alias("value"))
-    return quantiles(met, ["value"], [0.5], ["row", "col"], in_task_rows=0).select(
-        "row", "col", F.col("value")[0].alias("value"))
+    return quantiles(met, ["value"], [0.5], ["layer", "row", "col"], in_task_rows=0).select(
+        "layer", "row", "col", F.col("value")[0].alias("value"))
 
 
 def _overlaps(source: DataFrame, grid: Grid, target: Grid) -> DataFrame:
@@ -115,11 +122,11 @@ def _overlaps(source: DataFrame, grid: Grid, target: Grid) -> DataFrame:
         y = F.lit(grid.maxy) - (F.col("row") + 0.5) * grid.res_y
         x, y = transform_xy(x, y, grid.crs, target.crs)
         row, col = F.floor((F.lit(target.maxy) - y) / target.res_y), F.floor((x - target.minx) / target.res_x)
-        return source.select(row.cast("int").alias("row"), col.cast("int").alias("col"), "value", F.lit(1.0).alias("_w")) \
+        return source.select("layer", row.cast("int").alias("row"), col.cast("int").alias("col"), "value", F.lit(1.0).alias("_w")) \
             .where((F.col("row") >= 0) & (F.col("row") < target.height) & (F.col("col") >= 0) & (F.col("col") < target.width))
     left = (F.lit(grid.minx - target.minx) + F.col("col") * grid.res_x) / target.res_x
     top = (F.lit(target.maxy - grid.maxy) + F.col("row") * grid.res_y) / target.res_y
-    spans = source.select("value", left.alias("x0"), (left + grid.res_x / target.res_x).alias("x1"),
+    spans = source.select("layer", "value", left.alias("x0"), (left + grid.res_x / target.res_x).alias("x1"),
                           top.alias("y0"), (top + grid.res_y / target.res_y).alias("y1"))
 
     def reached(low: str, high: str, n: int) -> Column:
@@ -133,5 +140,5 @@ def _overlaps(source: DataFrame, grid: Grid, target: Grid) -> DataFrame:
     def share(low: str, high: str, at: str) -> Column:
         return F.least(F.col(high), F.col(at) + 1.0) - F.greatest(F.col(low), F.col(at).cast("double"))
 
-    return met.select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), "value",
+    return met.select("layer", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), "value",
                       (share("x0", "x1", "col") * share("y0", "y1", "row")).alias("_w"))

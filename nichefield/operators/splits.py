@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.hashing import hash_uniform
-from ..functions.scalars import finite, interpolate, with_cell
+from ..functions.scalars import finite, with_cell
 from ..grid import DEFAULT_SEED, Grid
 from .cells import extract
 from .common import attach, key_list, lookup, ordinal, shuffled

@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from ..functions.hashing import hash_order, order_bucket
 from ..functions.scalars import all_finite, complete_rows
 from .cells import moments
-from .common import at_most, checkpointed, key_list, ordinal, range_parts, shuffle_width
+from .common import at_most, checkpointed, join_on, key_list, ordinal, range_parts, shuffle_width
 
 BROADCAST_VALUES = 2_000_000  # training numbers held in memory by a task
 MIN_SPAN = 1e-9  # fixed value: floor of a predictor's training range
@@ -48,6 +48,7 @@ def mess(cells: DataFrame, training: DataFrame, predictors, keys=(),
     keys, predictors = key_list(keys), list(predictors)
     values = _training_values(training, predictors, keys)
     wanted = cells.select(*keys, "row", "col", *[F.col(p).cast("double").alias(p) for p in predictors])
+    values = checkpointed(values)
     if at_most(values, broadcast_values):
         return _mess_broadcast(wanted, values, predictors, keys)
     return _mess_shuffled(wanted, values, predictors, keys)
@@ -60,11 +61,25 @@ def _similarity(f, n, v, low, high):
     return np.where(v < low, (v - low) / span * 100.0, np.where(v > high, (high - v) / span * 100.0, inside))
 
 
+def _plain(key) -> tuple:
+    """A group's key with every missing value as None, so that a null key finds its own records."""
+    return tuple(None if pd.isna(k) else k for k in (key if isinstance(key, tuple) else (key,)))
+
+
+def _groups_of(pdf: pd.DataFrame, keys):
+    """(key, positions) of each group of a batch, null keys included."""
+    if not keys:
+        return [((), np.arange(len(pdf)))]
+    number = pdf.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
+    firsts = pdf[keys].iloc[np.unique(number, return_index=True)[1]]
+    return [(_plain(tuple(k)), np.flatnonzero(number == i)) for i, k in enumerate(firsts.itertuples(index=False, name=None))]
+
+
 def _mess_broadcast(cells, values, predictors, keys):
     held: dict = {}
     table = values.toPandas().sort_values("v")
-    for at, part in table.groupby([*keys, "f"], sort=False):
-        held[tuple(at)] = (part["v"].to_numpy(), np.concatenate([[0], part["c"].to_numpy().cumsum()]))
+    for at, part in table.groupby([*keys, "f"], sort=False, dropna=False):
+        held[_plain(at)] = (part["v"].to_numpy(), np.concatenate([[0], part["c"].to_numpy().cumsum()]))
     shared = cells.sparkSession.sparkContext.broadcast(held)
 
     def per_task(batches):
@@ -72,9 +87,7 @@ def _mess_broadcast(cells, values, predictors, keys):
         for pdf in batches:
             out = np.full(len(pdf), np.nan)
             x = pdf[predictors].to_numpy(float)
-            groups = pdf.groupby(keys, sort=False).indices.items() if keys else [((), np.arange(len(pdf)))]
-            for key, at in groups:
-                key = key if isinstance(key, tuple) else (key,)
+            for key, at in _groups_of(pdf, keys):
                 if (*key, 0) not in curves:
                     continue
                 worst = np.full(len(at), np.inf)
@@ -107,12 +120,13 @@ def _mess_shuffled(cells, values, predictors, keys):
     offsets = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
     spans = values.groupBy(*by).agg(F.sum("c").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
     f = F.sum("c").over(W.partitionBy(*by, "_part").orderBy("v")) + F.col("_off")
-    ranked = parts.join(offsets, [*by, "_part"]).withColumn("below", f).join(spans, by)
+    ranked = join_on(join_on(parts, offsets, [*by, "_part"]).withColumn("below", f), spans, by)
     span = F.greatest(F.col("high") - F.col("low"), F.lit(MIN_SPAN))
     sim = (F.when(F.col("v") < F.col("low"), (F.col("v") - F.col("low")) / span * 100.0)
            .when(F.col("v") > F.col("high"), (F.col("high") - F.col("v")) / span * 100.0)
            .otherwise(F.least(F.col("below"), F.col("n") - F.col("below")) / F.col("n") * 200.0))
-    scored = long.join(ranked.select(*by, "v", sim.alias("sim")), [*by, "v"])
+    # Cells whose key has no training records keep their row, with NULL.
+    scored = join_on(long, ranked.select(*by, "v", sim.alias("sim")), [*by, "v"], "left")
     found = scored.groupBy(*keys, "row", "col").agg(F.min("sim").alias("mess"))
     rest = cells.where(~all_finite(predictors)).select(*keys, "row", "col", F.lit(None).cast("double").alias("mess"))
     return found.unionByName(rest)
@@ -221,11 +235,13 @@ def _mop_blocked(cells, rows, predictors, percentile, block_rows: int = BLOCK_RO
         lows, highs, out = left["low"].to_numpy(), left["high"].to_numpy(), []
         if len(b):
             for i, d in chunks(a, b):
-                for j, row in enumerate(d):
-                    s, e = np.searchsorted(row, lows[i + j]), np.searchsorted(row, highs[i + j], side="right")
-                    v, c = np.unique(row[s:e], return_counts=True)
-                    out.append((left["vid"].iat[i + j], int(s), float(np.sqrt(row[:s]).sum()),
-                                np.sqrt(v).tolist(), c.tolist()))
+                low, high = lows[i:i + len(d), None], highs[i:i + len(d), None]
+                below, within, root = d < low, (d >= low) & (d <= high), np.sqrt(d)
+                n_below, sum_below = below.sum(axis=1), np.where(below, root, 0.0).sum(axis=1)
+                held = np.split(root[within], np.cumsum(within.sum(axis=1))[:-1])
+                for j, part in enumerate(held):
+                    v, c = np.unique(part, return_counts=True)
+                    out.append((left["vid"].iat[i + j], int(n_below[j]), float(sum_below[j]), v.tolist(), c.tolist()))
         return pd.DataFrame(out, columns=["vid", "n_below", "sum_below", "d", "c"])
 
     ends = meet(vectors, bracket, "vid bigint, low double, high double").groupBy("vid").agg(
