@@ -12,10 +12,11 @@ from ..operators import surfaces as su
 from ..operators import transfer as tr
 from ..operators.common import checkpointed
 from ..operators.notes import headline, run_notes
+from ..operators.quantiles import quantiles
 from ..operators.regrid import regrid
 from ..plans.run import Settings, run
 from .modelling import _SUMMARY, ENSEMBLE_OOF, QUICK, _equal, _evaluation, _METRICS, enfa_sql
-from .points import LABELLED, labelled
+from .points import LABELLED, fresh_path, labelled
 from .tables import Data, r, tidy, with_tables
 
 QUERIES, ORACLES = {}, {}
@@ -115,10 +116,14 @@ oracle("ensemble_surface", f"with {_ENSEMBLE} select row, col, {r('value')}, {r(
 def ensemble_wide(d):
     """The same ensemble with algorithms side by side in each cell's row: no shuffle after the pivot."""
     wide = d.preds.groupBy("row", "col").pivot("algorithm", ["lr", "rf", "enfa"]).agg(F.avg("value"))
-    return tidy(su.ensemble_wide(wide, {"lr": 0.75, "rf": 0.0, "enfa": 0.25}, 0.5).select("row", "col", "value", "sd"))
+    return tidy(su.ensemble_wide(wide, {"lr": 0.75, "rf": 0.0, "enfa": 0.25}, 0.5,
+                                  own_thresholds={"lr": 0.4, "enfa": 0.6}).drop("lr", "rf", "enfa"))
 
 
-oracle("ensemble_wide", f"with {_ENSEMBLE} select row, col, {r('value')}, {r('sd')} from ensemble")
+oracle("ensemble_wide", f"""with {_ENSEMBLE}, own as (select row, col, max(v) filter (algorithm = 'lr') as lr, max(v) filter (algorithm = 'enfa') as enfa from m group by row, col)
+select e.row, e.col, {r('e.value', 'value')}, {r('e.sd', 'sd')}, case when e.value is null then 255 when e.value >= 0.5e0 then 1 else 0 end as binary,
+  case when lr is null then 255 when lr >= 0.4e0 then 1 else 0 end as lr_binary, case when enfa is null then 255 when enfa >= 0.6e0 then 1 else 0 end as enfa_binary
+from ensemble e join own o on o.row = e.row and o.col = e.col""")
 
 
 @query
@@ -219,6 +224,66 @@ def mess_by_key(d):
     return tidy(tr.mess(d.future.select("*", half), _train(d).select("*", half), P3, keys=["half"]))
 
 
+def _zone(d):
+    """Keys with a null group, one without training records (3) and one without cells (4)."""
+    third = F.col("col") * 3 / F.lit(d.side)
+    cells = F.when(third < 1, F.lit(0)).when(third < 2, F.lit(None)).otherwise(F.lit(3)).cast("int").alias("zone")
+    known = F.when(third < 1, F.lit(0)).when(third < 2, F.lit(None)).otherwise(F.lit(4)).cast("int").alias("zone")
+    return d.future.select("*", cells), _train(d).select("*", known)
+
+
+@query
+def mess_by_zone(d):
+    return tidy(tr.mess(*_zone(d), P3, keys=["zone"]))
+
+
+@query
+def mess_by_zone_shuffled(d):
+    return tidy(tr.mess(*_zone(d), P3, keys=["zone"], broadcast_values=0))
+
+
+def _by_zone(p: str) -> str:
+    return f"""s_{p} as (select row, col, case when {p} < lo then ({p} - lo) / greatest(hi - lo, 1e-9) * 100
+  when {p} > hi then (hi - {p}) / greatest(hi - lo, 1e-9) * 100 else least(f, n - f) / n * 200 end as s
+  from (select c.row, c.col, c.{p}, count(t.{p}) as f, max(lo) as lo, max(hi) as hi, max(n) as n from future c
+    join (select zone, min({p}) as lo, max({p}) as hi, count(*) as n from th group by zone) b on b.zone is not distinct from c.zone
+    left join th t on t.zone is not distinct from c.zone and t.{p} <= c.{p} where c.{p} is not null group by c.row, c.col, c.{p}) x)"""
+
+
+for _name in ("mess_by_zone", "mess_by_zone_shuffled"):
+    oracle(_name, f"""with {_TRAIN}, th as (select *, case when col * 3 < {{G}} then 0 when col * 3 < {{G}} * 2 then null else 4 end as zone from train),
+future as (select *, case when col * 3 < {{G}} then 0 when col * 3 < {{G}} * 2 then null else 3 end as zone from fx_future),
+{_by_zone('p1')}, {_by_zone('p2')}, {_by_zone('p3')}
+select zone, c.row, c.col, {r('case when c.p1 is not null and c.p2 is not null and c.p3 is not null then least(a.s, b.s, e.s) end', 'mess')}
+from future c left join s_p1 a on a.row = c.row and a.col = c.col
+  left join s_p2 b on b.row = c.row and b.col = c.col left join s_p3 e on e.row = c.row and e.col = c.col""")
+
+
+def _zone_quantiles(d, **options):
+    """Quantiles per zone of the map, one without a value and one null."""
+    third = F.col("col") * 3 / F.lit(d.side)
+    zone = F.when(third < 1, F.lit(0)).when(third < 2, F.lit(None)).otherwise(F.lit(3)).cast("int")
+    rows = d.cells.select(zone.alias("zone"), F.when(third < 2, F.col("p1")).alias("p1"), "p2")
+    q = quantiles(rows, ["p1", "p2"], [0.25, 0.9], ["zone"], count="n", **options)
+    return tidy(q.select("zone", "n", *[F.col(p)[i].alias(f"{p}_{i}") for p in ("p1", "p2") for i in (0, 1)]))
+
+
+@query
+def quantiles_by_zone(d):
+    return _zone_quantiles(d)
+
+
+@query
+def quantiles_by_zone_ranked(d):
+    return _zone_quantiles(d, in_task_rows=0)
+
+
+for _name in ("quantiles_by_zone", "quantiles_by_zone_ranked"):
+    oracle(_name, f"""select case when col * 3 < {{G}} then 0 when col * 3 < {{G}} * 2 then null else 3 end as zone, count(*) as n,
+  {r('quantile_cont(case when col * 3 < {G} * 2 then p1 end, 0.25e0)', 'p1_0')}, {r('quantile_cont(case when col * 3 < {G} * 2 then p1 end, 0.9e0)', 'p1_1')},
+  {r('quantile_cont(p2, 0.25e0)', 'p2_0')}, {r('quantile_cont(p2, 0.9e0)', 'p2_1')} from fx_cells group by 1""")
+
+
 def _by_half(p: str) -> str:
     return f"""s_{p} as (select row, col, case when {p} < lo then ({p} - lo) / greatest(hi - lo, 1e-9) * 100
   when {p} > hi then (hi - {p}) / greatest(hi - lo, 1e-9) * 100 else least(f, n - f) / n * 200 end as s
@@ -399,6 +464,39 @@ def habitat_run(d):
     return tidy(run(*_inputs(d), _settings()).surface)
 
 
+def _explained(d):
+    return run(*_inputs(d), _settings())
+
+
+@query
+def run_importance(d):
+    """Importance summary of every algorithm of a whole run."""
+    return tidy(_explained(d).importance_summary)
+
+
+@query
+def run_curves(d):
+    """The ensemble's response curves of a whole run."""
+    return tidy(_explained(d).ensemble_curves)
+
+
+@query
+def run_binaries(d):
+    """Per-algorithm and ensemble binary surfaces of a whole run."""
+    return _explained(d).surface.select("row", "col", "enfa_binary", "lr_binary", "binary")
+
+
+@query
+def run_tables(d):
+    """All report tables of a whole run, written to storage and read back: rows of each."""
+    done, folder, out = _explained(d), fresh_path(d.spark, "tables"), None
+    done.write_tables(folder)
+    for name in done.tables():
+        one = d.spark.read.json(f"{folder}/{name}").agg(F.lit(name).alias("table"), F.count(F.lit(1)).alias("n"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query
 def habitat_run_notes(d):
     """The same run carried to a second grid, read by the rules."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import complete_rows
 from ..grid import DEFAULT_SEED
-from .common import shuffled
+from .common import attach, shuffled
 from .evaluate import auc
 from .quantiles import quantiles
 
@@ -63,6 +63,33 @@ def importance(score, df: DataFrame, label: str, predictors, ident: str = "pid",
     return drops.groupBy("feature").agg(F.avg("importance").alias("importance"))
 
 
+def _by_model(models: dict, rows: DataFrame, keep, out: str = "score") -> DataFrame:
+    """All models' scores of the same rows, one row per model: the rows are made and read once."""
+    scored = rows
+    for (a, r), m in models.items():
+        scored = m.score(scored, f"_s_{a}_{r}")
+    each = F.explode(F.array(*[F.struct(F.lit(a).alias("algorithm"), F.lit(r).alias("replicate"), F.col(f"_s_{a}_{r}").alias(out))
+                               for a, r in models]))
+    return scored.select(*keep, each.alias("_e")).select("_e.algorithm", "_e.replicate", *keep, f"_e.{out}")
+
+
+def model_importances(models: dict, df: DataFrame, label: str, predictors, ident: str = "pid",
+                      repeats: int = DEFAULT_REPEATS, seed: int = DEFAULT_SEED) -> DataFrame:
+    """H7 for all algorithms and replicates of a run: the permuted copies are made once and shared."""
+    rows = complete_rows(df, predictors)
+    whole = rows.select(F.lit("").alias("feature"), F.lit(-1).alias("repeat"), ident, label, *predictors)
+    both = whole.unionByName(permuted(rows, ident, label, predictors, predictors, repeats, seed))
+    skill = auc(_by_model(models, both, ["feature", "repeat", label]), label, "score", ["algorithm", "replicate", "feature", "repeat"])
+    by = ["algorithm", "replicate"]
+    base = skill.where("repeat = -1").select(*by, F.col("auc").alias("_base"))
+    return attach(skill.where("repeat >= 0"), base, by).groupBy(*by, "feature").agg(F.avg(F.col("_base") - F.col("auc")).alias("importance"))
+
+
+def model_curves(models: dict, df: DataFrame, predictors, n_grid: int = DEFAULT_GRID) -> DataFrame:
+    """H8 for all algorithms and replicates of a run, over one common grid."""
+    return _by_model(models, pd_grid(df, predictors, n_grid), ["feature", "grid_i", "grid_v"], "pred")
+
+
 def ensemble_score(models: dict, weights: dict[str, float]):
     """Scoring function of the ensemble: mean over replicate models, then weighted over algorithms."""
     positive = {a: max(float(weights.get(a, 0.0)), 0.0) for a, _ in models}

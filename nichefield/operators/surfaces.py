@@ -46,9 +46,16 @@ def predict_wide(models: dict[tuple[str, int], Model], cells: DataFrame, keys=()
                          *[_mean_present([F.col(c) for c in cols]).alias(a) for a, cols in names.items()])
 
 
+def _binary(value: Column, threshold: float) -> Column:
+    return F.when(value.isNull(), F.lit(255)).when(value >= threshold, F.lit(1)).otherwise(F.lit(0))
+
+
 def ensemble_wide(surface: DataFrame, weights: dict[str, float], threshold: float | None = None,
-                  keys=()) -> DataFrame:
-    """I4 on side-by-side columns: weighted mean and population SD as row arithmetic."""
+                  keys=(), own_thresholds: dict[str, float] | None = None) -> DataFrame:
+    """I4 on side-by-side columns: weighted mean and population SD as row arithmetic.
+
+    I12: ``threshold`` adds the ensemble's binary surface, ``own_thresholds`` one per algorithm (``<name>_binary``).
+    """
     names = [a for a in weights if a in surface.columns]
     columns = [F.col(a) for a in names]
     have = _add([c.isNotNull().cast("int") for c in columns])
@@ -59,7 +66,7 @@ def ensemble_wide(surface: DataFrame, weights: dict[str, float], threshold: floa
     value = F.when(have > 0, total / F.when(mass > 0, mass).otherwise(F.lit(1.0)))
     out = surface.select(*key_list(keys), "row", "col", *names, value.alias("value"),
                          F.when(have > 0, F.sqrt(spread)).alias("sd"))
-    if threshold is None:
-        return out
-    binary = F.when(F.col("value").isNull(), F.lit(255)).when(F.col("value") >= threshold, F.lit(1)).otherwise(F.lit(0))
-    return out.withColumn("binary", binary)
+    cuts = {f"{a}_binary": _binary(F.col(a), t) for a, t in (own_thresholds or {}).items() if a in names}
+    if threshold is not None:
+        cuts["binary"] = _binary(F.col("value"), threshold)
+    return out.withColumns(cuts) if cuts else out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -11,18 +12,20 @@ from ..functions.coordinates import is_geographic, meters_per_degree_value, repr
 from ..grid import DEFAULT_SEED, Grid
 from ..models import ALGORITHMS
 from ..models.base import Model
+from ..models.registry import fitted_config
 from ..operators import background as bg
 from ..operators import ensemble as ens
 from ..operators import splits
-from ..operators.clean import clean_points, removed_fraction, thin_points
+from ..operators.clean import clean_points, clean_report, removed_fraction, thin_points, thin_report
 from ..operators.common import checkpointed
 from ..operators.evaluate import evaluate, export_metrics, summarise_metrics
-from ..operators.explain import train_auc
+from ..operators.explain import ensemble_importance, model_curves, model_importances, train_auc
 from ..operators.layers import check_same_predictors
 from ..operators.notes import run_notes
 from ..operators.select import stepwise_vif
 from ..operators.surfaces import ensemble_wide, predict_wide
 from ..operators.transfer import extrapolation_share, mess, mop
+from ..sources.tables import write_table
 from .crossval import cross_validate
 
 
@@ -97,6 +100,27 @@ class Run:
     mess: DataFrame | None
     mop: DataFrame | None
     notes: DataFrame
+    importance: DataFrame
+    importance_summary: DataFrame
+    curves: DataFrame
+    curve_bands: DataFrame
+    ensemble_importance: DataFrame | None
+    ensemble_curves: DataFrame | None
+    clean_report: DataFrame | None
+    thin_report: DataFrame | None
+    shortfall: DataFrame | None
+    parameters: DataFrame
+
+    def tables(self) -> dict[str, DataFrame]:
+        """The report tables that there are, by name."""
+        names = ("metrics", "summary", "vif_steps", "errors", "importance", "importance_summary", "curves", "curve_bands",
+                 "ensemble_importance", "ensemble_curves", "clean_report", "thin_report", "shortfall", "parameters", "notes")
+        return {n: t for n in names if (t := getattr(self, n)) is not None}
+
+    def write_tables(self, folder: str, fmt: str = "json") -> None:
+        """Every report table in a folder of its own."""
+        for name, table in self.tables().items():
+            write_table(table, f"{folder.rstrip('/')}/{name}", fmt)
 
 
 def prepare_points(occ: DataFrame, cells: DataFrame, grid: Grid, predictors, s: Settings, occ_crs: str = "") -> DataFrame:
@@ -107,9 +131,13 @@ def prepare_points(occ: DataFrame, cells: DataFrame, grid: Grid, predictors, s:
     return thin_points(points, grid) if s.thin else points
 
 
-def draw_background(points: DataFrame, cells: DataFrame, grid: Grid, predictors, s: Settings) -> DataFrame:
+def _presences(points: DataFrame) -> DataFrame:
     flagged = points.agg(F.max("presence")).first()[0]
-    presences = points.where("presence = 1") if flagged else points.withColumn("presence", F.lit(1))
+    return points.where("presence = 1") if flagged else points.withColumn("presence", F.lit(1))
+
+
+def draw_background(points: DataFrame, cells: DataFrame, grid: Grid, predictors, s: Settings) -> DataFrame:
+    presences = _presences(points)
     n = bg.background_count(presences, s.background, s.count, s.ratio).first().n
     if s.background in ("random", "ratio"):
         return bg.background_random(cells, grid, n, predictors, s.seed)
@@ -155,7 +183,9 @@ def run(occ: DataFrame, cells: DataFrame, grid: Grid, settings: Settings | None
     weights = {r.algorithm: r.weight for r in ens.ensemble_weights(summary, s.ensemble).collect()}
     threshold = ens.ensemble_threshold(metrics).first().threshold
     weight_table = occ.sparkSession.createDataFrame(list(weights.items()), "algorithm string, weight double")
-    surface = ensemble_wide(predict_wide(cv.models, cells), weights, threshold)
+    own = {r.algorithm: r.threshold for r in metrics.groupBy("algorithm").agg(F.coalesce(F.avg("threshold"), F.lit(0.5)).alias("threshold")).collect()}
+    # The map is scored once; shares, binaries and callers read what was written.
+    surface = checkpointed(ensemble_wide(predict_wide(cv.models, cells), weights, threshold, own_thresholds=own))
     everything, cv_auc, fit_auc = summary, None, None
     exported = export_metrics(metrics).unionByName(export_metrics(cv.errors_frame().selectExpr(
         "algorithm", "replicate", "cast(null as double) auc", "cast(null as double) tss",
@@ -170,9 +200,9 @@ def run(occ: DataFrame, cells: DataFrame, grid: Grid, settings: Settings | None
     projected = novelty = parity = None
     beyond = None
     if projection_cells is not None:
-        projected = ensemble_wide(predict_wide(cv.models, projection_cells), weights)
-        novelty = mess(projection_cells, labelled, kept)
-        parity = mop(projection_cells, labelled, kept)
+        projected = checkpointed(ensemble_wide(predict_wide(cv.models, projection_cells), weights, threshold, own_thresholds=own))
+        novelty = checkpointed(mess(projection_cells, labelled, kept))
+        parity = checkpointed(mop(projection_cells, labelled, kept))
         beyond = extrapolation_share(novelty).first().extrapolated_share
     facts = shares.select(
         "disagreement_share", "suitable_share",
@@ -183,5 +213,22 @@ def run(occ: DataFrame, cells: DataFrame, grid: Grid, settings: Settings | None
         F.lit(s.data_mode == "presence_only").alias("presence_only"),
         F.lit(removed_fraction(occ, points).first().removed).alias("removed"))
     notes = run_notes(everything, facts)
+    importance = checkpointed(model_importances(cv.models, labelled, "label", kept, seed=s.seed))
+    curves = checkpointed(model_curves(cv.models, labelled, kept))
+    bands = ens.curve_bands(curves)
+    joint_importance = joint_curves = None
+    if len(weights) >= 2:
+        joint_importance = ensemble_importance(cv.models, weights, labelled, "label", kept, seed=s.seed)
+        joint_curves = ens.ensemble_curves(bands, weight_table, list(s.algorithms))
+    located = reproject(occ, occ_crs, grid.crs) if occ_crs and grid.crs else occ
+    cleaned = clean_points(located, cells, grid, predictors=names) if s.clean else located
+    missing = None
+    if background is not None:
+        missing = bg.shortfall(labelled, bg.background_count(_presences(points), s.background, s.count, s.ratio))
+    config = fitted_config(s.algorithms, labelled.where("label = 1").count(), s.params)
+    parameters = occ.sparkSession.createDataFrame(
+        [(a, k, json.dumps(v)) for a, p in config.items() for k, v in sorted(p.items())], "algorithm string, parameter string, value string")
     return Run(labelled, kept, steps, cv.oof, cv.models, cv.errors_frame(), exported, everything, weights,
-               threshold, surface, projected, novelty, parity, notes)
+               threshold, surface, projected, novelty, parity, notes, importance, ens.importance_summary(importance), curves, bands,
+               joint_importance, joint_curves, clean_report(located, cells, grid, predictors=names) if s.clean else None,
+               thin_report(cleaned, grid) if s.thin else None, missing, parameters)
