@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.scalars import complete_rows
 from ..models import fit
 from ..models.maxent import feature_classes_column
 from ..models.registry import load_model, save_model
@@ -234,7 +235,7 @@ FEATURES = ["a", "b", "d", "e"]
 # Reduced sizes for the checks; the models' own defaults stay available as parameters.
 QUICK = {"rf": {"n_estimators": 20, "max_depth": 8}, "gbm": {"n_estimators": 12, "learning_rate": 0.1},
          "xgb": {"n_estimators": 10, "max_depth": 4}, "mlp": {"max_iter": 60}, "svm": {"landmarks": 32, "folds": 2, "max_iter": 20},
-         "maxent": {"max_iter": 60}, "lr": {"max_iter": 100}, "gam": {"max_iter": 15}}
+         "maxent": {"max_iter": 60}}
 
 
 def _fit(d, name):
@@ -246,6 +247,42 @@ for _name in ("lr", "gam", "rf", "gbm", "xgb", "svm", "mlp", "maxent"):
     QUERIES[f"fit_{_name}"] = (lambda n: lambda spark, sf_dir: _fit(Data(spark, sf_dir), n))(_name)
 
 
+def _checked(d, name):
+    """What must hold for any sound fit, per label: a score for each complete row, within [0, 1], and some skill."""
+    scored = checkpointed(fit(name, d.matrix, FEATURES, **QUICK.get(name, {})).score(d.matrix).select("label", "score"))
+    skilled = ev.auc(scored.where("score is not null"), "label", "score").first().auc >= AUC_FLOOR
+    return scored.groupBy("label").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("score").isNull()).alias("n_null"),
+        (F.count_if(~F.col("score").between(0.0, 1.0)) == 0).alias("in_range")).withColumn("skilled", F.lit(skilled))
+
+
+#: Separation that each algorithm must reach on its own training rows.
+AUC_FLOOR = 0.55
+for _name in ("lr", "gam", "rf", "gbm", "xgb", "svm", "mlp", "maxent"):
+    QUERIES[f"fit_{_name}_checked"] = (lambda n: lambda spark, sf_dir: _checked(Data(spark, sf_dir), n))(_name)
+    oracle(f"fit_{_name}_checked", f"""select label, count(*) as n, count(*) filter (where {' or '.join(f'{c} is null' for c in FEATURES)}) as n_null,
+      true as in_range, true as skilled from fx_matrix group by label""")
+
+
+@query
+def fit_lr_residuals(d):
+    """The logistic fit's own score equations, one per term: zero at the optimum."""
+    m = fit("lr", d.matrix, FEATURES)
+    rows = m.score(complete_rows(d.matrix, FEATURES))
+    st = m.state
+    z = [(F.col(p) - mu) / sd for p, mu, sd in zip(FEATURES, st["mean"], st["sd"])]
+    terms = {"intercept": F.lit(1.0), **dict(zip(FEATURES, z)), **{f"{p}^2": c * c for p, c in zip(FEATURES, z)}}
+    weight = [0.0, *st["coef"]]
+    gap = F.col("score") - F.col("label")
+    got = rows.agg(F.count(F.lit(1)).alias("n"), *[F.sum(gap * t).alias(f"g{i}") for i, t in enumerate(terms.values())])
+    each = F.explode(F.array(*[F.struct(F.lit(t).alias("term"), ((F.col(f"g{i}") + w / m.params["C"]) / F.col("n")).alias("residual"))
+                               for i, (t, w) in enumerate(zip(terms, weight))]))
+    return tidy(got.select(each.alias("e")).select("e.*"), 3)
+
+
+oracle("fit_lr_residuals", "select unnest(['intercept', " + ", ".join(f"'{f}', '{f}^2'" for f in FEATURES) + "]) as term, 0e0 as residual")
+
+
 @query
 def maxent_classes(d):
     counts = d.occ.where("presence = 1 and x is not null").groupBy(F.floor("x").alias("zone")).agg(F.count(F.lit(1)).alias("n"))
@@ -494,14 +531,14 @@ select feature, grid_i, {r('v', 'grid_v', 4)}, {r("case when feature = 'a' then
 
 @query
 def pd_curve(d):
-    m = fit("lr", d.matrix, FEATURES, **QUICK["lr"])
+    m = fit("lr", d.matrix, FEATURES, **QUICK.get("lr", {}))
     return tidy(ex.partial_dependence(m, d.matrix, FEATURES))
 
 
 def two_models(d):
     """Two fitted algorithms on the labelled points, for ensemble operators."""
     rows = checkpointed(labelled(d))
-    models = {("enfa", 0): fit("enfa", rows, ["p1", "p2"]), ("lr", 0): fit("lr", rows, ["p1", "p2"], **QUICK["lr"])}
+    models = {("enfa", 0): fit("enfa", rows, ["p1", "p2"]), ("lr", 0): fit("lr", rows, ["p1", "p2"], **QUICK.get("lr", {}))}
     return rows, models, {"enfa": 0.6, "lr": 0.4}
 
 

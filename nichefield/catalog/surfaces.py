@@ -450,7 +450,7 @@ oracle("run_notes", f"""with {_HEAD}, x as (select h.*, r.* exclude (species), t
 
 def _settings() -> Settings:
     return Settings(background="ratio", ratio=1.0, k=3, block_shape="square", algorithms=("enfa", "lr"), replicates=2,
-                    params={"lr": QUICK["lr"]})
+                    params={})
 
 
 def _inputs(d):
