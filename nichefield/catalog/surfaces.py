@@ -15,7 +15,7 @@ from ..operators.notes import headline, run_notes
 from ..operators.quantiles import quantiles
 from ..operators.regrid import regrid
 from ..plans.run import Settings, run
-from .modelling import _SUMMARY, ENSEMBLE_OOF, QUICK, _equal, _evaluation, _METRICS, enfa_sql
+from .modelling import _SUMMARY, ENSEMBLE_OOF, _equal, _evaluation, _METRICS, enfa_sql
 from .points import LABELLED, fresh_path, labelled
 from .tables import Data, r, tidy, with_tables
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import clean_number, finite, spread_or_one, with_cell
 from ..grid import Grid, Layer
-from .common import BROADCAST_ROWS, at_most, attach, key_list
+from .common import BROADCAST_ROWS, at_most, attach, checkpointed, key_list
 from .layers import check_stackable
 
 
@@ -88,7 +88,7 @@ def extract(points: DataFrame, cells: DataFrame, predictors, keys=(), cell_keys=
     table is shuffled. Otherwise both sides shuffle on the cell.
     """
     on = [*key_list(cell_keys), "row", "col"]
-    touched = points.select(*on).distinct()
+    touched = checkpointed(points.select(*on).distinct())  # counted and joined, computed once
     wanted = cells.select(*on, *predictors)
     if at_most(touched, broadcast_rows):
         wanted = F.broadcast(wanted.join(F.broadcast(touched), on, "left_semi"))

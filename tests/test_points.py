@@ -171,6 +171,10 @@ def test_layer_differences_and_target(spark):
 
 
 def test_storage_types():
+    bare = Layer("n", "", "float32", 10, 10, 1.0, 0, 500000, 0, -1.0, 5000000)
+    with pytest.raises(ValueError, match="assume"):
+        la.build_target(spark, [bare], "EPSG:32633")
+    assert la.build_target(spark, [bare], "EPSG:32633", assumed_crs="EPSG:32633").width == 10
     assert la.default_nodata("uint8") == 255 and la.default_nodata("int16") == -9999
     assert not la.nodata_fits(-9999, "uint8") and not la.nodata_fits(0.5, "int32") and la.nodata_fits(float("nan"), "float32")
 

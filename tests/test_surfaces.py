@@ -62,6 +62,24 @@ def test_mess_and_mop_match_brute_force(spark, training, points, limit):
         assert (a is None and got == (None, None)) or (abs(a - got[0]) < 1e-9 and abs(b - got[1]) < 1e-9)
 
 
+@pytest.mark.parametrize("limit", [0, 10**6])
+def test_mess_keeps_every_cell_of_every_key(spark, limit):
+    """Null keys have their own records; a key without records gives NULL; a key without cells gives no row."""
+    cells = spark.createDataFrame([("a", 0, 0, 1.0), ("b", 0, 1, 2.0), (None, 0, 2, 3.0), ("a", 0, 3, None)], "k string, row int, col int, u double")
+    known = spark.createDataFrame([("a", 0.0), ("a", 4.0), (None, 2.0), (None, 2.5), ("z", 9.0)], "k string, u double")
+    got = {r.col: r.mess for r in tr.mess(cells, known, ["u"], keys=["k"], broadcast_values=limit).collect()}
+    assert got == {0: 100.0, 1: None, 2: -100.0, 3: None}
+
+
+@pytest.mark.parametrize("limit", [0, 10**6])
+def test_quantiles_keep_every_group(spark, limit):
+    from nichefield.operators.quantiles import quantiles
+    rows = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("n", None), (None, 5.0), (None, None)], "k string, v double")
+    for count in ("n", None):
+        got = {r.k: r.v for r in quantiles(rows, ["v"], [0.5], ["k"], count, in_task_rows=limit).collect()}
+        assert got == {"a": [2.0], "n": None, None: [5.0]}
+
+
 def test_mop_in_many_blocks(spark, training, points):
     mu, sd = training.mean(0), training.std(0)
     cells, known = frame(spark, (points - mu) / sd), frame(spark, (training - mu) / sd).select(*P)
@@ -115,6 +133,21 @@ def test_regrid_pools_and_leaves_uncovered_null(spark):
         regrid(df, [Layer.on_grid("L", src)], target, "lanczos")
 
 
+@pytest.mark.parametrize("method", ["nearest", "bilinear", "cubic", "average"])
+def test_regrid_makes_nothing_up_outside(spark, method):
+    src = Grid(0, 4, 1, 1, 4, 4)
+    got = at(regrid(values(spark, src, lambda r, c: 7.0), [Layer.on_grid("L", src)], Grid(-2, 4, 0.5, 0.5, 16, 8), method))
+    assert all((v is None) == (c < 4 or c >= 12) for (r, c), v in got.items())
+
+
+def test_regrid_finer_between_coordinate_systems_has_no_holes(spark):
+    src = Grid(14.0, 46.0, 0.1, 0.1, 20, 20, "EPSG:4326")
+    target = Grid(480000, 5000000, 1000, 1000, 20, 20, "EPSG:32633")
+    for method in ("average", "max"):
+        got = at(regrid(values(spark, src, lambda r, c: float(c)), [Layer.on_grid("L", src)], target, method))
+        assert None not in got.values()
+
+
 def test_regrid_between_coordinate_systems(spark):
     src = Grid(14.0, 46.0, 0.1, 0.1, 20, 20, "EPSG:4326")
     df = values(spark, src, lambda r, c: float(c))

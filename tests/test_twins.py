@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 from check import compare, connect
+from nichefield import catalog
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
@@ -16,7 +17,7 @@ def duck():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_twin(spark, duck, name):
     ok, text = compare(spark, duck, name, SF)
     assert ok, text
