@@ -320,6 +320,29 @@ select c.row, c.col, {r('mop')} from fx_future c left join done x on x.row = c.r
 ORACLES["mop_blocked"] = ORACLES["mop"]
 
 
+@query
+def mop_by_zone(d):
+    return tidy(tr.mop(*_zone(d), P3, keys=["zone"]))
+
+
+@query
+def mop_by_zone_blocked(d):
+    return tidy(tr.mop(*_zone(d), P3, broadcast_values=0, keys=["zone"]))
+
+
+for _name in ("mop_by_zone", "mop_by_zone_blocked"):
+    oracle(_name, f"""with {_TRAIN}, th as (select *, case when col * 3 < {{G}} then 0 when col * 3 < {{G}} * 2 then null else 4 end as zone from train),
+future as (select *, case when col * 3 < {{G}} then 0 when col * 3 < {{G}} * 2 then null else 3 end as zone from fx_future),
+s as (select zone, avg(p1) as m1, case when stddev_pop(p1) < 1e-12 then 1 else stddev_pop(p1) end as s1, avg(p2) as m2,
+  case when stddev_pop(p2) < 1e-12 then 1 else stddev_pop(p2) end as s2, avg(p3) as m3, case when stddev_pop(p3) < 1e-12 then 1 else stddev_pop(p3) end as s3,
+  greatest(1, round_even(count(*) * 0.1e0, 0)) as k from th group by zone),
+dist as (select c.row, c.col, sqrt(((c.p1 - t.p1) / s1) ** 2 + ((c.p2 - t.p2) / s2) ** 2 + ((c.p3 - t.p3) / s3) ** 2) as d, k
+  from future c join th t on t.zone is not distinct from c.zone join s on s.zone is not distinct from c.zone where c.p3 is not null),
+near as (select row, col, d, k, row_number() over (partition by row, col order by d) as nth from dist),
+done as (select row, col, avg(d) as mop from near where nth <= k group by row, col)
+select c.zone, c.row, c.col, {r('mop')} from future c left join done x on x.row = c.row and x.col = c.col""")
+
+
 @query
 def extrapolation_share(d):
     return tidy(tr.extrapolation_share(tr.mess(d.future, _train(d), P3)))

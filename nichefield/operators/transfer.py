@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from ..functions.hashing import hash_order, order_bucket
 from ..functions.scalars import all_finite, complete_rows
 from .cells import moments
-from .common import at_most, checkpointed, join_on, key_list, ordinal, range_parts, shuffle_width
+from .common import BROADCAST_ROWS, at_most, attach, checkpointed, join_on, key_list, ordinal, range_parts, shuffle_width
 
 BROADCAST_VALUES = 2_000_000  # training numbers held in memory by a task
 MIN_SPAN = 1e-9  # fixed value: floor of a predictor's training range
@@ -138,22 +138,26 @@ def nearest_count(n: int, percentile: float) -> int:
 
 
 def mop(cells: DataFrame, training: DataFrame, predictors, percentile: float = DEFAULT_PERCENTILE,
-        broadcast_values: int = BROADCAST_VALUES) -> DataFrame:
-    """Mean standardised distance to the nearest share of training records, per cell."""
-    predictors = list(predictors)
-    known = complete_rows(training, predictors).select(*[F.col(p).cast("double").alias(p) for p in predictors])
-    stats = moments(known, predictors).first()
-    centre = np.array([stats[f"{p}__mean"] for p in predictors], dtype=float)
-    spread = np.array([stats[f"{p}__sd"] for p in predictors], dtype=float)
+        broadcast_values: int = BROADCAST_VALUES, keys=()) -> DataFrame:
+    """Mean standardised distance to the nearest share of training records, per cell.
+
+    With ``keys`` each cell is standardised by and compared with its own key's records; a key without records gives
+    NULL. The distributed form computes each cell's distance to all its key's records, as the definition asks for.
+    """
+    predictors, keys = list(predictors), key_list(keys)
+    known = complete_rows(training, predictors).select(*keys, *[F.col(p).cast("double").alias(p) for p in predictors])
+    stats = checkpointed(moments(known, predictors, keys))
+    few = at_most(stats, BROADCAST_ROWS)
 
     def scaled(df, *keep):
-        return df.select(*keep, *[((F.col(p).cast("double") - float(m)) / float(s)).alias(p)
-                                  for p, m, s in zip(predictors, centre, spread)])
+        there = join_on(df, stats, keys, "left", small=few) if keys else attach(df, stats, ())
+        return there.select(*keys, *keep, *[((F.col(p).cast("double") - F.col(f"{p}__mean")) / F.col(f"{p}__sd")).alias(p)
+                                            for p in predictors])
 
     rows, wanted = scaled(known), scaled(cells, "row", "col")
     if at_most(rows, broadcast_values // len(predictors)):
-        return _mop_broadcast(wanted, rows, predictors, percentile)
-    return _mop_blocked(wanted, rows, predictors, percentile)
+        return _mop_broadcast(wanted, rows, predictors, percentile, keys)
+    return _mop_blocked(wanted, rows, predictors, percentile, keys=keys)
 
 
 def _squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -163,56 +167,64 @@ def _squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _mop_broadcast(cells, rows, predictors, percentile):
-    known = rows.toPandas().to_numpy(float)
-    k = nearest_count(len(known), percentile)
-    shared = cells.sparkSession.sparkContext.broadcast(known)
+def _mop_broadcast(cells, rows, predictors, percentile, keys=()):
+    table = rows.toPandas()
+    shared = cells.sparkSession.sparkContext.broadcast({key: table[predictors].to_numpy(float)[at] for key, at in _groups_of(table, keys)})
+
+    def mean_distance(x, train):
+        k, step = nearest_count(len(train), percentile), max(1, PAIRS_AT_ONCE // len(train))
+        distinct, back = np.unique(x, axis=0, return_inverse=True)
+        mean = np.empty(len(distinct))
+        for i in range(0, len(distinct), step):
+            d = _squared_distances(distinct[i:i + step], train)
+            mean[i:i + step] = np.sqrt(np.partition(d, k - 1, axis=1)[:, :k]).mean(axis=1)
+        return mean[back.ravel()]
 
     def per_task(batches):
-        train = shared.value
-        step = max(1, PAIRS_AT_ONCE // len(train))
+        held = shared.value
         for pdf in batches:
             x = pdf[predictors].to_numpy(float)
             ok = np.isfinite(x).all(axis=1)
             out = np.full(len(pdf), np.nan)
-            if ok.any():
-                distinct, back = np.unique(x[ok], axis=0, return_inverse=True)
-                mean = np.empty(len(distinct))
-                for i in range(0, len(distinct), step):
-                    d = _squared_distances(distinct[i:i + step], train)
-                    mean[i:i + step] = np.sqrt(np.partition(d, k - 1, axis=1)[:, :k]).mean(axis=1)
-                out[ok] = mean[back.ravel()]
-            yield pd.DataFrame({"row": pdf["row"], "col": pdf["col"], "mop": out})
+            for key, at in _groups_of(pdf, keys):
+                at = at[ok[at]]
+                if len(at) and len(held.get(key, ())):
+                    out[at] = mean_distance(x[at], held[key])
+            done = pdf[[*keys, "row", "col"]].copy()
+            done["mop"] = out
+            yield done
 
     types = dict(cells.dtypes)
-    found = cells.mapInPandas(per_task, f"row {types['row']}, col {types['col']}, mop double")
-    return found.withColumn("mop", F.when(~F.isnan("mop"), F.col("mop")))
+    schema = _schema(cells, keys, f"row {types['row']}, col {types['col']}, mop double")
+    return cells.mapInPandas(per_task, schema).withColumn("mop", F.when(~F.isnan("mop"), F.col("mop")))
 
 
-def _mop_blocked(cells, rows, predictors, percentile, block_rows: int = BLOCK_ROWS):
+def _mop_blocked(cells, rows, predictors, percentile, block_rows: int = BLOCK_ROWS, keys=()):
     """The same mean with the training records in random blocks of bounded size.
 
     The k-th distance lies between the smallest and the largest of the blocks' own k/blocks-th
     distances. A first pass finds that bracket per cell, a second sums what lies below it and
     keeps only the few distances inside it, so no cell ever gathers all its distances.
     """
-    spark = cells.sparkSession
-    n = rows.count()
-    k, blocks = nearest_count(n, percentile), max(1, math.ceil(n / block_rows))
+    keys, spark = key_list(keys), cells.sparkSession
+    per_key = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 0")
+    # Half to even, as nearest_count rounds.
+    per_key = per_key.select(*keys, F.greatest(F.lit(1), F.bround(F.col("_n") * percentile / 100.0)).cast("bigint").alias("k"),
+                             F.ceil(F.col("_n") / block_rows).cast("int").alias("blocks"))
+    with_key = lambda df: attach(df, per_key, keys)
     digest = rows.withColumn("_h", hash_order(*[F.col(p) for p in predictors]))
-    numbered = ordinal(digest, ["_h", *predictors], order_bucket(F.col("_h"), shuffle_width(spark) * 8), name="_o")
-    train = checkpointed(numbered.select((F.col("_o") % blocks).cast("int").alias("block"), *predictors))
+    numbered = ordinal(digest, ["_h", *predictors], order_bucket(F.col("_h"), shuffle_width(spark) * 8), keys, name="_o")
+    train = checkpointed(with_key(numbered).select(*keys, (F.col("_o") % F.col("blocks")).cast("int").alias("block"), *predictors))
     whole = complete_rows(cells, predictors)
-    vectors = checkpointed(whole.select(*predictors).distinct()
-                           .withColumn("vid", F.monotonically_increasing_id()))
+    vectors = checkpointed(with_key(whole.select(*keys, *predictors).distinct()).withColumn("vid", F.monotonically_increasing_id()))
     salts = max(1, math.ceil(vectors.count() / block_rows))
     salted = train.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    low_rank, high_rank = k // blocks, math.ceil(k / blocks)
+    by = [*keys, "block", "salt"]
 
     def meet(left, fn, schema):
         spreadout = left.withColumn("salt", F.pmod(F.xxhash64("vid"), F.lit(salts)).cast("int")).withColumn(
-            "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        return (spreadout.groupBy("block", "salt").cogroup(salted.groupBy("block", "salt")).applyInPandas(fn, schema))
+            "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        return spreadout.groupBy(*by).cogroup(salted.groupBy(*by)).applyInPandas(fn, schema)
 
     def chunks(a, b):
         step = max(1, PAIRS_AT_ONCE // max(1, len(b)))
@@ -222,7 +234,9 @@ def _mop_blocked(cells, rows, predictors, percentile, block_rows: int = BLOCK_RO
     def bracket(left, right):
         a, b = left[predictors].to_numpy(float), right[predictors].to_numpy(float)
         low, high = np.full(len(a), -1.0), np.full(len(a), np.inf)
-        if len(b):
+        if len(a) and len(b):
+            k, blocks = int(left["k"].iat[0]), int(left["blocks"].iat[0])
+            low_rank, high_rank = k // blocks, math.ceil(k / blocks)
             for i, d in chunks(a, b):
                 if 1 <= low_rank <= len(b):
                     low[i:i + len(d)] = d[:, low_rank - 1]
@@ -252,12 +266,12 @@ def _mop_blocked(cells, rows, predictors, percentile, block_rows: int = BLOCK_RO
     near = got.select("vid", F.explode(F.arrays_zip("d", "c")).alias("e")).groupBy(
         "vid", F.col("e.d").alias("d")).agg(F.sum("e.c").alias("c"))
     running = F.sum("c").over(W.partitionBy("vid").orderBy("d"))
-    taken = near.withColumn("_upto", running).join(base, "vid").withColumn(
-        "_take", F.greatest(F.lit(0), F.least(F.col("c"), k - F.col("_nb") - (F.col("_upto") - F.col("c")))))
-    total = taken.groupBy("vid").agg(((F.max("_sb") + F.sum(F.col("d") * F.col("_take"))) / F.lit(float(k))).alias("mop"))
-    found = whole.join(vectors.join(total, "vid").select(*predictors, "mop"), predictors).select("row", "col", "mop")
-    rest = cells.where(~all_finite(predictors)).select("row", "col", F.lit(None).cast("double").alias("mop"))
-    return found.unionByName(rest)
+    taken = near.withColumn("_upto", running).join(base, "vid").join(vectors.select("vid", "k"), "vid").withColumn(
+        "_take", F.greatest(F.lit(0), F.least(F.col("c"), F.col("k") - F.col("_nb") - (F.col("_upto") - F.col("c")))))
+    total = taken.groupBy("vid").agg(((F.max("_sb") + F.sum(F.col("d") * F.col("_take"))) / F.max("k").cast("double")).alias("mop"))
+    found = join_on(whole, vectors.join(total, "vid").select(*keys, *predictors, "mop"), [*keys, *predictors], "left")
+    rest = cells.where(~all_finite(predictors)).select(*keys, "row", "col", F.lit(None).cast("double").alias("mop"))
+    return found.select(*keys, "row", "col", "mop").unionByName(rest)
 
 
 def extrapolation_share(scored: DataFrame, keys=()) -> DataFrame:
