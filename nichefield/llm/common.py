@@ -7,6 +7,7 @@ name, so extra columns are allowed and other columns may clash with nothing; ide
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -15,14 +16,29 @@ from pyspark.sql import functions as F
 
 from ..operators.common import checkpointed, shuffle_width
 
-__all__ = ["BROADCAST_KEYS", "checkpointed", "with_keys", "pieces", "prepare", "shuffle_width", "table", "texts",
+__all__ = ["BROADCAST_KEYS", "checkpointed", "memory", "only", "with_keys", "pieces", "prepare", "shuffle_width", "table", "texts",
            "utf8"]
 
 #: A set of whole-number keys with at most this many rows (16 MB) may be broadcast; beyond it both sides shuffle.
 BROADCAST_KEYS = 2_000_000
 #: Bytes of text handed from the JVM to a Python worker at once, and worked on at once.
-BATCH_BYTES = 16 << 20
-PIECE_BYTES = 4 << 20
+BATCH_BYTES = 8 << 20
+PIECE_BYTES = 2 << 20
+
+
+_memories: dict[str, Callable[[], None]] = {}
+
+
+def memory(name: str, forget: Callable[[], None]) -> None:
+    """Register what an operator remembers in a worker from batch to batch."""
+    _memories[name] = forget
+
+
+def only(name: str) -> None:
+    """A worker serves one stage after another: what other operators remember there is given up."""
+    for other, forget in _memories.items():
+        if other != name:
+            forget()
 
 
 def prepare(spark: SparkSession) -> None:
