@@ -72,7 +72,7 @@ def fit(df, predictors, label, seed, C, gamma, kernel, landmarks, folds, max_ite
         return pd.Series(list(mapper(cols)))
 
     data = z.select("label", array_to_vector(features(*predictors)).alias("features"),
-                    F.floor(F.col("_u") * folds).cast("int").alias("fold")).persist()
+                    F.floor(hash_uniform(seed, "fold", *[F.col(n) for n in predictors], F.col("label")) * folds).cast("int").alias("fold")).persist()
     try:
         svc = LinearSVC(labelCol="label", regParam=1.0 / (C * s["n"]), maxIter=max_iter, tol=TOLERANCE, standardization=False,
                         predictionCol="", rawPredictionCol="raw")

@@ -23,7 +23,8 @@ def read_points(spark: SparkSession, path: str, x: str = "x", y: str = "y", pres
     """A1: points with ``rid`` (input order), ``x``, ``y`` and ``presence`` clipped to 0 or 1.
 
     ``path`` may be a file or a folder named ``*.csv``, ``*.txt`` or ``*.tsv``. Without a ``rid``
-    column rows are numbered in scan order, which is file order for a single file.
+    column rows are numbered in scan order, which is file order for a single file; several files have no
+    order of their own and need the column.
     """
     raw = spark.read.csv(path, header=True, sep=_separator(path), enforceSchema=False)
     if x not in raw.columns or y not in raw.columns:
@@ -31,6 +32,8 @@ def read_points(spark: SparkSession, path: str, x: str = "x", y: str = "y", pres
     for name in (presence, rid):
         if name and name not in raw.columns:
             raise ValueError(f"column {name!r} not found; available: {raw.columns}")
+    if not rid and len(raw.inputFiles()) > 1:
+        raise ValueError("several files have no input order; name a rid column")
     order = F.col(rid).cast("bigint") if rid else F.monotonically_increasing_id()
     flag = F.lit(1)
     if presence:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import clean_number
 from ..grid import FLOAT_NODATA, Grid
 from ..operators.cells import surface_encoded
-from ..operators.common import key_list
+from ..operators.common import checkpointed, key_list
 
 
 def write_surface(df: DataFrame, path: str, grid: Grid, value: str = "value", dtype: str = "float32",
@@ -18,10 +18,14 @@ def write_surface(df: DataFrame, path: str, grid: Grid, value: str = "value", dt
     Every key must cover the grid exactly; existing output is refused unless asked otherwise.
     """
     keys = key_list(keys)
-    short = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") != grid.n_cells)
-    if not short.isEmpty():
+    surface = checkpointed(df)  # checked and written from one evaluation
+    cell = F.when(F.col("row").between(0, grid.height - 1) & F.col("col").between(0, grid.width - 1), F.col("row") * F.lit(grid.width).cast("bigint") + F.col("col"))
+    each = surface.groupBy(*keys, cell.alias("_cell")).agg(F.count(F.lit(1)).alias("_n"))
+    seen = each.groupBy(*keys).agg(F.count("_cell").alias("cells"), F.sum("_n").alias("rows"))
+    wrong = seen.where((F.col("cells") != grid.n_cells) | (F.col("rows") != grid.n_cells))
+    if not wrong.isEmpty():
         raise ValueError(f"the surface does not cover the {grid.height} x {grid.width} grid")
-    out = surface_encoded(df, value, dtype, nodata).repartitionByRange(*keys, "row", "col")
+    out = surface_encoded(surface, value, dtype, nodata).repartitionByRange(*keys, "row", "col")
     writer = out.sortWithinPartitions(*keys, "row", "col").write.mode(mode).option("compression", "zstd")
     (writer.partitionBy(*keys) if keys else writer).parquet(path)
 

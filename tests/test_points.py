@@ -219,5 +219,8 @@ def test_surface_must_cover_the_grid(spark, tmp_path):
     df = spark.createDataFrame([(0, 0, 1.0)], "row int, col int, value double")
     with pytest.raises(ValueError, match="cover"):
         write_surface(df, str(tmp_path / "s"), Grid(0, 2, 1, 1, 2, 2))
+    twice = spark.createDataFrame([(0, 0, 1.0), (0, 1, 1.0), (1, 0, 1.0), (1, 0, 1.0)], "row int, col int, value double")
+    with pytest.raises(ValueError, match="cover"):
+        write_surface(twice, str(tmp_path / "s"), Grid(0, 2, 1, 1, 2, 2))
     with pytest.raises(ValueError, match="stored"):
         write_surface(df, str(tmp_path / "s"), Grid(0, 1, 1, 1, 1, 1), dtype="uint8")
