@@ -35,7 +35,7 @@ PERCENT = 75
 HOT_SHINGLES = 200_000
 HOT_FROM = 16
 #: Prefix entries in one bucket of the first shuffle, entries combined at once, shingles in one block of the join.
-BUCKET_ENTRIES, FLUSH_ENTRIES, BLOCK_SHINGLES = 500_000, 1_500_000, 1_000_000
+BUCKET_ENTRIES, FLUSH_ENTRIES, BLOCK_SHINGLES = 500_000, 700_000, 500_000
 
 
 def least_overlap(n: int, percent: int = PERCENT) -> int:
@@ -290,7 +290,8 @@ def _join_blocks(percent: int):
 
 def _linked(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(block, i, j, doc_id, root) of each member row (block, i, j, doc_id, grp)."""
-    n = shuffle_width(members.sparkSession)
+    size = members.join(sets.select("doc_id", "n"), "doc_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    n = max(shuffle_width(members.sparkSession), size // (2 * BLOCK_SHINGLES))  # about 16 MB of sets in a task
     filled = members.join(sets.select("doc_id", "keys"), "doc_id")
     return checkpointed(filled.repartition(n, "block", "i", "j").sortWithinPartitions("block", "i", "j")
                         .mapInArrow(_join_blocks(percent), "block bigint, i bigint, j bigint, doc_id bigint, root bigint"))

@@ -24,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import pieces, sha256_of, table, texts
+from .common import memory, only, pieces, sha256_of, table, texts
 
 MARK = "▁"
 #: Words whose pieces a worker remembers from batch to batch.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 
 def default_model() -> str:
@@ -80,7 +80,7 @@ class PieceModel:
         return ok
 
     def _pair(self, left: str, right: str) -> bool:
-        if len(self.pairs) > 1_000_000:
+        if len(self.pairs) > 250_000:
             self.pairs.clear()
         ok = self.pairs[left, right] = self.merged(left + right) == [left, right]
         return ok
@@ -139,6 +139,7 @@ class PieceModel:
 
     def encode(self, many: list[str]) -> list[bytes]:
         """Packed int32 piece ids of each text."""
+        only("pieces")
         split = [self.units(t) for t in many]
         distinct = set().union(*split)
         known = self.known
@@ -161,6 +162,9 @@ def model_at(path: str) -> PieceModel:
     return PieceModel(path)
 
 
+memory("pieces", model_at.cache_clear)
+
+
 def encode(docs: DataFrame, model: str | None = None, text: str = "text", into: str = "pieces") -> DataFrame:
     """``docs`` with an array of piece ids for each text; a column of that name is replaced. No shuffle."""
     path, df = model or default_model(), docs.drop(into)

@@ -7,20 +7,23 @@ from itertools import chain
 import numpy as np
 import xxhash
 
-#: Words whose hashes a worker remembers.
-REMEMBERED = 400_000
+from .common import memory, only
+
+#: Words whose hashes a worker remembers: the first it meets, which are mostly common ones.
+REMEMBERED = 100_000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(self) < REMEMBERED:
+            self[word] = value
         return value
 
 
 _words = WordHashes()
+memory("shingles", _words.clear)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -33,6 +36,7 @@ def shingle_sets(texts: list[bytes], width: int = 5) -> list[np.ndarray]:
 
     A text with fewer words than a shingle, but not none, has its whole word sequence as the only one.
     """
+    only("shingles")
     split = [t.lower().split() for t in texts]
     sizes = [len(s) for s in split]
     hashes = np.fromiter(map(_words.__getitem__, chain.from_iterable(split)), np.uint64, sum(sizes))

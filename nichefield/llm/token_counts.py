@@ -21,11 +21,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import pieces, table, texts
+from .common import memory, only, pieces, table, texts
 
 MAX_TOKENS = 2048
 #: Pre-tokens whose counts a worker remembers from batch to batch.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 #: Fixed value: the pre-token pattern in the tokenizer's file for which the shortcut is stated.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: The same, with white space spelled out: engines differ on control characters.
@@ -64,6 +64,7 @@ def whole_tokens(path: str) -> set[str]:
 
 
 _counted: dict[str, dict[str, int]] = {}
+memory("token counts", _counted.clear)
 
 
 def counter(path: str, proved: set[str]):
@@ -73,6 +74,7 @@ def counter(path: str, proved: set[str]):
     known = _counted.setdefault(path, dict.fromkeys(proved, 1))
 
     def counts(many: list[str]) -> list[int]:
+        only("token counts")
         out, cut = [0] * len(many), []
         whole = [i for i, t in enumerate(many) if FOREIGN.search(t) or special.search(t)] if proved else range(len(many))
         for i, n in zip(whole, sizes(tokenizer, [many[i] for i in whole])):
