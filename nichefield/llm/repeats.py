@@ -38,9 +38,9 @@ from .shingles import mix
 
 LENGTH, GRAM = 400, 200
 #: Bytes hashed at once; a longer text is worked on in overlapping parts.
-PART_BYTES = 4 << 20
+PART_BYTES = 1 << 20
 #: Entries that a task combines before sending, and that one shard should get.
-FLUSH_ENTRIES, SHARD_ENTRIES = 1_000_000, 500_000
+FLUSH_ENTRIES, SHARD_ENTRIES = 600_000, 200_000
 #: Different regions of one gram in a flush beyond which they are all looked at window by window at once.
 HOT_REGIONS = 64
 #: Ranges that may be broadcast to the texts they belong to (about 40 bytes each).
@@ -187,7 +187,7 @@ def by_shard(batches):
 
 
 def shuffled(df: DataFrame, shards: int) -> DataFrame:
-    return df.repartition(max(shuffle_width(df.sparkSession), shards // 8), "shard").sortWithinPartitions("shard")
+    return df.repartition(max(shuffle_width(df.sparkSession), shards // 4), "shard").sortWithinPartitions("shard")
 
 
 def joined(held, column: int, kind) -> np.ndarray:
@@ -223,7 +223,7 @@ def _send_anchors(length: int, gram: int, shards: int):
 
     def work(batches):
         held, size = [], 0
-        for piece in pieces(batches):
+        for piece in pieces(batches, limit=PART_BYTES):
             ids = piece.column("row").to_numpy(zero_copy_only=False).view(np.uint64)
             flat, rows, offsets = [], [], []
             for t, i in zip(utf8(piece.column("text")), ids):
