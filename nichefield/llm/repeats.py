@@ -114,7 +114,8 @@ def anchored(texts: list[bytes], length: int, gram: int):
     anchor = own[first].astype(np.int64)
     region = mix(prints.at(lo, hi + length) + mix((anchor - lo).astype(np.uint64) + np.uint64(7)))
     begin = np.r_[0, ends[:-1]][which[lo]]
-    return which[lo], lo - begin, hi - begin, grams[anchor], region
+    # Anchors have small prints, as the least are chosen; mixed again, their high bits deal them evenly to the shards.
+    return which[lo], lo - begin, hi - begin, mix(grams[anchor] * np.uint64(_BASE)), region
 
 
 def runs(*sorted_keys: np.ndarray):
