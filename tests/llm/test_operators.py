@@ -195,6 +195,29 @@ def test_lm_is_a_distribution():
     assert np.allclose([(q[m.classes[:-1]] * words).sum() + q[m.rare] * rare for q in p], 1, atol=1e-5)
 
 
+def test_lm_tail_words_are_history(spark):
+    """Words outside the frequent table tell as history what comes next."""
+    rows = [(i, f"z{i % 40} {'ab'[i % 2]}") for i in range(4000)]
+    asked = [(10_000 + 2 * i + k, f"z{i} {'ab'[k]}") for i in range(40) for k in (0, 1)]
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.scores(frame(spark, rows + asked), frequent=3, is_held_out=lambda i: i >= 10_000).collect()}
+    gain = [got[10_000 + 2 * i + i % 2] - got[10_000 + 2 * i + 1 - i % 2] for i in range(40)]
+    assert min(gain) > 0.1
+
+
+def test_lm_tail_classes():
+    """Words outside are dealt to classes that grow with their number, and all shares still add to one."""
+    assert lm_scoring.tail_classes(10) == 1 and lm_scoring.tail_classes(4_000_000) == 16
+    hashes = np.sort(np.random.default_rng(1).integers(1, 1 << 62, 50, dtype=np.uint64))
+    m = lm_scoring.LanguageModel(hashes, np.arange(1, 51), 1500, 60, [100, 75, 60])  # 225 rare tokens, 10 rare words
+    m.set_classes(np.arange(50) % (lm_scoring.CLASSES - 1))
+    m.weights = np.random.default_rng(2).normal(size=m.weights.shape).astype(np.float32)
+    outside = np.random.default_rng(3).integers(1, 1 << 62, 1000, dtype=np.uint64) | np.uint64(lm_scoring.OUTSIDE)
+    assert set(m.class_of(outside)) == {m.rare, m.rare + 1, m.rare + 2}
+    p = m.spread(m.weights, m.features([outside, outside[::-1], outside]))
+    shares = np.array([101, 76, 61]) * 10 ** -m.rare_share
+    assert np.allclose(p[:, m.classes[:-1]] @ 10 ** m.word[:-1] + p[:, m.rare:] @ shares, 1, atol=1e-5)
+
+
 def test_url_lists(spark):
     entries = spark.createDataFrame([
         ("block", "domain", "bad.org", 10, "add"), ("block", "domain", "bad.org", 20, "remove"), ("block", "domain", "bad.org", 20, "add"),
