@@ -10,8 +10,10 @@ are read, so a lost executor leaves at most a file nobody reads. Files go throug
 file://, s3://, hdfs:// ...), so the folder must be one that all executors reach.
 
 Defined cases: a null html is an empty payload; equal payloads (empty ones too, from ``MIN_BYTES`` on) are one response,
-that of the largest page_id, and revisits; pages without an identifier are left out, as a record needs one; null urls
-become ``about:blank``; an empty table writes no archive.
+that of the largest page_id, and revisits; null urls become ``about:blank``; an empty table writes no archive. Pages without
+an identifier are left out unless ``unnamed`` asks for them, as op9 does: their record has a random id and no page header and
+comes back with a null page_id. They refer to an equal payload of a page with identifier; without one each is a response, so
+that no payload is lost (the SQL twin calls it a revisit of nothing).
 """
 
 from __future__ import annotations
@@ -44,15 +46,15 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page: int) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page}')}>"
+def record_id(page: int | None) -> str:
+    return f"<urn:uuid:{uuid.uuid4()}>" if page is None else f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page}')}>"
 
 
-def member(page: int, url: str, payload: bytes, refers_to: int | None, date: str = EMPTY_DATE) -> bytes:
+def member(page: int | None, url: str, payload: bytes, refers_to: int | None, date: str = EMPTY_DATE) -> bytes:
     """One record as a gzip member. A revisit has the digest and size of its payload, but not the payload."""
     kind = "response" if refers_to is None else "revisit"
     head = [f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page)}", f"WARC-Date: {date}", f"WARC-Target-URI: {quote(url, safe=':/?#[]@!$&()*+,;=%~')}",
-            f"WARC-Payload-Digest: sha1:{digest(payload)}", f"WARC-Identified-Page: {page}", "Content-Type: application/http; msgtype=response"]
+            f"WARC-Payload-Digest: sha1:{digest(payload)}", *([] if page is None else [f"WARC-Identified-Page: {page}"]), "Content-Type: application/http; msgtype=response"]
     if refers_to is not None:
         head += [f"WARC-Refers-To: {record_id(refers_to)}", f"WARC-Refers-To-Page: {refers_to}",
                  "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
@@ -141,20 +143,20 @@ def _member(held: bytes, hit: int, more, now):
     return parse(b"".join(text)), fed - hit - len(z.unused_data)
 
 
-def with_revisits(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
+def with_revisits(pages: DataFrame, min_bytes: int = MIN_BYTES, unnamed: bool = False) -> DataFrame:
     """(page_id, url, html, refers_to): of equal payloads the largest page_id is the response the others refer to.
 
     The groups are counted on the payload's SHA-256 and size, combined on the map side; they come back by a join that
     adaptive execution splits where a payload is hot, or by a broadcast when few payloads repeat.
     """
-    rows = pages.where("page_id is not null").select(
+    rows = (pages if unnamed else pages.where("page_id is not null")).select(
         F.col("page_id").cast("bigint").alias("page_id"), F.coalesce("url", F.lit("about:blank")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("sha", F.unhex(F.sha2("html", 256)))
     groups = checkpointed(rows.where(F.octet_length("html") >= min_bytes).groupBy("sha").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
                           .where("n > 1").drop("n"))
     n = groups.count()
     joined = rows.join(F.broadcast(groups) if n <= 500_000 else groups, "sha", "left")
-    return joined.select("page_id", "url", "html", F.expr("if(first <> page_id, first, null)").alias("refers_to"))
+    return joined.select("page_id", "url", "html", F.expr("if(first <=> page_id, null, first)").alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
@@ -224,7 +226,7 @@ def read_archives(spark: SparkSession, archives: DataFrame, split_bytes: int = S
 
 def op9_warc(spark, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
-    archives = write_archives(with_revisits(table(spark, sf_dir, "pages")), folder)
+    archives = write_archives(with_revisits(table(spark, sf_dir, "pages"), unnamed=True), folder)
     return read_archives(spark, archives, 8 << 20).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

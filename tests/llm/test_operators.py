@@ -250,6 +250,15 @@ def test_warc(spark, tmp_path):
     assert warc.read_archives(spark, warc.write_archives(warc.with_revisits(df.limit(0)), f"{tmp_path}/u")).count() == 0
 
 
+def test_warc_pages_without_identifier(spark, tmp_path):
+    """op9 returns a row for every page, also those whose page_id is null."""
+    pages = [(1, "u", "same"), (2, "u", "same"), (None, "u", "same"), (None, "v", "alone"), (None, "w", "alone"), (None, None, None)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").repartition(2).write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(map(repr, (tuple(r) for r in warc.op9_warc(spark, str(tmp_path)).collect())))
+    row = lambda page, html, refers: (page, len(html), warc.digest(html.encode()), "response" if refers is None else "revisit", refers)
+    assert got == sorted(map(repr, [row(1, "same", 2), row(2, "same", None), row(None, "same", 2), row(None, "alone", None), row(None, "alone", None), row(None, "", None)]))
+
+
 def test_warc_false_magic(tmp_path):
     """Bytes that look like a member, before, between and inside records, are passed over."""
     import gzip
