@@ -254,3 +254,23 @@ def test_whole_run(spark, cells, grid, mode):
         auc = {x.algorithm: x.auc for x in out.metrics.collect()}
         assert auc["lr"] > 0.85 and auc["rf"] > 0.85
     assert set(BANDS) >= set(out.predictors)
+
+
+@pytest.mark.parametrize("name", ["lr", "gam", "mlp", "maxent"])
+def test_registered_fits_at_defaults(monkeypatch, name):
+    """Both registered forms fit with no reduced sizes."""
+    from types import SimpleNamespace
+
+    from nichefield.catalog import modelling
+
+    asked = []
+
+    def recorded(*args, **params):
+        asked.append(params)
+        raise StopIteration
+
+    monkeypatch.setattr(modelling, "fit", recorded)
+    for run_fit in (modelling._fit, modelling._checked):
+        with pytest.raises(StopIteration):
+            run_fit(SimpleNamespace(matrix=None), name)
+    assert asked == [{}, {}]
