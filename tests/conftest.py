@@ -1,4 +1,3 @@
-import math
 import os
 import sys
 
@@ -33,15 +32,3 @@ def cells(spark, grid):
                      ((F.col("col") + F.col("row")) / 80).alias("band_0"),
                      (F.sin(F.col("col") / 5) + F.cos(F.col("row") / 5)).alias("band_1"),
                      (F.pmod(F.xxhash64("row", "col"), F.lit(1000)) / 1000).alias("band_2")).cache()
-
-
-BANDS = ["band_0", "band_1", "band_2"]
-
-
-def uniform(n, seed, low=0.0, high=1.0):
-    import numpy as np
-    return np.random.default_rng(seed).uniform(low, high, n)
-
-
-def close(a, b, tol=1e-9):
-    return (a is None and b is None) or math.isclose(a, b, rel_tol=tol, abs_tol=tol)

@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from conftest import BANDS
+from helpers import BANDS
 from pyspark.sql import functions as F
 
 from nichefield.models import ALGORITHMS, fit, fitted_config

@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from conftest import BANDS
+from helpers import BANDS
 from pyspark.sql import functions as F
 
 from nichefield import Grid, Layer
@@ -170,7 +170,7 @@ def test_layer_differences_and_target(spark):
     assert la.layers_frame(spark, [base, coarse]).where("differs_resolution").count() == 1
 
 
-def test_storage_types():
+def test_storage_types(spark):
     bare = Layer("n", "", "float32", 10, 10, 1.0, 0, 500000, 0, -1.0, 5000000)
     with pytest.raises(ValueError, match="assume"):
         la.build_target(spark, [bare], "EPSG:32633")
