@@ -10,7 +10,7 @@ from ..operators import ensemble as ens
 from ..operators import evaluate as ev
 from ..operators import surfaces as su
 from ..operators import transfer as tr
-from ..operators.common import checkpointed
+from ..operators.common import attach, checkpointed
 from ..operators.notes import headline, run_notes
 from ..operators.quantiles import quantiles
 from ..operators.regrid import regrid
@@ -320,6 +320,20 @@ select c.row, c.col, {r('mop')} from fx_future c left join done x on x.row = c.r
 ORACLES["mop_blocked"] = ORACLES["mop"]
 
 
+@query
+def mop_work(d):
+    """How many pairs of a cell and a record there are, and that for the nearest hundredth under a tenth of them is computed."""
+    train = _train(d)
+    scored = attach(tr.mop(d.future, train, P3, percentile=1.0, broadcast_values=0, distances=True).agg(
+        F.count("mop").alias("cells"), F.sum("distances").alias("computed")), train.dropna(subset=list(P3)).agg(F.count(F.lit(1)).alias("records")), ())
+    pairs = F.col("cells") * F.col("records")
+    return scored.select(pairs.alias("pairs"), (F.col("computed") * 10 < pairs).alias("below_tenth"))
+
+
+oracle("mop_work", f"""with {_TRAIN} select (select count(*) from fx_future where p1 is not null and p2 is not null and p3 is not null)
+  * (select count(*) from train) as pairs, true as below_tenth""")
+
+
 @query
 def mop_by_zone(d):
     return tidy(tr.mop(*_zone(d), P3, keys=["zone"]))

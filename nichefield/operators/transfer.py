@@ -6,24 +6,20 @@ table is mapped without a shuffle; beyond it both measures have a distributed ex
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.hashing import hash_order, order_bucket
 from ..functions.scalars import all_finite, complete_rows
 from .cells import moments
-from .common import BROADCAST_ROWS, at_most, attach, checkpointed, join_on, key_list, ordinal, range_parts, shuffle_width
+from .common import BROADCAST_ROWS, at_most, attach, checkpointed, join_on, key_list, range_parts
+from .nearest import MAX_BOXES, TABLE_BOX, BoxIndex, boxed, meet
 
 BROADCAST_VALUES = 2_000_000  # training numbers held in memory by a task
 MIN_SPAN = 1e-9  # fixed value: floor of a predictor's training range
 DEFAULT_PERCENTILE = 10.0
-PAIRS_AT_ONCE = 2_000_000  # distances computed per step of a task
-BLOCK_ROWS = 50_000  # training rows per block of the distributed form
 
 
 def _schema(df: DataFrame, keys, extra: str) -> str:
@@ -138,11 +134,12 @@ def nearest_count(n: int, percentile: float) -> int:
 
 
 def mop(cells: DataFrame, training: DataFrame, predictors, percentile: float = DEFAULT_PERCENTILE,
-        broadcast_values: int = BROADCAST_VALUES, keys=()) -> DataFrame:
+        broadcast_values: int = BROADCAST_VALUES, keys=(), distances: bool = False) -> DataFrame:
     """Mean standardised distance to the nearest share of training records, per cell.
 
     With ``keys`` each cell is standardised by and compared with its own key's records; a key without records gives
-    NULL. The distributed form computes each cell's distance to all its key's records, as the definition asks for.
+    NULL. Both forms go through boxes of training records (``nearest``), so that only distances that enter the mean, and
+    those of a thin shell around, are computed. ``distances`` adds how many were computed for the cell's vector.
     """
     predictors, keys = list(predictors), key_list(keys)
     known = complete_rows(training, predictors).select(*keys, *[F.col(p).cast("double").alias(p) for p in predictors])
@@ -154,124 +151,51 @@ def mop(cells: DataFrame, training: DataFrame, predictors, percentile: float = D
         return there.select(*keys, *keep, *[((F.col(p).cast("double") - F.col(f"{p}__mean")) / F.col(f"{p}__sd")).alias(p)
                                             for p in predictors])
 
-    rows, wanted = scaled(known), scaled(cells, "row", "col")
-    if at_most(rows, broadcast_values // len(predictors)):
-        return _mop_broadcast(wanted, rows, predictors, percentile, keys)
-    return _mop_blocked(wanted, rows, predictors, percentile, keys=keys)
-
-
-def _squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(a), len(b)))
-    for i in range(a.shape[1]):
-        out += (a[:, i, None] - b[None, :, i]) ** 2
-    return out
+    rows = checkpointed(scaled(known).groupBy(*keys, *predictors).agg(F.count(F.lit(1)).alias("c")))
+    wanted = scaled(cells, "row", "col")
+    within = at_most(rows, broadcast_values // len(predictors))
+    scored = (_mop_broadcast if within else _mop_boxed)(wanted, rows, predictors, percentile, keys)
+    return scored.select(*keys, "row", "col", "mop", *(["distances"] if distances else []))
 
 
 def _mop_broadcast(cells, rows, predictors, percentile, keys=()):
     table = rows.toPandas()
-    shared = cells.sparkSession.sparkContext.broadcast({key: table[predictors].to_numpy(float)[at] for key, at in _groups_of(table, keys)})
-
-    def mean_distance(x, train):
-        k, step = nearest_count(len(train), percentile), max(1, PAIRS_AT_ONCE // len(train))
-        distinct, back = np.unique(x, axis=0, return_inverse=True)
-        mean = np.empty(len(distinct))
-        for i in range(0, len(distinct), step):
-            d = _squared_distances(distinct[i:i + step], train)
-            mean[i:i + step] = np.sqrt(np.partition(d, k - 1, axis=1)[:, :k]).mean(axis=1)
-        return mean[back.ravel()]
+    shared = cells.sparkSession.sparkContext.broadcast({
+        key: BoxIndex(table[predictors].to_numpy(float)[at], table["c"].to_numpy()[at]) for key, at in _groups_of(table, keys) if len(at)})
 
     def per_task(batches):
-        held = shared.value
         for pdf in batches:
             x = pdf[predictors].to_numpy(float)
             ok = np.isfinite(x).all(axis=1)
-            out = np.full(len(pdf), np.nan)
+            out, computed = np.full(len(pdf), np.nan), np.zeros(len(pdf), np.int64)
             for key, at in _groups_of(pdf, keys):
-                at = at[ok[at]]
-                if len(at) and len(held.get(key, ())):
-                    out[at] = mean_distance(x[at], held[key])
+                at, index = at[ok[at]], shared.value.get(key)
+                if len(at) and index:
+                    distinct, back = np.unique(x[at], axis=0, return_inverse=True)
+                    mean, done = index.mean(distinct, nearest_count(index.n, percentile))
+                    out[at], computed[at] = mean[back.ravel()], done[back.ravel()]
             done = pdf[[*keys, "row", "col"]].copy()
-            done["mop"] = out
+            done["mop"], done["distances"] = out, computed
             yield done
 
     types = dict(cells.dtypes)
-    schema = _schema(cells, keys, f"row {types['row']}, col {types['col']}, mop double")
+    schema = _schema(cells, keys, f"row {types['row']}, col {types['col']}, mop double, distances bigint")
     return cells.mapInPandas(per_task, schema).withColumn("mop", F.when(~F.isnan("mop"), F.col("mop")))
 
 
-def _mop_blocked(cells, rows, predictors, percentile, block_rows: int = BLOCK_ROWS, keys=()):
-    """The same mean with the training records in random blocks of bounded size.
-
-    The k-th distance lies between the smallest and the largest of the blocks' own k/blocks-th
-    distances. A first pass finds that bracket per cell, a second sums what lies below it and
-    keeps only the few distances inside it, so no cell ever gathers all its distances.
-    """
-    keys, spark = key_list(keys), cells.sparkSession
-    per_key = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 0")
-    # Half to even, as nearest_count rounds.
-    per_key = per_key.select(*keys, F.greatest(F.lit(1), F.bround(F.col("_n") * percentile / 100.0)).cast("bigint").alias("k"),
-                             F.ceil(F.col("_n") / block_rows).cast("int").alias("blocks"))
-    with_key = lambda df: attach(df, per_key, keys)
-    digest = rows.withColumn("_h", hash_order(*[F.col(p) for p in predictors]))
-    numbered = ordinal(digest, ["_h", *predictors], order_bucket(F.col("_h"), shuffle_width(spark) * 8), keys, name="_o")
-    train = checkpointed(with_key(numbered).select(*keys, (F.col("_o") % F.col("blocks")).cast("int").alias("block"), *predictors))
+def _mop_boxed(cells, rows, predictors, percentile, keys=(), row_box: int = TABLE_BOX, point_box: int = TABLE_BOX):
+    """The same with training records that no task holds: boxes of distinct cells meet the boxes of records they need."""
+    keys = key_list(keys)
     whole = complete_rows(cells, predictors)
-    vectors = checkpointed(with_key(whole.select(*keys, *predictors).distinct()).withColumn("vid", F.monotonically_increasing_id()))
-    salts = max(1, math.ceil(vectors.count() / block_rows))
-    salted = train.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    by = [*keys, "block", "salt"]
-
-    def meet(left, fn, schema):
-        spreadout = left.withColumn("salt", F.pmod(F.xxhash64("vid"), F.lit(salts)).cast("int")).withColumn(
-            "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        return spreadout.groupBy(*by).cogroup(salted.groupBy(*by)).applyInPandas(fn, schema)
-
-    def chunks(a, b):
-        step = max(1, PAIRS_AT_ONCE // max(1, len(b)))
-        for i in range(0, len(a), step):
-            yield i, np.sort(_squared_distances(a[i:i + step], b), axis=1)
-
-    def bracket(left, right):
-        a, b = left[predictors].to_numpy(float), right[predictors].to_numpy(float)
-        low, high = np.full(len(a), -1.0), np.full(len(a), np.inf)
-        if len(a) and len(b):
-            k, blocks = int(left["k"].iat[0]), int(left["blocks"].iat[0])
-            low_rank, high_rank = k // blocks, math.ceil(k / blocks)
-            for i, d in chunks(a, b):
-                if 1 <= low_rank <= len(b):
-                    low[i:i + len(d)] = d[:, low_rank - 1]
-                if high_rank <= len(b):
-                    high[i:i + len(d)] = d[:, high_rank - 1]
-        return pd.DataFrame({"vid": left["vid"], "low": low, "high": high})
-
-    def inside(left, right):
-        a, b = left[predictors].to_numpy(float), right[predictors].to_numpy(float)
-        lows, highs, out = left["low"].to_numpy(), left["high"].to_numpy(), []
-        if len(b):
-            for i, d in chunks(a, b):
-                low, high = lows[i:i + len(d), None], highs[i:i + len(d), None]
-                below, within, root = d < low, (d >= low) & (d <= high), np.sqrt(d)
-                n_below, sum_below = below.sum(axis=1), np.where(below, root, 0.0).sum(axis=1)
-                held = np.split(root[within], np.cumsum(within.sum(axis=1))[:-1])
-                for j, part in enumerate(held):
-                    v, c = np.unique(part, return_counts=True)
-                    out.append((left["vid"].iat[i + j], int(n_below[j]), float(sum_below[j]), v.tolist(), c.tolist()))
-        return pd.DataFrame(out, columns=["vid", "n_below", "sum_below", "d", "c"])
-
-    ends = meet(vectors, bracket, "vid bigint, low double, high double").groupBy("vid").agg(
-        F.min("low").alias("low"), F.max("high").alias("high"))
-    got = checkpointed(meet(vectors.join(ends, "vid"), inside,
-                            "vid bigint, n_below bigint, sum_below double, d array<double>, c array<bigint>"))
-    base = got.groupBy("vid").agg(F.sum("n_below").alias("_nb"), F.sum("sum_below").alias("_sb"))
-    near = got.select("vid", F.explode(F.arrays_zip("d", "c")).alias("e")).groupBy(
-        "vid", F.col("e.d").alias("d")).agg(F.sum("e.c").alias("c"))
-    running = F.sum("c").over(W.partitionBy("vid").orderBy("d"))
-    taken = near.withColumn("_upto", running).join(base, "vid").join(vectors.select("vid", "k"), "vid").withColumn(
-        "_take", F.greatest(F.lit(0), F.least(F.col("c"), F.col("k") - F.col("_nb") - (F.col("_upto") - F.col("c")))))
-    total = taken.groupBy("vid").agg(((F.max("_sb") + F.sum(F.col("d") * F.col("_take"))) / F.max("k").cast("double")).alias("mop"))
-    found = join_on(whole, vectors.join(total, "vid").select(*keys, *predictors, "mop"), [*keys, *predictors], "left")
-    rest = cells.where(~all_finite(predictors)).select(*keys, "row", "col", F.lit(None).cast("double").alias("mop"))
-    return found.select(*keys, "row", "col", "mop").unionByName(rest)
+    number = lambda df: checkpointed(df.withColumn("vid", F.monotonically_increasing_id()))
+    vectors = number(whole.select(*keys, *predictors).distinct().withColumn("c", F.lit(1).cast("bigint")))
+    records = number(rows)
+    row_boxes = boxed(records, predictors, keys, "vid", max(row_box, records.count() // MAX_BOXES))
+    point_boxes = boxed(vectors, predictors, keys, "vid", point_box)
+    found = meet(point_boxes, row_boxes, predictors, keys, lambda n: nearest_count(n, percentile), _plain)
+    by_vector = vectors.join(found, "vid").select(*keys, *predictors, F.col("mean").alias("mop"), "distances")
+    rest = cells.where(~all_finite(predictors)).select(*keys, "row", "col", F.lit(None).cast("double").alias("mop"), F.lit(0).cast("bigint").alias("distances"))
+    return join_on(whole, by_vector, [*keys, *predictors], "left").select(*keys, "row", "col", "mop", F.coalesce("distances", F.lit(0)).alias("distances")).unionByName(rest)
 
 
 def extrapolation_share(scored: DataFrame, keys=()) -> DataFrame:

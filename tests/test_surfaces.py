@@ -80,15 +80,44 @@ def test_quantiles_keep_every_group(spark, limit):
         assert got == {"a": [2.0], "n": None, None: [5.0]}
 
 
-def test_mop_in_many_blocks(spark, training, points):
+@pytest.mark.parametrize("row_box,point_box", [(16, 8), (60, 1000), (10**6, 20)])
+def test_mop_in_many_boxes(spark, training, points, row_box, point_box):
     mu, sd = training.mean(0), training.std(0)
-    cells, known = frame(spark, (points - mu) / sd), frame(spark, (training - mu) / sd).select(*P)
-    got = {(r.row, r.col): r.mop for r in tr._mop_blocked(cells, known, P, 10.0, block_rows=60).collect()}
+    cells = frame(spark, (points - mu) / sd)
+    known = frame(spark, (training - mu) / sd).select(*P).groupBy(*P).agg(F.count(F.lit(1)).alias("c"))
+    got = {(r.row, r.col): r.mop for r in tr._mop_boxed(cells, known, P, 10.0, row_box=row_box, point_box=point_box).collect()}
     for i, b in enumerate(brute_mop(points, training)):
         v = got[i // 20, i % 20]
         assert (b is None and v is None) or abs(b - v) < 1e-9
 
 
+def test_boxes_leave_most_distances_out():
+    """Means are exact, repeated rows count, and a small share of all pairs is computed."""
+    from nichefield.operators.nearest import BoxIndex
+    rng = np.random.default_rng(5)
+    rows, x = rng.uniform(size=(6000, 3)), rng.uniform(size=(3000, 3)) * 1.1
+    rows[:2000] = rows[0]
+    distinct, counts = np.unique(rows, axis=0, return_counts=True)
+    index = BoxIndex(distinct, counts)
+    for k in (1, 60, 600, 5999, 6000):
+        mean, done = index.mean(x, k)
+        d = np.sort(np.sqrt(((x[:, None] - rows[None]) ** 2).sum(2)), axis=1)[:, :k].mean(axis=1)
+        assert np.allclose(mean, d, atol=1e-12)
+        if k == 60:
+            assert done.sum() < 0.1 * len(x) * len(rows)
+
+
+def test_mop_keeps_every_cell_of_every_key(spark):
+    cells = spark.createDataFrame([("a", 0, 0, 1.0), ("b", 0, 1, 2.0), (None, 0, 2, 3.0), ("a", 0, 3, None), ("a", 0, 4, 1.0)], "k string, row int, col int, u double")
+    known = spark.createDataFrame([("a", 0.0), ("a", 4.0), ("a", 0.0), (None, 2.0), (None, 4.0), ("z", 9.0)], "k string, u double")
+    for limit in (0, 10**6):
+        got = {r.col: r.mop for r in tr.mop(cells, known, ["u"], keys=["k"], percentile=60.0, broadcast_values=limit).collect()}
+        sd = np.std([0, 4, 0])
+        assert got[1] is None and got[3] is None and abs(got[0] - 1 / sd) < 1e-12 and got[0] == got[4] and abs(got[2] - 1.0) < 1e-12
+        assert tr.mop(cells.limit(0), known, ["u"], keys=["k"], broadcast_values=limit).count() == 0
+        assert tr.mop(cells, known.limit(0), ["u"], keys=["k"], broadcast_values=limit).where("mop is null").count() == 5
+
+
 def test_predictors_go_by_name(spark, training):
     cells = frame(spark, training[:200]).withColumn("other", F.lit(99.0))
     a = tr.mess(cells, frame(spark, training), ["v"]).agg(F.sum("mess")).first()[0]
