@@ -422,7 +422,9 @@ def kept_bytes(docs: DataFrame, digests: bool = False, **options) -> DataFrame:
 
 
 def op8_repeats(spark, sf_dir: str) -> DataFrame:
-    return kept_bytes(table(spark, sf_dir, "documents"), digests=True).withColumnRenamed("kept", "kept_sha256")
+    found = kept_bytes(table(spark, sf_dir, "documents"), digests=True).withColumnRenamed("kept", "kept_sha256")
+    share = F.when(F.col("n_bytes") > 0, F.col("n_removed") / F.col("n_bytes")).otherwise(0.0)
+    return found.withColumns({"has_repeat": F.col("n_removed") > 0, "removed_share": share})
 
 
 QUERIES = {"op8_repeats": op8_repeats}

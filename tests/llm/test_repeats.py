@@ -45,3 +45,14 @@ def test_nulls_and_empty(spark):
 
 def test_removed_runs():
     assert R.remove(b"0123456789", [0, 5], [2, 7]) == b"234789"[:3] + b"789"
+
+
+def test_query_against_brute_force(spark):
+    """The registered query, at its own length, on whole documents."""
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    got = {r["doc_id"]: r for r in R.op8_repeats(spark, sf).collect()}
+    for (i, _), (size, removed, spans, sha) in zip(rows, repeats([(t or "").encode() for _, t in rows], 400)):
+        r = got[i]
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (size, removed, spans, sha)
+        assert r["has_repeat"] == (removed > 0) and abs(r["removed_share"] - removed / max(size, 1)) < 1e-12
