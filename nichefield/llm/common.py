@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from ..operators.common import checkpointed, shuffle_width
 
-__all__ = ["BROADCAST_KEYS", "checkpointed", "memory", "only", "with_keys", "pieces", "prepare", "shuffle_width", "table", "texts",
-           "utf8"]
+__all__ = ["BROADCAST_KEYS", "ODD_NODES", "checkpointed", "keep_rows", "memory", "only", "with_keys", "with_nodes", "pieces", "prepare",
+           "shuffle_width", "table", "texts", "utf8"]
 
 #: A set of whole-number keys with at most this many rows (16 MB) may be broadcast; beyond it both sides shuffle.
 BROADCAST_KEYS = 2_000_000
@@ -90,5 +90,40 @@ def with_keys(df: DataFrame, keys: DataFrame, on: str, how: str = "inner", rows:
     return df.join(F.broadcast(keys) if n <= limit else keys.hint("merge"), on, how)
 
 
+#: Nodes from here on stand for rows without an identifier of their own; real ones are smaller.
+ODD_NODES = 1 << 62
+NODE = "__row_node"
+
+
+def with_nodes(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> tuple[DataFrame, bool]:
+    """``docs`` with a row number in column ``NODE``, and whether any row has no identifier of its own.
+
+    A row's number is its identifier. Where that is null, or belongs to several rows, it is a hash of identifier and text, so
+    that only equal rows share one.
+    """
+    twice = checkpointed(docs.groupBy(F.col(ident).cast("bigint").alias("ident")).count().where("count > 1 or ident is null").select("ident", F.lit(True).alias("odd")))
+    n, own = twice.count(), F.col(ident).cast("bigint")
+    if not n:
+        return docs.withColumn(NODE, own), False
+    hashed = F.xxhash64(F.coalesce(own, F.lit(-1)), own.isNull(), F.coalesce(F.col(text), F.lit("")))
+    numbered = docs.withColumns({NODE: own, f"{NODE}_odd": F.lit(ODD_NODES).bitwiseOR(hashed.bitwiseAND(F.lit(ODD_NODES - 1)))})
+    other = twice.withColumnsRenamed({"ident": f"{NODE}_ident", "odd": f"{NODE}_flag"})
+    marked = numbered.join(F.broadcast(other) if n <= BROADCAST_KEYS else other, F.col(NODE).eqNullSafe(F.col(f"{NODE}_ident")), "left")
+    return marked.withColumn(NODE, F.when(F.col(f"{NODE}_flag"), F.col(f"{NODE}_odd")).otherwise(F.col(NODE))).select(*docs.columns, NODE), True
+
+
+def keep_rows(docs: DataFrame, gone_of: Callable[[DataFrame], DataFrame], one_of_equal: bool) -> DataFrame:
+    """``docs`` without the rows whose numbers (``doc_id``) ``gone_of`` returns for (doc_id = row number, text).
+
+    Rows are judged and removed one by one, whatever their identifiers; of equal rows one stays if asked for.
+    """
+    keyed, odd = with_nodes(docs)
+    if odd and one_of_equal:
+        keyed = keyed.where(F.col(NODE) < ODD_NODES).union(keyed.where(F.col(NODE) >= ODD_NODES).dropDuplicates([NODE]))
+    gone = checkpointed(gone_of(keyed.select(F.col(NODE).alias("doc_id"), "text")).select(F.col("doc_id").alias(f"{NODE}_gone")).distinct())
+    left = keyed.join(F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone, F.col(NODE) == F.col(f"{NODE}_gone"), "left_anti")
+    return left.select(*docs.columns)
+
+
 def sha256_of(parts) -> str:
     return hashlib.sha256(b",".join(parts)).hexdigest()

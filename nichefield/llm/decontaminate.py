@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_KEYS, checkpointed, pieces, table, texts, utf8
+from .common import keep_rows, pieces, table, texts, utf8
 
 WINDOW = 13
 #: Words of test items in one automaton (its states take some 150 MB in a worker at most).
@@ -243,9 +243,8 @@ def remove_spans(text: bytes, starts, stops) -> bytes:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without the contaminated ones."""
-    gone = checkpointed(verdicts(contamination(docs, benchmark, **options)).where("contaminated").select("doc_id").distinct())
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone, "doc_id", "left_anti")
+    """``docs`` without the contaminated rows, whatever their identifiers."""
+    return keep_rows(docs, lambda keyed: verdicts(contamination(keyed, benchmark, **options)).where("contaminated").select("doc_id"), False)
 
 
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:

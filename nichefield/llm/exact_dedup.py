@@ -121,11 +121,13 @@ def exact_groups(docs: DataFrame, ident: str = "doc_id", text: str = "text", bit
 
 
 def drop_copies(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without the rows whose text another row with a larger identifier repeats."""
-    groups = exact_groups(docs, **options)
-    gone = checkpointed(groups.where("not kept").select("doc_id"))
-    n = gone.count()
-    return docs.join(F.broadcast(gone) if n <= BROADCAST_KEYS else gone, "doc_id", "left_anti")
+    """``docs`` with one row of each text: that of the largest identifier, null ones last; of several such rows one stays."""
+    twice = checkpointed(exact_groups(docs, **options).where("group_size > 1").select(F.unhex("text_sha256").alias("__sha"), F.col("keep_id").alias("__keep")).distinct())
+    few, digest = twice.count() <= BROADCAST_KEYS // 4, F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+    keyed, other = docs.withColumn("__digest", digest), F.broadcast(twice) if few else twice
+    alone = keyed.join(other, F.col("__digest") == F.col("__sha"), "left_anti")
+    same = keyed.join(other, (F.col("__digest") == F.col("__sha")) & F.col("doc_id").cast("bigint").eqNullSafe(F.col("__keep")))
+    return alone.select(*docs.columns).union(same.dropDuplicates(["__digest"]).select(*docs.columns))
 
 
 def op2_exact_dedup(spark, sf_dir: str) -> DataFrame:
