@@ -59,15 +59,48 @@ def test_ngram_join_hot_family(spark):
 
 
 def test_ngram_join_odd_rows(spark):
-    rows = [(7, "a b c d e f"), (7, "p q r s t u"), (3, "A B C D E F"), (9, "p q r s t u"), (None, "a b c d e f")]
-    got = sorted(tuple(r) for r in ngram_join.similar_groups(frame(spark, rows)).collect())
-    assert got == [(3, 2, 3), (7, 2, 3), (7, 2, 3), (9, 2, 3)]
+    """Rows with null or repeated identifiers are judged one by one; components take the smallest identifier in them."""
+    rows = [(7, "a b c d e f"), (7, "p q r s t u"), (3, "A B C D E F"), (9, "p q r s t u"), (None, "a b c d e f"), (None, "one of its kind here"), (5, "x y"), (5, "x y")]
+    got = sorted((tuple(r) for r in ngram_join.similar_groups(frame(spark, rows)).collect()), key=str)
+    assert got == sorted([(3, 2, 3), (7, 2, 3), (None, 2, 3), (7, 2, 7), (9, 2, 7), (None, 1, None), (5, 1, 5), (5, 1, 5)], key=str)
     assert ngram_join.similar_groups(frame(spark, rows).limit(0)).count() == 0
     docs = frame(spark, [(1, "a b c"), (2, "a b c"), (3, None), (4, "")])
     kept = ngram_join.drop_similar(docs)
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 4] and set(kept.columns) == set(docs.columns)
 
 
+def kept_rows(df):
+    return sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+
+
+def test_removal_goes_by_row(spark):
+    """No unique text goes with a copy of its identifier, and no copy stays because it has none."""
+    rows = [(7, "A"), (7, "B"), (9, "A"), (None, "C"), (1, "C"), (2, "C"), (8, "D"), (8, "D"), (None, None), (None, "")]
+    got = kept_rows(exact_dedup.drop_copies(frame(spark, rows)))
+    assert len(got) == 5 and got[:4] == [(2, "C"), (7, "B"), (8, "D"), (9, "A")] and got[4][0] is None and not got[4][1]
+    words = "w1 w2 w3 w4 w5 w6 w7 w8"
+    rows = [(4, "only this one is here"), (4, words), (1, words), (6, "twice the same row is here"), (6, "twice the same row is here"), (None, words), (None, "no name no copy"), (2, None)]
+    assert kept_rows(ngram_join.drop_similar(frame(spark, rows))) == sorted(
+        [(4, "only this one is here"), (1, words), (6, "twice the same row is here"), (None, "no name no copy"), (2, None)], key=str)
+    dirty = "q1 q2 q3 q4 q5 q6 q7 q8 q9 qa qb qc qd qe"
+    bench = spark.createDataFrame([(1, dirty)], "item_id long, text string")
+    rows = [(5, dirty), (5, "clean text here"), (None, dirty), (None, "clean too"), (6, "clean"), (6, "clean"), (3, None)]
+    assert kept_rows(decontaminate.drop_contaminated(frame(spark, rows), bench)) == sorted(
+        [(5, "clean text here"), (None, "clean too"), (6, "clean"), (6, "clean"), (3, None)], key=str)
+
+
+def test_first_parts_never_part_linked_sets():
+    """Linked sets have as many elements in common in their first parts as the join asks for."""
+    rng = random.Random(11)
+    for _ in range(3000):
+        a = rng.sample(range(400), rng.randrange(1, 80))
+        b = [x for x in a if rng.random() < 0.93] + rng.sample(range(400, 500), rng.randrange(0, 9))
+        a, b = sorted(set(a)), sorted(set(b))
+        if b and 100 * len(set(a) & set(b)) >= 75 * len(set(a) | set(b)):
+            parts = [set(x[:ngram_join.first_part(len(x))]) for x in (a, b)]
+            assert len(parts[0] & parts[1]) >= ngram_join.common_asked(len(a), len(b), 75) >= 1
+
+
 @pytest.mark.parametrize("broadcast_keys", [0, 1000])
 def test_exact_dedup(spark, broadcast_keys):
     texts = ["a", "A", "a", None, "", "b" * 5000, "b" * 5000, "b" * 4999, "a", "é"]

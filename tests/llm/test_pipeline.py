@@ -55,4 +55,4 @@ def test_stages_keep_columns(spark):
 
 
 def test_registered():
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in llm.QUERIES} and "pipeline" in entry.queries()
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in llm.QUERIES} and "pipeline" in entry.queries()
