@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions.scalars import complete_rows
-from ..models import fit
+from ..models import fit, fit_by, mlp, register
+from ..models.base import Model, in_batches, summary_of, training_rows
+from ..models.gam import RIDGE
+from ..models.grouped import spline_at
 from ..models.maxent import feature_classes_column
 from ..models.registry import load_model, save_model
 from ..operators import ensemble as ens
@@ -14,7 +17,7 @@ from ..operators import evaluate as ev
 from ..operators import explain as ex
 from ..operators import select as se
 from ..operators import splits as sp
-from ..operators.common import checkpointed
+from ..operators.common import checkpointed, join_on
 from ..plans.crossval import cross_validate
 from .points import LABELLED, PREDICTORS, fresh_path, labelled
 from .tables import Data, r, tidy, uniform, with_tables
@@ -283,15 +286,23 @@ oracle("fit_lr_residuals", "select unnest(['intercept', " + ", ".join(f"'{f}', '
 
 
 @query
-def maxent_classes(d):
-    counts = d.occ.where("presence = 1 and x is not null").groupBy(F.floor("x").alias("zone")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.select("zone", "n", F.concat_ws(",", feature_classes_column(F.col("n"))).alias("classes"))
+def fit_mlp_gradient(d):
+    """The gradient of the perceptron's penalised loss, per row, for every weight: zero at the optimum."""
+    m = fit("mlp", d.matrix, FEATURES)
+    st, p, hidden = m.state, len(FEATURES), m.params["hidden"]
+    theta, rows = np.array(st["theta"]), m.score(complete_rows(d.matrix, FEATURES))
+    pull = m.params["alpha"] * mlp.decayed(p, hidden) * theta
+    z = [(F.col(c) - mu) / sd for c, mu, sd in zip(FEATURES, st["mean"], st["sd"])]
+    rows = rows.select("label", "score", *[c.alias(f"z{i}") for i, c in enumerate(z)], *[u.alias(f"h{k}") for k, u in enumerate(mlp.hidden_units(m))])
+    gap, out = F.col("score") - F.col("label"), theta[p * hidden + hidden:-1]
+    back = [gap * float(out[k]) * (F.col(f"h{k}") > 0).cast("int") for k in range(hidden)]
+    sums = [F.sum(back[k] * F.col(f"z{i}")) for i in range(p) for k in range(hidden)] + [F.sum(b) for b in back] + [F.sum(gap * F.col(f"h{k}")) for k in range(hidden)] + [F.sum(gap)]
+    got = rows.agg(F.count(F.lit(1)).alias("n"), F.array(*sums).alias("g"))
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("weight"), ((F.col("g")[i] + float(v)) / F.col("n")).alias("gradient")) for i, v in enumerate(pull)]))
+    return tidy(got.select(each.alias("e")).select("e.*"), 3)
 
 
-oracle("maxent_classes", """select cast(floor(x) as bigint) as zone, count(*) as n, case when count(*) < 10 then 'linear'
-  when count(*) < 15 then 'linear,quadratic' when count(*) < 80 then 'linear,quadratic,hinge'
-  else 'linear,quadratic,hinge,product' end as classes
-from fx_occ where presence = 1 and x is not null group by floor(x)""")
+oracle("fit_mlp_gradient", f"select cast(unnest(range(0, {len(FEATURES) * 8 + 17})) as int) as weight, 0e0 as gradient")
 
 
 def enfa_sql(train: str, target: str, keep: str, x1: str, x2: str, by: str = "", link: str = "") -> str:
@@ -314,6 +325,88 @@ scored as (select {keep}, case when z1 is not null and z2 is not null then exp(-
   / case when q > 0 then q else 1 end) end as score from tz t join inv m on {link or on} join sc{' on sc.' + by + ' = t.' + by if by else ' on true'})"""
 
 
+# --- fits of many species in one job --------------------------------------------------------
+
+SPECIES = "case when pid % 7 = 6 then null else pid % 7 end"
+
+
+def _by_species(d):
+    return d.matrix.withColumn("species", F.expr(SPECIES))
+
+
+@query
+def fit_lr_by_species(d):
+    """The score equations of every species' logistic fit: zero at the optimum."""
+    df = _by_species(d)
+    m = fit_by("lr", df, FEATURES, ["species"])
+    rows = join_on(m.score(complete_rows(df, FEATURES)), m.state, m.keys, small=True)
+    z = [(F.col(p) - F.col("mean")[i]) / F.col("sd")[i] for i, p in enumerate(FEATURES)]
+    terms = [F.lit(1.0), *z, *[c * c for c in z]]
+    names = ["intercept", *FEATURES, *[f"{p}^2" for p in FEATURES]]
+    gap = F.col("score") - F.col("label")
+    got = rows.groupBy("species").agg(F.count(F.lit(1)).alias("n"), F.first("beta").alias("beta"), F.array(*[F.sum(gap * t) for t in terms]).alias("g"))
+    each = F.explode(F.array(*[F.struct(F.lit(t).alias("term"), ((F.col("g")[i] + (F.col("beta")[i] / m.params["C"] if i else 0.0)) / F.col("n")).alias("residual"))
+                               for i, t in enumerate(names)]))
+    return tidy(got.select("species", "n", each.alias("e")).select("species", "n", "e.*"))
+
+
+_TERMS = ", ".join(f"'{t}'" for t in ["intercept", *FEATURES, *[f"{f}^2" for f in FEATURES]])
+oracle("fit_lr_by_species", f"""select species, n, unnest([{_TERMS}]) as term, 0e0 as residual
+from (select {SPECIES} as species, count(*) as n from fx_matrix group by 1) t""")
+
+
+@query
+def fit_gam_by_species(d):
+    """The penalised score equations of every species' splines, one for each piece: zero at the optimum."""
+    df = _by_species(d)
+    m = fit_by("gam", df, FEATURES, ["species"])
+    n, penalty = m.params["n_splines"], m.params["penalty"]
+    rows = join_on(m.score(complete_rows(df, FEATURES)), m.state.select("species", *[F.col(c).alias(f"_{c}") for c in ("lows", "steps", "beta")]), m.keys, small=True)
+    gap = F.col("score") - F.col("label")
+    pieces = []
+    for i, p in enumerate(FEATURES):
+        _, j, weights = spline_at(p, i, n)
+        pieces += [F.struct(F.lit(p).alias("predictor"), (j + k).alias("piece"), (gap * w).alias("g")) for k, w in enumerate(weights)]
+    sums = rows.select("species", F.explode(F.array(*pieces)).alias("e")).groupBy("species", "e.predictor", "e.piece").agg(F.sum("e.g").alias("g"))
+    def pull(i):
+        """What the penalty adds to the gradient of the ``i``-th predictor's pieces."""
+        c = F.slice("beta", 2 + i * n, n)
+        bent = F.transform(F.sequence(F.lit(0), F.lit(n - 3)), lambda k: F.get(c, k) - 2 * F.get(c, k + 1) + F.get(c, k + 2))
+        at = lambda k: F.coalesce(F.get(bent, k), F.lit(0.0))
+        return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: penalty * (at(k) - 2 * at(k - 1) + at(k - 2)) + RIDGE * F.get(c, k))
+
+    bends = [F.struct(F.lit(p).alias("predictor"), pull(i).alias("pull")) for i, p in enumerate(FEATURES)]
+    pulls = m.state.select("species", "n", F.explode(F.array(*bends)).alias("e")).select("species", "n", "e.predictor", F.posexplode("e.pull").alias("piece", "pull"))
+    both = join_on(pulls, sums, ["species", "predictor", "piece"], "left")
+    return tidy(both.select("species", "predictor", F.col("piece").cast("int").alias("piece"), ((F.col("pull") + F.coalesce("g", F.lit(0.0))) / F.col("n")).alias("residual")))
+
+
+oracle("fit_gam_by_species", f"""select species, predictor, cast(piece as int) as piece, 0e0 as residual from (select distinct {SPECIES} as species from fx_matrix) t,
+(select unnest([{', '.join(f"'{f}'" for f in FEATURES)}]) as predictor) p, (select unnest(range(0, 10)) as piece) i""")
+
+
+@query
+def fit_enfa_by_species(d):
+    df = _by_species(d)
+    return tidy(fit_by("enfa", df, ["a", "b"], ["species"]).score(df).select("pid", "label", "species", "score"))
+
+
+oracle("fit_enfa_by_species", f"""with base as (select *, coalesce({SPECIES}, -1) as sp from fx_matrix), {enfa_sql('base', 'base', 't.pid, t.label, t.sp', 'a', 'b', 'sp', 't.sp = m.sp')}
+select pid, label, nullif(sp, -1) as species, {r('score')} from scored""")
+
+
+@query
+def maxent_classes(d):
+    counts = d.occ.where("presence = 1 and x is not null").groupBy(F.floor("x").alias("zone")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.select("zone", "n", F.concat_ws(",", feature_classes_column(F.col("n"))).alias("classes"))
+
+
+oracle("maxent_classes", """select cast(floor(x) as bigint) as zone, count(*) as n, case when count(*) < 10 then 'linear'
+  when count(*) < 15 then 'linear,quadratic' when count(*) < 80 then 'linear,quadratic,hinge'
+  else 'linear,quadratic,hinge,product' end as classes
+from fx_occ where presence = 1 and x is not null group by floor(x)""")
+
+
 @query
 def fit_enfa(d):
     m = fit("enfa", d.env, ["e1", "e2"])
@@ -323,6 +416,37 @@ def fit_enfa(d):
 oracle("fit_enfa", f"with {enfa_sql('fx_env', 'fx_env', 'pid, label', 'e1', 'e2')} select pid, label, {r('score')} from scored")
 
 
+def fit_centres(df, predictors, label, seed, power) -> Model:
+    """A user's algorithm: how much nearer a record is to the presences' centre than to that of the others."""
+    rows = training_rows(df, predictors, label)
+    s = summary_of(rows, predictors)
+    got = {r["label"]: r["at"] for r in rows.groupBy("label").agg(F.array(*[F.avg((F.col(p) - m) / sd) for p, m, sd in zip(predictors, s["mean"], s["sd"])]).alias("at")).collect()}
+    return Model("centres", predictors, {"power": power}, {"mean": s["mean"], "sd": s["sd"], "near": got[1], "far": got[0]})
+
+
+def _centres(model, frame):
+    st = model.state
+    z = (frame.to_numpy() - st["mean"]) / st["sd"]
+    near, far = (((z - np.array(st[k])) ** 2).sum(axis=1) ** (model.params["power"] / 2) for k in ("near", "far"))
+    return far / np.maximum(near + far, 1e-300)
+
+
+@query
+def user_algorithm(d):
+    """An algorithm registered from outside, fitted, saved, reloaded and scored in batches."""
+    register("centres", fit_centres, in_batches(_centres), {"power": 2}, "Nearest centre")
+    path = fresh_path(d.spark, "centres")
+    save_model(fit("centres", d.matrix, ["a", "b"]), d.spark, path)
+    return tidy(load_model(d.spark, path).score(d.matrix).select("pid", "label", "score"))
+
+
+oracle("user_algorithm", f"""with s as (select avg(a) as ma, stddev_pop(a) as sa, avg(b) as mb, stddev_pop(b) as sb from fx_matrix),
+z as (select pid, label, (a - ma) / sa as za, (b - mb) / sb as zb from fx_matrix, s),
+c as (select avg(za) filter (label = 1) as a1, avg(zb) filter (label = 1) as b1, avg(za) filter (label = 0) as a0, avg(zb) filter (label = 0) as b0 from z),
+e as (select pid, label, (za - a1) ** 2 + (zb - b1) ** 2 as near, (za - a0) ** 2 + (zb - b0) ** 2 as far from z, c)
+select pid, label, {r('far / (near + far)', 'score')} from e""")
+
+
 @query
 def model_roundtrip(d):
     """Saved and reloaded models score like the originals (largest difference)."""

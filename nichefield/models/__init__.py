@@ -1,5 +1,6 @@
 """Habitat models: fitted on Spark, scored as columns of a DataFrame."""
 
-from .registry import ALGORITHMS, LONG_NAMES, defaults, fit, fitted_config
+from .grouped import GroupedModel, fit_by
+from .registry import ALGORITHMS, LONG_NAMES, algorithms, defaults, fit, fitted_config, register, unregister
 
-__all__ = ["ALGORITHMS", "LONG_NAMES", "defaults", "fit", "fitted_config"]
+__all__ = ["ALGORITHMS", "LONG_NAMES", "GroupedModel", "algorithms", "defaults", "fit", "fit_by", "fitted_config", "register", "unregister"]

@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +41,21 @@ def by_formula(formula: Callable[[Model], Column]):
     return score
 
 
+def in_batches(compute: Callable[[Model, pd.DataFrame], np.ndarray]):
+    """Scoring by a function of the model and a frame of its predictors, called for whole Arrow batches in the tasks."""
+    def score(model: Model, df: DataFrame, out: str) -> DataFrame:
+        bare = Model(model.name, model.predictors, model.params, model.state)  # a stage does not travel to tasks
+
+        @F.pandas_udf("double")
+        def value(*columns: pd.Series) -> pd.Series:
+            frame = pd.concat(columns, axis=1).set_axis(bare.predictors, axis=1)
+            return pd.Series(np.clip(np.asarray(compute(bare, frame), float), 0.0, 1.0))
+
+        given = [F.coalesce(F.col(p).cast("double"), F.lit(0.0)) for p in model.predictors]
+        return df.withColumn(out, F.when(all_finite(model.predictors), value(*given)))
+    return score
+
+
 def training_rows(df: DataFrame, predictors, label: str) -> DataFrame:
     return complete_rows(df, predictors).select(
         *[F.col(p).cast("double").alias(p) for p in predictors], F.col(label).cast("int").alias("label"))

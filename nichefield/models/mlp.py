@@ -1,32 +1,112 @@
-"""Multilayer perceptron with one small hidden layer on standardised predictors."""
+"""Perceptron with one small hidden layer of rectified units and weight decay, on standardised predictors.
+
+Each round is one distributed pass over the rows: the penalised loss, its gradient by a forward and a backward pass over
+whole batches, and the Gauss-Newton curvature, summed per task and then over tasks. Damped Newton steps on these sums reach
+an optimum in about a hundred rounds; only the sums come to the driver, whose size is the square of the number of weights.
+"""
 
 from __future__ import annotations
 
-from pyspark.ml.classification import MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier
-from pyspark.ml.functions import array_to_vector
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
-from .base import Model, standard_columns, summary_of, training_rows
-from .trees import score_vector
+from .base import Model, by_formula, logistic, standard_columns, summary_of, training_rows, weighted_sum
+
+DEFAULTS = {"hidden": 8, "alpha": 0.01, "max_iter": 500}
+SETTLED = 1e-7  # largest component of the gradient, per row, at which the weights count as settled
+STALLED, GAIN = 20, 1e-6  # rounds that together must lower the loss by this share; at a bend of a unit the gradient need not vanish
+
+
+def _unpacked(theta, inputs: int, hidden: int):
+    """(weights into the units, their offsets, weights out of them, last offset)."""
+    cut = inputs * hidden
+    return theta[:cut].reshape(inputs, hidden), theta[cut:cut + hidden], theta[cut + hidden:cut + 2 * hidden], theta[-1]
+
+
+def _start(inputs: int, hidden: int, seed: int, share: float) -> np.ndarray:
+    """Small random weights, the spread by the number of connections, and the offset of the overall share."""
+    rng, spread = np.random.default_rng(seed), np.sqrt(6.0 / (inputs + hidden))
+    out = np.sqrt(6.0 / (hidden + 1))
+    return np.concatenate([rng.uniform(-spread, spread, inputs * hidden), rng.uniform(-spread, spread, hidden), rng.uniform(-out, out, hidden) * 0.1, [np.log(share / (1 - share))]])
+
+
+def decayed(inputs: int, hidden: int) -> np.ndarray:
+    """1 for the weights that decay: all but the offsets."""
+    return np.concatenate([np.ones(inputs * hidden), np.zeros(hidden), np.ones(hidden), [0.0]])
+
+
+def passes(z: np.ndarray, y: np.ndarray, theta: np.ndarray, hidden: int):
+    """(loss, gradient, curvature) of a batch, without the decay."""
+    weights, offsets, out, last = _unpacked(theta, z.shape[1], hidden)
+    a = z @ weights + offsets
+    on = a > 0
+    h = np.where(on, a, 0.0)
+    eta = np.clip(h @ out + last, -500, 500)
+    mu = 1.0 / (1.0 + np.exp(-eta))
+    back = on * out
+    slope = np.hstack([(z[:, :, None] * back[:, None, :]).reshape(len(z), -1), back, h, np.ones((len(z), 1))])
+    return float((np.logaddexp(0.0, eta) - y * eta).sum()), slope.T @ (mu - y), slope.T @ (slope * (mu * (1 - mu))[:, None])
+
+
+def _sums(rows, predictors, mean, sd, theta, hidden):
+    """Loss, gradient and curvature over all rows: summed per task, then entry by entry over tasks."""
+    size = len(theta)
+
+    def per_task(batches):
+        total = np.zeros(1 + size + size * size)
+        for pdf in batches:
+            z = (pdf[predictors].to_numpy(float) - mean) / sd
+            loss, gradient, curvature = passes(z, pdf["label"].to_numpy(float), theta, hidden)
+            total += np.concatenate([[loss], gradient, curvature.ravel()])
+        yield pd.DataFrame({"i": np.arange(len(total)), "v": total})
+
+    flat = np.zeros(1 + size + size * size)
+    for r in rows.mapInPandas(per_task, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+        flat[r.i] = r.v
+    return flat[0], flat[1:1 + size], flat[1 + size:].reshape(size, size)
+
+
+def fit(df, predictors, label, seed, hidden, alpha, max_iter) -> Model:
+    rows = training_rows(df, predictors, label).persist()
+    try:
+        s = summary_of(rows, predictors)
+        mean, sd, n = np.array(s["mean"]), np.array(s["sd"]), s["n"]
+        decay = alpha * decayed(len(predictors), hidden)
+
+        def at(theta):
+            loss, gradient, curvature = _sums(rows, predictors, mean, sd, theta, hidden)
+            return loss + 0.5 * float(decay @ theta ** 2), gradient + decay * theta, curvature + np.diag(decay)
 
-DEFAULTS = {"hidden": 8, "max_iter": 500}
-LOADER = MultilayerPerceptronClassificationModel
+        theta = _start(len(predictors), hidden, seed, s["n1"] / n)
+        value, gradient, curvature = at(theta)
+        damping, seen = 1e-3 * n, [value]
+        for _ in range(max_iter - 1):
+            if np.abs(gradient).max() <= SETTLED * n or (len(seen) > STALLED and seen[-STALLED - 1] - value < GAIN * value):
+                break
+            tried = theta - np.linalg.solve(curvature + damping * np.eye(len(theta)), gradient)
+            other = at(tried)
+            if other[0] < value:
+                theta, (value, gradient, curvature), damping = tried, other, max(damping / 4, 1e-9 * n)
+            else:
+                damping *= 5
+            seen.append(value)
+    finally:
+        rows.unpersist()
+    return Model("mlp", predictors, {"hidden": hidden, "alpha": alpha, "max_iter": max_iter}, {"mean": s["mean"], "sd": s["sd"], "theta": theta.tolist()})
 
 
-def _vector(predictors, mean, sd):
-    z = standard_columns(predictors, mean, sd)
-    return array_to_vector(F.array(*[F.coalesce(c, F.lit(0.0)) for c in z]))
+def hidden_units(model: Model):
+    """The rectified units as columns."""
+    st, hidden = model.state, model.params["hidden"]
+    weights, offsets, *_ = _unpacked(np.array(st["theta"]), len(model.predictors), hidden)
+    z = standard_columns(model.predictors, st["mean"], st["sd"])
+    return [F.greatest(F.lit(0.0), weighted_sum(z, weights[:, k], offsets[k])) for k in range(hidden)]
 
 
-def fit(df, predictors, label, seed, hidden, max_iter) -> Model:
-    rows = training_rows(df, predictors, label)
-    s = summary_of(rows, predictors)
-    net = MultilayerPerceptronClassifier(layers=[len(predictors), hidden, 2], maxIter=max_iter, seed=seed,
-                                         labelCol="label")
-    stage = net.fit(rows.select("label", _vector(predictors, s["mean"], s["sd"]).alias("features")))
-    return Model("mlp", predictors, {"hidden": hidden, "max_iter": max_iter},
-                 {"mean": s["mean"], "sd": s["sd"]}, stage)
+def _probability(model: Model):
+    *_, out, last = _unpacked(np.array(model.state["theta"]), len(model.predictors), model.params["hidden"])
+    return logistic(weighted_sum(hidden_units(model), out, last))
 
 
-def score(model: Model, df, out: str):
-    return score_vector(model, df, out, _vector(model.predictors, model.state["mean"], model.state["sd"]))
+score = by_formula(_probability)

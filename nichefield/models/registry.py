@@ -18,7 +18,7 @@ _MODELS = {
     "gbm": ("Gradient Boosting Machine", trees.GBM_DEFAULTS, trees.fit_gbm, trees.score, trees.LOADERS["gbm"]),
     "xgb": ("XGBoost", trees.XGB_DEFAULTS, trees.fit_xgb, trees.score, trees.LOADERS["xgb"]),
     "svm": ("Support Vector Machine", svm.DEFAULTS, svm.fit, svm.score, None),
-    "mlp": ("Multilayer Perceptron", mlp.DEFAULTS, mlp.fit, mlp.score, mlp.LOADER),
+    "mlp": ("Multilayer Perceptron", mlp.DEFAULTS, mlp.fit, mlp.score, None),
     "maxent": ("MaxEnt", maxent.DEFAULTS, maxent.fit, maxent.score, None),
     "enfa": ("Ecological Niche Factor Analysis", enfa.DEFAULTS, enfa.fit, enfa.score, None),
 }
@@ -29,10 +29,36 @@ SEED_STRIDE = 17  # fixed value: seed step between replicates
 
 def _entry(name: str):
     if name not in _MODELS:
-        raise ValueError(f"unknown algorithm {name!r}; choose from {ALGORITHMS}")
+        raise ValueError(f"unknown algorithm {name!r}; choose from {algorithms()}")
     return _MODELS[name]
 
 
+def algorithms() -> tuple[str, ...]:
+    """Names of all algorithms, those that users have registered included."""
+    return tuple(_MODELS)
+
+
+def register(name: str, fit, score, defaults: dict | None = None, long_name: str | None = None, load=None) -> None:
+    """Add an algorithm of one's own, for ``fit``, ``cross_validate``, ``predict_wide`` and whole runs alike.
+
+    ``fit(df, predictors, label, seed, **params)`` returns a ``Model`` of that name whose state is plain numbers and lists;
+    ``score(model, df, out)`` adds a column (``base.by_formula`` and ``base.in_batches`` make one). ``load`` reads a model's
+    ``stage`` back, if it has one. Registering a name again replaces it; the built-in ones stay as they are.
+    """
+    if name in ALGORITHMS:
+        raise ValueError(f"{name!r} is built in")
+    if not name.isidentifier():
+        raise ValueError(f"{name!r} cannot name columns")
+    _MODELS[name] = (long_name or name, dict(defaults or {}), fit, score, load)
+
+
+def unregister(name: str) -> None:
+    """Forget an algorithm that ``register`` has added."""
+    if name in ALGORITHMS:
+        raise ValueError(f"{name!r} is built in")
+    _MODELS.pop(name, None)
+
+
 def defaults(name: str) -> dict:
     return dict(_entry(name)[1])
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -19,6 +21,20 @@ def key_list(keys) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys or ())
 
 
+def plain_key(key) -> tuple:
+    """A group's key with every missing value as None, so that a null key finds its own records."""
+    return tuple(None if pd.isna(k) else k for k in (key if isinstance(key, tuple) else (key,)))
+
+
+def groups_of(pdf: pd.DataFrame, keys):
+    """(key, positions) of each group of a batch, null keys included."""
+    if not keys:
+        return [((), np.arange(len(pdf)))]
+    number = pdf.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
+    firsts = pdf[keys].iloc[np.unique(number, return_index=True)[1]]
+    return [(plain_key(tuple(k)), np.flatnonzero(number == i)) for i, k in enumerate(firsts.itertuples(index=False, name=None))]
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

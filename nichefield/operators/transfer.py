@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 
 from ..functions.scalars import all_finite, complete_rows
 from .cells import moments
-from .common import BROADCAST_ROWS, at_most, attach, checkpointed, join_on, key_list, range_parts
+from .common import BROADCAST_ROWS, at_most, attach, checkpointed, groups_of, join_on, key_list, plain_key, range_parts
 from .nearest import MAX_BOXES, TABLE_BOX, BoxIndex, boxed, meet
 
 BROADCAST_VALUES = 2_000_000  # training numbers held in memory by a task
@@ -57,25 +57,11 @@ def _similarity(f, n, v, low, high):
     return np.where(v < low, (v - low) / span * 100.0, np.where(v > high, (high - v) / span * 100.0, inside))
 
 
-def _plain(key) -> tuple:
-    """A group's key with every missing value as None, so that a null key finds its own records."""
-    return tuple(None if pd.isna(k) else k for k in (key if isinstance(key, tuple) else (key,)))
-
-
-def _groups_of(pdf: pd.DataFrame, keys):
-    """(key, positions) of each group of a batch, null keys included."""
-    if not keys:
-        return [((), np.arange(len(pdf)))]
-    number = pdf.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
-    firsts = pdf[keys].iloc[np.unique(number, return_index=True)[1]]
-    return [(_plain(tuple(k)), np.flatnonzero(number == i)) for i, k in enumerate(firsts.itertuples(index=False, name=None))]
-
-
 def _mess_broadcast(cells, values, predictors, keys):
     held: dict = {}
     table = values.toPandas().sort_values("v")
     for at, part in table.groupby([*keys, "f"], sort=False, dropna=False):
-        held[_plain(at)] = (part["v"].to_numpy(), np.concatenate([[0], part["c"].to_numpy().cumsum()]))
+        held[plain_key(at)] = (part["v"].to_numpy(), np.concatenate([[0], part["c"].to_numpy().cumsum()]))
     shared = cells.sparkSession.sparkContext.broadcast(held)
 
     def per_task(batches):
@@ -83,7 +69,7 @@ def _mess_broadcast(cells, values, predictors, keys):
         for pdf in batches:
             out = np.full(len(pdf), np.nan)
             x = pdf[predictors].to_numpy(float)
-            for key, at in _groups_of(pdf, keys):
+            for key, at in groups_of(pdf, keys):
                 if (*key, 0) not in curves:
                     continue
                 worst = np.full(len(at), np.inf)
@@ -161,14 +147,14 @@ def mop(cells: DataFrame, training: DataFrame, predictors, percentile: float = D
 def _mop_broadcast(cells, rows, predictors, percentile, keys=()):
     table = rows.toPandas()
     shared = cells.sparkSession.sparkContext.broadcast({
-        key: BoxIndex(table[predictors].to_numpy(float)[at], table["c"].to_numpy()[at]) for key, at in _groups_of(table, keys) if len(at)})
+        key: BoxIndex(table[predictors].to_numpy(float)[at], table["c"].to_numpy()[at]) for key, at in groups_of(table, keys) if len(at)})
 
     def per_task(batches):
         for pdf in batches:
             x = pdf[predictors].to_numpy(float)
             ok = np.isfinite(x).all(axis=1)
             out, computed = np.full(len(pdf), np.nan), np.zeros(len(pdf), np.int64)
-            for key, at in _groups_of(pdf, keys):
+            for key, at in groups_of(pdf, keys):
                 at, index = at[ok[at]], shared.value.get(key)
                 if len(at) and index:
                     distinct, back = np.unique(x[at], axis=0, return_inverse=True)
@@ -192,7 +178,7 @@ def _mop_boxed(cells, rows, predictors, percentile, keys=(), row_box: int = TABL
     records = number(rows)
     row_boxes = boxed(records, predictors, keys, "vid", max(row_box, records.count() // MAX_BOXES))
     point_boxes = boxed(vectors, predictors, keys, "vid", point_box)
-    found = meet(point_boxes, row_boxes, predictors, keys, lambda n: nearest_count(n, percentile), _plain)
+    found = meet(point_boxes, row_boxes, predictors, keys, lambda n: nearest_count(n, percentile), plain_key)
     by_vector = vectors.join(found, "vid").select(*keys, *predictors, F.col("mean").alias("mop"), "distances")
     rest = cells.where(~all_finite(predictors)).select(*keys, "row", "col", F.lit(None).cast("double").alias("mop"), F.lit(0).cast("bigint").alias("distances"))
     return join_on(whole, by_vector, [*keys, *predictors], "left").select(*keys, "row", "col", "mop", F.coalesce("distances", F.lit(0)).alias("distances")).unionByName(rest)

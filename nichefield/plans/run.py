@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.coordinates import is_geographic, meters_per_degree_value, reproject
 from ..grid import DEFAULT_SEED, Grid
-from ..models import ALGORITHMS
+from ..models import ALGORITHMS, algorithms
 from ..models.base import Model
 from ..models.registry import fitted_config
 from ..operators import background as bg
@@ -73,7 +73,7 @@ class Settings:
             (self.block_meters is None or self.block_meters > 0, "block size must be positive"),
             (self.block_shape in splits.SHAPES, "unknown block shape"),
             (self.replicates >= 1, "replicates must be at least 1"),
-            (bool(self.algorithms) and set(self.algorithms) <= set(ALGORITHMS), "unknown algorithms"),
+            (bool(self.algorithms) and set(self.algorithms) <= set(algorithms()), "unknown algorithms"),
             (self.ensemble in ens.METHODS, "unknown ensemble method"),
             (not (self.data_mode == "presence_absence" and "enfa" in self.algorithms),
              "niche factor analysis needs presence-only data"),
