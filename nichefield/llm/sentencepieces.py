@@ -17,6 +17,7 @@ pieces) are encoded as the library does; a literal mark decodes to a blank, so o
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -27,8 +28,10 @@ from pyspark.sql import types as T
 from .common import memory, only, pieces, sha256_of, table, texts
 
 MARK = "▁"
-#: Words whose pieces a worker remembers from batch to batch.
-REMEMBERED = 150_000
+#: Words whose pieces a worker remembers: as many that were met of late, and as many before those.
+REMEMBERED = 120_000
+#: Pairs of pieces and parts of words that a worker remembers what it has found out about.
+PAIRS, NODES = 250_000, 60_000
 
 
 def default_model() -> str:
@@ -53,42 +56,86 @@ class PieceModel:
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece reaches across words")
         self.breaks = not any("\n" in p for p in self.ids)
-        #: What any piece ends with: a longer stretch of a word than these cannot be a piece.
-        self.tails = {p[k:] for p in self.ids for k in range(len(p))}
+        #: What pieces hold: the longest of these that ends a prefix decides which pieces can end it.
+        self.parts = {p[i:k] for p in self.ids for k in range(len(p) + 1) for i in range(k)}
+        self.nodes: dict[str, tuple] = {}
+        self.start = self._node("")
         self.raw = [b"" if special[i] else p.replace(MARK, " ").encode() for i, p in enumerate(self.text)]
         for b, i in enumerate(self.byte):
             self.raw[i] = bytes([b])
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.alone: dict[str, bool] = {}
-        self.known: dict[str, bytes] = {"": b""}
-
-    def merged(self, text: str) -> list[str]:
-        """The pieces that merging gives, best rank first, leftmost of equals."""
-        parts, rank = list(text), self.rank
-        while True:
+        self.alone: dict[str, tuple[bool, float, str, str]] = {}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _built(self, piece: str) -> tuple[bool, float, str, str]:
+        """Whether a piece merges alone to itself, when its last merge comes, and the two parts it joins; by best rank, leftmost of equals."""
+        known = self.alone.get(piece)
+        if known is not None:
+            return known
+        parts, rank, last, when = list(piece), self.rank, (piece, piece), -1.0
+        while len(parts) > 1:
             best, at = None, -1
             for i in range(len(parts) - 1):
                 r = rank.get(parts[i] + parts[i + 1])
                 if r is not None and (best is None or r > best):
                     best, at = r, i
             if at < 0:
-                return parts
+                break
+            last, when = (parts[at], parts[at + 1]), -best
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
-
-    def _alone(self, piece: str) -> bool:
-        ok = self.alone[piece] = self.merged(piece) == [piece]
-        return ok
+        known = self.alone[piece] = len(parts) == 1, when, *last
+        return known
+
+    def _node(self, part: str) -> tuple:
+        """(part, next nodes by character, the pieces that end it and merge alone to themselves, longest first)."""
+        node = self.nodes.get(part)
+        if node is None:
+            fits = (part[k:] for k in range(len(part)) if part[k:] in self.ids)
+            node = self.nodes[part] = part, {}, tuple(p for p in fits if self._built(p)[0])
+        return node
+
+    def _advance(self, node: tuple, c: str) -> tuple:
+        part = node[0] + c
+        while part not in self.parts and part:
+            part = part[1:]
+        after = node[1][c] = self._node(part)
+        return after
 
     def _pair(self, left: str, right: str) -> bool:
-        if len(self.pairs) > 250_000:
+        """Whether both pieces stay apart: at no time before one of them was whole could what then met at the seam merge.
+
+        The later of the two last merges is undone again and again, which shows what met at the seam before it.
+        """
+        if len(self.pairs) > PAIRS:
             self.pairs.clear()
-        ok = self.pairs[left, right] = self.merged(left + right) == [left, right]
+        rank, a, b, limit, ok = self.rank, left, right, float("inf"), False
+        _, when_a, _, tail = self._built(a)
+        _, when_b, head, _ = self._built(b)
+        while True:
+            r = rank.get(a + b)
+            if r is not None and -r < limit:
+                break
+            if when_a > when_b:
+                a, limit = tail, when_a
+                _, when_a, _, tail = self._built(a)
+            elif when_b >= 0:
+                b, limit = head, when_b + 0.5  # of merges of equal rank the left one, at the seam, comes first
+                _, when_b, head, _ = self._built(b)
+            else:
+                ok = True
+                break
+        self.pairs[left, right] = ok
         return ok
 
     def forward(self, words: list[str]):
         """Packed piece ids of each of the sorted, distinct words."""
-        ids, alone, pairs, tails = self.ids, self.alone, self.pairs, self.tails
+        ids, pairs = self.ids, self.pairs
+        if len(self.nodes) > NODES:
+            self.nodes.clear()
+            self.start = self._node("")
         last: list[str | None] = [None]  # by prefix length: the piece that ends it, None for an unknown character
+        path = [self.start]  # by prefix length: the node of the longest part that ends it
         before = ""
         for word in words:
             shared = 0
@@ -96,20 +143,14 @@ class PieceModel:
                 if a != b:
                     break
                 shared += 1
-            del last[shared + 1:]
-            for i in range(shared + 1, len(word) + 1):
-                found, fits = None, []
-                for j in range(i - 1, -1, -1):
-                    piece = word[j:i]
-                    if piece not in tails:
-                        break
-                    if piece in ids:
-                        fits.append((j, piece))
-                for j, piece in reversed(fits):
-                    ok = alone.get(piece)
-                    if not (self._alone(piece) if ok is None else ok):
-                        continue
-                    left = last[j]
+            del last[shared + 1:], path[shared + 1:]
+            node = path[-1]
+            for i in range(shared, len(word)):
+                c = word[i]
+                node = node[1].get(c) or self._advance(node, c)
+                found = None
+                for piece in node[2]:
+                    left = last[i + 1 - len(piece)]
                     if left is not None:
                         ok = pairs.get((left, piece))
                         if not (self._pair(left, piece) if ok is None else ok):
@@ -117,6 +158,7 @@ class PieceModel:
                     found = piece
                     break
                 last.append(found)
+                path.append(node)
             out, i = [], len(word)
             while i:
                 piece = last[i]
@@ -126,7 +168,7 @@ class PieceModel:
                 else:
                     out.append(ids[piece])
                     i -= len(piece)
-            yield word, np.array(out[::-1], np.int32).tobytes()
+            yield word, array("i", out[::-1]).tobytes()
             before = word
 
     def units(self, text: str) -> list[str]:
@@ -142,13 +184,17 @@ class PieceModel:
         only("pieces")
         split = [self.units(t) for t in many]
         distinct = set().union(*split)
-        known = self.known
-        if len(known) + len(distinct) > REMEMBERED:
-            kept = {w: known[w] for w in distinct if w in known}
-            known.clear()
-            known.update(kept)
-            known[""] = b""
-        known.update(self.forward(sorted(w for w in distinct if w not in known)))
+        if len(self.known) > REMEMBERED:  # words not met since the last change are given up
+            self.older, self.known = self.known, {}
+        known, older, new = self.known, self.older, []
+        for word in distinct.difference(known):
+            ids = older.get(word)
+            if ids is None:
+                new.append(word)
+            else:
+                known[word] = ids
+        new.sort()
+        known.update(self.forward(new))
         get = known.__getitem__
         return [b"".join(map(get, s)) for s in split]
 

@@ -303,3 +303,28 @@ def test_warc_false_magic(tmp_path):
     for step in (1, 7, 50, size):
         got = [r["warc-identified-page"] for s in range(0, size, step) for r in warc.records(str(path), s, s + step, read_bytes=16)]
         assert got == ["1", "2", "3"]
+
+
+def test_sentencepieces_query(spark):
+    """The registered query gives the library's ids for whole documents."""
+    import sentencepiece
+    sp = sentencepiece.SentencePieceProcessor(model_file=sentencepieces.default_model())
+    sf = "/root/testdata/sf0.001"
+    got = {r["doc_id"]: tuple(r[1:]) for r in sentencepieces.op5_sentencepieces(spark, sf).collect()}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        ids = sp.encode(r["text"] or "")
+        assert got[r["doc_id"]][:2] == (len(ids), hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest())
+
+
+@pytest.mark.parametrize("remembered", [2, 100_000])
+def test_sentencepieces_memory(monkeypatch, remembered):
+    """Words given up and met again, and cleared pairs and nodes, change nothing."""
+    import sentencepiece
+    monkeypatch.setattr(sentencepieces, "REMEMBERED", remembered)
+    monkeypatch.setattr(sentencepieces, "PAIRS", remembered * 10)
+    monkeypatch.setattr(sentencepieces, "NODES", remembered * 10)
+    sp = sentencepiece.SentencePieceProcessor(model_file=sentencepieces.default_model())
+    m, rng = sentencepieces.PieceModel(sentencepieces.default_model()), random.Random(12)
+    for _ in range(30):
+        many = [" ".join("".join(rng.choice("aeinrstlouéß▁日1.") for _ in range(rng.randrange(1, 14))) for _ in range(12)) for _ in range(8)]
+        assert [np.frombuffer(p, np.int32).tolist() for p in m.encode(many)] == [sp.encode(t) for t in many]
