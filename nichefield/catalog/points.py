@@ -119,35 +119,35 @@ oracle("layer_stats_strided", _stats_sql(2))
 def surface_encoded(d):
     """Written and read back as stored."""
     path = fresh_path(d.spark, "surface")
-    full = d.preds.where("algorithm = 'lr' and replicate = 0").select("row", "col", "value")
-    grid = d.grid
+    grid, keys = d.grid, ["algorithm", "replicate"]
     from ..operators.regrid import target_cells
-    whole = target_cells(d.spark, grid).join(full.select(F.col("row").cast("int"), F.col("col").cast("int"), "value"),
-                                             ["row", "col"], "left")
-    write_surface(whole, path, grid)
-    return tidy(d.spark.read.parquet(path))
+    each = lambda values: F.explode(F.array(*[F.lit(v) for v in values]))
+    asked = target_cells(d.spark, grid).withColumn("algorithm", each(("lr", "rf", "enfa"))).withColumn("replicate", each((0, 1, 2)))
+    whole = asked.join(d.preds.select(*keys, F.col("row").cast("int"), F.col("col").cast("int"), "value"), [*keys, "row", "col"], "left")
+    write_surface(whole, path, grid, keys=keys)
+    return tidy(d.spark.read.parquet(path).select(*keys, "row", "col", "value"))
 
 
 oracle("surface_encoded", f"""
-select cast(i // g as int) as row, cast(i % g as int) as col, {r('cast(cast(coalesce(value, -9999) as float) as double)', 'value')}
-from (select unnest(range(0, (select g * g from fx_size))) as i, (select g from fx_size) as g) c
-left join (select row, col, value from fx_preds where algorithm = 'lr' and replicate = 0) p
-  on p.row = i // g and p.col = i % g""")
+select algorithm, replicate, cast(i // g as int) as row, cast(i % g as int) as col, {r('cast(cast(coalesce(value, -9999) as float) as double)', 'value')}
+from (select *, unnest(range(0, g * g)) as i from (select *, unnest([0, 1, 2]) as replicate
+  from (select g, unnest(['lr', 'rf', 'enfa']) as algorithm from fx_size) a) b) c
+left join (select row as r, col as k, value, algorithm as a, replicate as rep from fx_preds) p
+  on a = algorithm and rep = replicate and r = i // g and k = i % g""")
 
 
 @query
 def surface_roundtrip(d):
     """Stored with markers, read back with NULLs."""
     path = fresh_path(d.spark, "surface")
-    surface = d.preds.where("algorithm = 'rf'")
-    ce.surface_encoded(surface, dtype="float64").write.parquet(path)
-    return tidy(read_surface(d.spark, path).groupBy("replicate").agg(
+    ce.surface_encoded(d.preds, dtype="float64").write.parquet(path)
+    return tidy(read_surface(d.spark, path).groupBy("algorithm", "replicate").agg(
         F.count("value").alias("n_valid"), F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean")))
 
 
 oracle("surface_roundtrip", f"""
-select replicate, count(value) as n_valid, count(*) as n, {r('avg(value)', 'mean')}
-from fx_preds where algorithm = 'rf' group by replicate""")
+select algorithm, replicate, count(value) as n_valid, count(*) as n, {r('avg(value)', 'mean')}
+from fx_preds group by algorithm, replicate""")
 
 
 # --- column expressions --------------------------------------------------------------------
