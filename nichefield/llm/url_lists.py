@@ -7,7 +7,7 @@ a URL can match, with the fetch time inside the interval. The longest active pat
 ``allow`` where both are equal.
 
 Defined cases: of several events of a pattern at one time a removal wins; a null or odd url and a null fetch time match
-nothing (verdict ``none``); null patterns, kinds, lists or times are no entries; repeated captures are judged each.
+nothing (verdict ``none``); very long urls are read whole; an empty table gives an empty one; null patterns, kinds, lists or times are no entries; repeated captures are judged each.
 """
 
 from __future__ import annotations
@@ -22,20 +22,29 @@ from .common import checkpointed, table
 BROADCAST_INTERVALS = 200_000
 
 
+#: What surrounds a url; its host, in brackets or not, behind the last @ of the authority; its path; dots behind a host.
+BLANKS = r"^[\x00-\x20]+|[\x00-\x20]+$"
+HOST = r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#]*@)?(\[[^/?#\]]*\]|[^/?#:@\x00-\x20]+)"
+PATH = r"^(?:[a-z][a-z0-9+.-]*:)?//[^/?#]+(/[^?#]*)"
+DOTS = r"\.+$"
+
+
 def intervals(entries: DataFrame) -> DataFrame:
     """(list, kind, pattern, since, until): when each entry was active; ``until`` is null for entries still active."""
     known = entries.where("list in ('block', 'allow') and kind in ('domain', 'host', 'prefix') and pattern is not null and at is not null and action in ('add', 'remove')")
-    events = known.groupBy("list", "kind", F.lower("pattern").alias("pattern"), "at").agg(F.max(F.col("action") == "remove").alias("removed"))
+    events = known.groupBy("list", "kind", F.regexp_replace(F.lower("pattern"), DOTS, "").alias("pattern"), "at").agg(F.max(F.col("action") == "remove").alias("removed"))
     later = W.partitionBy("list", "kind", "pattern").orderBy("at")
     return events.withColumn("until", F.lead("at").over(later)).where("not removed").select("list", "kind", "pattern", F.col("at").alias("since"), "until")
 
 
 def url_parts(url):
-    """Host and path segments, lower-cased; an empty host where the url has none."""
-    low = F.lower(F.coalesce(url, F.lit("")))
-    host = F.regexp_extract(low, r"^[a-z][a-z0-9+.-]*://([^/?#:]+)", 1)
-    path = F.regexp_extract(low, r"^[a-z][a-z0-9+.-]*://[^/?#]+(/[^?#]*)", 1)
-    return host, F.filter(F.split(path, "/"), lambda s: s != "")
+    """Host and path segments, lower-cased; an empty host where the url has none.
+
+    Blanks around the url, a name and password before the host, a port and dots behind it do not count; the scheme may be missing.
+    """
+    low = F.regexp_replace(F.lower(F.coalesce(url, F.lit(""))), BLANKS, "")
+    host = F.regexp_replace(F.regexp_extract(low, HOST, 1), DOTS, "")
+    return host, F.filter(F.split(F.regexp_extract(low, PATH, 1), "/"), lambda s: s != "")
 
 
 def judge(captures: DataFrame, entries: DataFrame, ident: str = "page_id", url: str = "url", fetched: str = "fetched",
@@ -71,7 +80,7 @@ def listed(pages: DataFrame) -> DataFrame:
     base = pages.select(host.alias("host"), segments.alias("s")).where("host <> ''")
     names = base.select(F.lit("host").alias("kind"), F.col("host").alias("pattern")).unionByName(
         base.select(F.lit("domain").alias("kind"), F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1).alias("pattern")).where("pattern <> ''")).unionByName(
-        base.where("size(s) > 0").select(F.lit("prefix").alias("kind"), F.concat_ws("/", "host", F.col("s")[0]).alias("pattern")))
+        base.where("size(s) > 0").select(F.lit("prefix").alias("kind"), F.concat_ws("/", "host", F.get("s", F.lit(0))).alias("pattern")))
     h = F.conv(F.substring(F.md5(F.concat_ws("|", "kind", "pattern")), 1, 6), 16, 10).cast("bigint")
     chosen = names.distinct().withColumn("h", h).where("h % 3 < 2")
     at = F.col("h") % 365
@@ -87,10 +96,11 @@ def op7_url_lists(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op7_url_lists": op7_url_lists}
-ORACLES = {"op7_url_lists": r"""
-    with p as materialized (
-        select page_id, page_id * 37 % 500 as fetched, regexp_extract(lower(coalesce(url, '')), '^[a-z][a-z0-9+.-]*://([^/?#:]+)', 1) as host,
-               list_filter(string_split(regexp_extract(lower(coalesce(url, '')), '^[a-z][a-z0-9+.-]*://[^/?#]+(/[^?#]*)', 1), '/'), lambda x: x <> '') as s from pages),
+ORACLES = {"op7_url_lists": rf"""
+    with u as (select page_id, regexp_replace(lower(coalesce(url, '')), '{BLANKS}', '', 'g') as url from pages),
+    p as materialized (
+        select page_id, page_id * 37 % 500 as fetched, regexp_replace(regexp_extract(url, '{HOST}', 1), '{DOTS}', '') as host,
+               list_filter(string_split(regexp_extract(url, '{PATH}', 1), '/'), lambda x: x <> '') as s from u),
     names as (select 'host' as kind, host as pattern from p where host <> ''
               union select 'domain', regexp_extract(host, '([^.]+\.[^.]+)$', 1) from p where regexp_extract(host, '([^.]+\.[^.]+)$', 1) <> ''
               union select 'prefix', host || '/' || s[1] from p where host <> '' and len(s) > 0),

@@ -261,6 +261,11 @@ def test_url_lists(spark):
     for limit in (0, 1000):
         got = sorted((r["page_id"], r["n_active"], r["verdict"]) for r in url_lists.judge(captures.withColumn("list", captures.url), entries, broadcast_intervals=limit).collect())
         assert got == [(1, 1, "block"), (1, 1, "block"), (2, 0, "none"), (3, 0, "none"), (4, 2, "allow"), (5, 2, "block"), (6, 0, "none"), (7, 0, "none"), (8, 0, "none"), (9, 0, "none")]
+    odd = ["http://user:pw@www.bad.org/x", "http://a@b@Bad.org:8080", "http://bad.org./x", " \thttp://bad.org\n", "//bad.org/x", "http://good.org/@bad.org", "http://good.org?u=//bad.org",
+           "http://[::1]:80/x", "mailto:a@bad.org", "http://", "http://x.com/a/b/" + "c/" * 20_000, "http://bad.org@good.org/"]
+    got = {r["page_id"]: (r["host"], r["verdict"]) for r in url_lists.judge(spark.createDataFrame([(i, u, 12) for i, u in enumerate(odd)], "page_id long, url string, fetched int"), entries).collect()}
+    assert [got[i] for i in range(len(odd))] == [("www.bad.org", "block"), *[("bad.org", "block")] * 4, *[("good.org", "none")] * 2, ("[::1]", "none"), ("", "none"), ("", "none"),
+                                                 ("x.com", "block"), ("good.org", "none")]
     assert url_lists.judge(captures, entries.limit(0)).where("verdict <> 'none'").count() == 0
     assert url_lists.judge(captures.limit(0), entries).count() == 0
 
@@ -328,3 +333,15 @@ def test_sentencepieces_memory(monkeypatch, remembered):
     for _ in range(30):
         many = [" ".join("".join(rng.choice("aeinrstlouéß▁日1.") for _ in range(rng.randrange(1, 14))) for _ in range(12)) for _ in range(8)]
         assert [np.frombuffer(p, np.int32).tolist() for p in m.encode(many)] == [sp.encode(t) for t in many]
+
+
+def test_url_query_equals_twin_on_odd_urls(spark, tmp_path):
+    import duckdb
+    urls = ["http://user:pw@www.bad.org/x/y", "http://a@b@Bad.org:8080", "http://bad.org./x", " \thttp://bad.org\n", "//bad.org/x", None, "", "nonsense", "http://good.org/@bad.org",
+            "http://[::1]:80/x", "mailto:a@bad.org", "http://", "HTTP://É.example/ä?q#f", "http://bad.org@good.org/", "http://x.y.z.../p"]
+    rows = [(i, urls[i % len(urls)], None) for i in range(120)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in url_lists.op7_url_lists(spark, str(tmp_path)).select("page_id", "host", "fetched", "n_active", "verdict", "decided_by").collect())
+    assert got == sorted(con.sql(url_lists.ORACLES["op7_url_lists"]).fetchall()) and {r[4] for r in got} == {"none", "block", "allow"}
