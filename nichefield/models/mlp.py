@@ -8,13 +8,14 @@ an optimum in about a hundred rounds; only the sums come to the driver, whose si
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
-from .base import Model, by_formula, logistic, standard_columns, summary_of, training_rows, weighted_sum
+from .base import Model, by_formula, logistic, standard_columns, training_rows, weighted_sum
+from .rounds import packed, share_of, summed
 
 DEFAULTS = {"hidden": 8, "alpha": 0.01, "max_iter": 500}
 SETTLED = 1e-7  # largest component of the gradient, per row, at which the weights count as settled
+START_ROWS = 100_000  # rows, about, on which the first rounds are taken when there are more
 STALLED, GAIN = 20, 1e-6  # rounds that together must lower the loss by this share; at a bend of a unit the gradient need not vanish
 
 
@@ -49,51 +50,73 @@ def passes(z: np.ndarray, y: np.ndarray, theta: np.ndarray, hidden: int):
     return float((np.logaddexp(0.0, eta) - y * eta).sum()), slope.T @ (mu - y), slope.T @ (slope * (mu * (1 - mu))[:, None])
 
 
-def _sums(rows, predictors, mean, sd, theta, hidden):
-    """Loss, gradient and curvature over all rows: summed per task, then entry by entry over tasks."""
+def _sums(packs, inputs, mean, sd, theta, hidden):
+    """Loss, gradient and curvature over all packed rows."""
     size = len(theta)
 
-    def per_task(batches):
-        total = np.zeros(1 + size + size * size)
-        for pdf in batches:
-            z = (pdf[predictors].to_numpy(float) - mean) / sd
-            loss, gradient, curvature = passes(z, pdf["label"].to_numpy(float), theta, hidden)
-            total += np.concatenate([[loss], gradient, curvature.ravel()])
-        yield pd.DataFrame({"i": np.arange(len(total)), "v": total})
-
-    flat = np.zeros(1 + size + size * size)
-    for r in rows.mapInPandas(per_task, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
-        flat[r.i] = r.v
+    def sums(x):
+        loss, gradient, curvature = passes((x[:, :inputs] - mean) / sd, x[:, inputs], theta, hidden)
+        return np.concatenate([[loss], gradient, curvature.ravel()])
+
+    flat = summed(packs, inputs + 1, 1 + size + size * size, sums)
     return flat[0], flat[1:1 + size], flat[1 + size:].reshape(size, size)
 
 
+def _settle(at, theta, n, rounds):
+    """(weights, rounds taken): damped Newton steps until the gradient has settled or the loss no longer falls."""
+    value, gradient, curvature = at(theta)
+    damping, seen = 1e-3 * n, [value]
+    while len(seen) < rounds:
+        if np.abs(gradient).max() <= SETTLED * n or (len(seen) > STALLED and seen[-STALLED - 1] - value < GAIN * value):
+            break
+        tried = theta - np.linalg.solve(curvature + damping * np.eye(len(theta)), gradient)
+        other = at(tried)
+        if other[0] < value:
+            theta, (value, gradient, curvature), damping = tried, other, max(damping / 4, 1e-9 * n)
+        else:
+            damping *= 5
+        seen.append(value)
+    return theta, len(seen)
+
+
 def fit(df, predictors, label, seed, hidden, alpha, max_iter) -> Model:
-    rows = training_rows(df, predictors, label).persist()
+    rows, inputs = training_rows(df, predictors, label), len(predictors)
+    packs = packed(rows, [*predictors, "label"]).persist()
     try:
-        s = summary_of(rows, predictors)
-        mean, sd, n = np.array(s["mean"]), np.array(s["sd"]), s["n"]
-        decay = alpha * decayed(len(predictors), hidden)
-
-        def at(theta):
-            loss, gradient, curvature = _sums(rows, predictors, mean, sd, theta, hidden)
-            return loss + 0.5 * float(decay @ theta ** 2), gradient + decay * theta, curvature + np.diag(decay)
-
-        theta = _start(len(predictors), hidden, seed, s["n1"] / n)
-        value, gradient, curvature = at(theta)
-        damping, seen = 1e-3 * n, [value]
-        for _ in range(max_iter - 1):
-            if np.abs(gradient).max() <= SETTLED * n or (len(seen) > STALLED and seen[-STALLED - 1] - value < GAIN * value):
-                break
-            tried = theta - np.linalg.solve(curvature + damping * np.eye(len(theta)), gradient)
-            other = at(tried)
-            if other[0] < value:
-                theta, (value, gradient, curvature), damping = tried, other, max(damping / 4, 1e-9 * n)
-            else:
-                damping *= 5
-            seen.append(value)
+        mean, sd, n, n1 = _moments(packs, inputs)
+        decay = alpha * decayed(inputs, hidden)
+
+        def over(some):
+            def at(theta):
+                loss, gradient, curvature = _sums(some, inputs, mean, sd, theta, hidden)
+                return loss + 0.5 * float(decay @ theta ** 2), gradient + decay * theta, curvature + np.diag(decay)
+            return at
+
+        theta = _start(inputs, hidden, seed, n1 / n)
+        if n > START_ROWS:  # the way from random weights is walked on a share of the rows; all rows then decide where it ends
+            share = max(2, n // START_ROWS)
+            part = share_of(packs, inputs + 1, share).persist()
+            try:
+                held = int(summed(part, inputs + 1, 1, lambda x: np.array([float(len(x))]))[0])  # few distinct rows may leave none
+                if held:
+                    theta, _ = _settle(over(part), theta, held, max_iter)
+            finally:
+                part.unpersist()
+        theta, _ = _settle(over(packs), theta, n, max_iter)
     finally:
-        rows.unpersist()
-    return Model("mlp", predictors, {"hidden": hidden, "alpha": alpha, "max_iter": max_iter}, {"mean": s["mean"], "sd": s["sd"], "theta": theta.tolist()})
+        packs.unpersist()
+    return Model("mlp", predictors, {"hidden": hidden, "alpha": alpha, "max_iter": max_iter}, {"mean": mean.tolist(), "sd": sd.tolist(), "theta": theta.tolist()})
+
+
+def _moments(packs, inputs: int):
+    """Means, population spreads (1 for a constant), rows and presences, in two passes."""
+    first = summed(packs, inputs + 1, inputs + 2, lambda x: np.concatenate([x[:, :inputs].sum(axis=0), [len(x), (x[:, inputs] == 1).sum()]]))
+    n, n1 = int(first[-2]), int(first[-1])
+    if not n or n1 in (0, n):
+        raise ValueError("fitting needs complete records of both classes")
+    mean = first[:inputs] / n
+    sd = np.sqrt(summed(packs, inputs + 1, inputs, lambda x: ((x[:, :inputs] - mean) ** 2).sum(axis=0)) / n)
+    return mean, np.where(sd < 1e-12, 1.0, sd), n, n1
 
 
 def hidden_units(model: Model):

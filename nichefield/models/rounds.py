@@ -20,6 +20,23 @@ def packed(rows: DataFrame, columns) -> DataFrame:
     return rows.select(*columns).mapInPandas(pack, "pack binary")
 
 
+def share_of(packs: DataFrame, width: int, share: int) -> DataFrame:
+    """One in ``share`` rows, told by their values alone, so that it does not depend on how rows were packed."""
+    odd = np.random.default_rng(width).integers(1, 2**62, width, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def keep(batches):
+        for pdf in batches:
+            for pack in pdf["pack"]:
+                x = np.frombuffer(pack).reshape(-1, width)
+                mixed = ((x + 0.0).view(np.uint64) * odd).sum(axis=1, dtype=np.uint64)
+                mixed = (mixed ^ (mixed >> np.uint64(31))) * odd[0]
+                some = x[(mixed >> np.uint64(33)) % np.uint64(share) == 0]
+                if len(some):
+                    yield pd.DataFrame({"pack": [some.tobytes()]})
+
+    return packs.mapInPandas(keep, "pack binary")
+
+
 def summed(packs: DataFrame, width: int, size: int, sums) -> np.ndarray:
     """Total of ``sums(rows)``, ``size`` numbers, over all packs of ``width`` columns: per task, then entry by entry over tasks."""
     def per_task(batches):

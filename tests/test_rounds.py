@@ -43,3 +43,35 @@ def test_maxent_takes_few_rounds(toy, monkeypatch):
     monkeypatch.setattr(mx, "summed", lambda *a: passes.append(1) or summed(*a))
     fit("maxent", toy, ["a", "b", "c"])
     assert len(passes) <= 40
+
+
+def test_perceptron_starts_on_a_share_and_ends_on_all_rows(toy, monkeypatch):
+    from nichefield.models import mlp
+
+    whole, seen, summed = fit("mlp", toy, ["a", "b", "c"]), [], mlp.summed
+
+    def counted(packs, width, size, sums):
+        if size > 100:
+            seen.append(packs)
+        return summed(packs, width, size, sums)
+
+    monkeypatch.setattr(mlp, "START_ROWS", 500)
+    monkeypatch.setattr(mlp, "summed", counted)
+    m = fit("mlp", toy, ["a", "b", "c"])
+    assert len({id(p) for p in seen}) == 2 and m.state["mean"] == pytest.approx(whole.state["mean"])
+    pdf = toy.toPandas()
+    z, y, n = (pdf[["a", "b", "c"]].to_numpy() - m.state["mean"]) / m.state["sd"], pdf["label"].to_numpy(float), len(pdf)
+    theta = np.array(m.state["theta"])
+    gradient = mlp.passes(z, y, theta, 8)[1] + 0.01 * mlp.decayed(3, 8) * theta
+    assert np.abs(gradient).max() / n < 5e-3
+
+
+def test_share_is_told_by_values(spark, toy):
+    from nichefield.models.rounds import packed, share_of
+
+    def kept(df):
+        rows = share_of(packed(df, ["a", "b", "label"]), 3, 4).collect()
+        return sorted(map(tuple, np.concatenate([np.frombuffer(r["pack"]).reshape(-1, 3) for r in rows]).tolist()))
+
+    one, other = kept(toy), kept(toy.repartition(2))
+    assert one == other and 300 < len(one) < 700
