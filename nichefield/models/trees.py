@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.classification import (GBTClassificationModel, GBTClassifier,
                                        RandomForestClassificationModel, RandomForestClassifier)
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from ..functions.scalars import all_finite
+from ..operators.common import shuffle_width
 from .base import Model, summary_of, training_rows
 
 RF_DEFAULTS = {"n_estimators": 500, "max_features": "sqrt", "min_samples_leaf": 1, "max_depth": 30}
 GBM_DEFAULTS = {"n_estimators": 1000, "learning_rate": 0.01, "max_depth": 3, "subsample": 0.75}
 XGB_DEFAULTS = {"n_estimators": 500, "learning_rate": 0.1, "max_depth": 5, "subsample": 0.8,
                 "colsample_bytree": 0.8}
+ROWS_PER_PART = 1_000_000  # records that one task trains on
 LOADERS = {"rf": RandomForestClassificationModel, "gbm": GBTClassificationModel, "xgb": GBTClassificationModel}
 
 
@@ -23,8 +27,11 @@ def _vector(predictors):
 
 
 def _rows(df, predictors, label):
+    """Records as vectors, in parts of a bounded size: training keeps them in memory and reads a whole part in each task."""
     rows = training_rows(df, predictors, label)
-    summary_of(rows, predictors)
+    n = summary_of(rows, predictors)["n"]
+    if n > ROWS_PER_PART:
+        rows = rows.repartition(max(shuffle_width(rows.sparkSession), math.ceil(n / ROWS_PER_PART)))
     return rows.select("label", _vector(predictors).alias("features"))
 
 

@@ -75,3 +75,12 @@ def test_share_is_told_by_values(spark, toy):
 
     one, other = kept(toy), kept(toy.repartition(2))
     assert one == other and 300 < len(one) < 700
+
+
+def test_trees_train_on_parts_of_a_bounded_size(toy, monkeypatch):
+    from nichefield.models import trees
+
+    monkeypatch.setattr(trees, "ROWS_PER_PART", 100, raising=False)
+    rows = trees._rows(toy.coalesce(1), ["a", "b", "c"], "label")
+    sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 2000 and max(sizes) <= 200
