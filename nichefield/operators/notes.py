@@ -28,14 +28,16 @@ REMOVED_SOME, REMOVED_MUCH = 0.10, 0.30
 
 
 def headline(summary: DataFrame, keys=()) -> DataFrame:
-    """Per run the row to report: the ensemble if there is one, else the best mean TSS."""
+    """Per run the row to report: the ensemble if there is one, else the best mean TSS, of equal ones the first by name.
+
+    Means count as equal to 12 digits, so that the order in which a sum was taken picks no algorithm."""
     keys = key_list(keys)
     single = F.col("algorithm") != "Ensemble"
-    rank = F.struct((~single).alias("e"), F.coalesce("tss_mean", F.lit(float("-inf"))).alias("t"))
+    rank = F.struct(single.alias("s"), (-F.round(F.coalesce("tss_mean", F.lit(float("-inf"))), 12)).alias("t"), "algorithm")
     names = ["algorithm", "auc_mean", "tss_mean", "boyce_mean", "auc_sd", "tss_sd", "boyce_sd"]
     alone = F.when(single, F.col("tss_mean"))
     return (summary.groupBy(*keys)
-            .agg(F.max_by(F.struct(*names), rank).alias("h"), F.min(alone).alias("tss_low"),
+            .agg(F.min_by(F.struct(*names), rank).alias("h"), F.min(alone).alias("tss_low"),
                  F.max(alone).alias("tss_high"), F.count(alone).alias("n_tss"))
             .select(*keys, "h.*", "tss_low", "tss_high", "n_tss"))
 
