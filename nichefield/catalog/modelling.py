@@ -450,12 +450,12 @@ select pid, label, {r('far / (near + far)', 'score')} from e""")
 @query
 def model_roundtrip(d):
     """Saved and reloaded models score like the originals (largest difference)."""
-    out = None
+    out, rows = None, checkpointed(d.matrix.select("label", *FEATURES))  # derived once for all fits and scores
     for name in ("lr", "enfa", "rf"):
-        m = fit(name, d.matrix, FEATURES, **{**QUICK, "rf": {"n_estimators": 5, "max_depth": 4}}.get(name, {}))
+        m = fit(name, rows, FEATURES, **{**QUICK, "rf": {"n_estimators": 5, "max_depth": 4}}.get(name, {}))
         path = fresh_path(d.spark, name)
         save_model(m, d.spark, path)
-        both = load_model(d.spark, path).score(m.score(d.matrix, "before"), "after")
+        both = load_model(d.spark, path).score(m.score(rows, "before"), "after")
         one = both.groupBy("label").agg(F.lit(name).alias("algorithm"), F.count("after").alias("n"),
                                         F.max(F.abs(F.col("before") - F.col("after"))).alias("difference"))
         out = one if out is None else out.unionByName(one)
