@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions.scalars import complete_rows
 from ..models import fit, fit_by, mlp, register
 from ..models.base import Model, in_batches, summary_of, training_rows
-from ..models.gam import RIDGE
-from ..models.grouped import spline_at
+from ..models.gam import ORDER, RIDGE, _weights
 from ..models.maxent import feature_classes_column
 from ..models.registry import load_model, save_model
 from ..operators import ensemble as ens
@@ -17,7 +17,7 @@ from ..operators import evaluate as ev
 from ..operators import explain as ex
 from ..operators import select as se
 from ..operators import splits as sp
-from ..operators.common import checkpointed, join_on
+from ..operators.common import checkpointed, groups_of, join_on
 from ..plans.crossval import cross_validate
 from .points import LABELLED, PREDICTORS, fresh_path, labelled
 from .tables import Data, r, tidy, uniform, with_tables
@@ -358,16 +358,28 @@ from (select {SPECIES} as species, count(*) as n from fx_matrix group by 1) t"""
 @query
 def fit_gam_by_species(d):
     """The penalised score equations of every species' splines, one for each piece: zero at the optimum."""
-    df = _by_species(d)
+    df = checkpointed(_by_species(d).select("species", "label", *FEATURES))  # derived once for the fit and its check
     m = fit_by("gam", df, FEATURES, ["species"])
     n, penalty = m.params["n_splines"], m.params["penalty"]
-    rows = join_on(m.score(complete_rows(df, FEATURES)), m.state.select("species", *[F.col(c).alias(f"_{c}") for c in ("lows", "steps", "beta")]), m.keys, small=True)
-    gap = F.col("score") - F.col("label")
-    pieces = []
-    for i, p in enumerate(FEATURES):
-        _, j, weights = spline_at(p, i, n)
-        pieces += [F.struct(F.lit(p).alias("predictor"), (j + k).alias("piece"), (gap * w).alias("g")) for k, w in enumerate(weights)]
-    sums = rows.select("species", F.explode(F.array(*pieces)).alias("e")).groupBy("species", "e.predictor", "e.piece").agg(F.sum("e.g").alias("g"))
+    spans = {r["species"]: (r["lows"], r["steps"]) for r in m.state.select("species", "lows", "steps").collect()}  # 7 species
+    rows = m.score(complete_rows(df, FEATURES)).select("species", *FEATURES, (F.col("score") - F.col("label")).alias("gap"))
+
+    def weigh(batches):
+        """Sums of a task: gap times weight of every piece, per species. Written out as columns they outgrow a compiled method."""
+        totals = {}
+        for pdf in batches:
+            x, gap = pdf[FEATURES].to_numpy(float), pdf["gap"].to_numpy(float)
+            for (species,), at in groups_of(pdf, ["species"]):
+                for i, (low, step) in enumerate(zip(*spans[species])):
+                    t = (x[at, i] - low) / step
+                    j = np.clip(np.floor(t), 0, n - ORDER - 1).astype(int)
+                    add = totals.setdefault((species, FEATURES[i]), np.zeros(n))
+                    for k, w in enumerate(_weights(t - j)):
+                        add += np.bincount(j + k, gap[at] * w, n)
+        yield pd.DataFrame([(*key, k, v) for key, sums in totals.items() for k, v in enumerate(sums)], columns=["species", "predictor", "piece", "g"])
+
+    sums = rows.mapInPandas(weigh, "species bigint, predictor string, piece int, g double").groupBy("species", "predictor", "piece").agg(F.sum("g").alias("g"))
+
     def pull(i):
         """What the penalty adds to the gradient of the ``i``-th predictor's pieces."""
         c = F.slice("beta", 2 + i * n, n)

@@ -3,7 +3,8 @@
 Rows are dealt once to tasks by key, a key with very many rows to as many parts as its size asks for, and stay there. Each
 round of ``lr`` and ``gam`` is one pass: every task sums, for the keys that have not settled, the penalised likelihood with
 its gradient and curvature at their coefficients; the sums of a key meet in one task, which takes the Newton steps of all its
-keys at once and halves a step that did not help. ``enfa`` needs two aggregations by key and no round.
+keys at once and halves a step that did not help. Keys with very many rows take their first rounds on a share of them, then
+rounds over all rows until the same stop. ``enfa`` needs two aggregations by key and no round.
 
 Only coefficients pass through the driver, those of ``KEYS_AT_ONCE`` keys at most; more keys are done in slices. Scoring
 joins the coefficients to the rows and is column arithmetic.
@@ -27,6 +28,8 @@ from .base import logistic
 
 KEYS_AT_ONCE = 200_000  # keys whose coefficients travel to all tasks
 ROWS_PER_PART = 200_000  # rows of a key that one task works on
+START_ROWS = 50_000  # rows on which a key with more than four times as many takes its first rounds
+START_PRESENCES = 1_000  # presences, and others, that such a share must be expected to hold
 SETTLED = 1e-9  # relative step below which a key's coefficients have settled
 HALVINGS = 30
 
@@ -46,6 +49,7 @@ class GroupedModel:
         """Add the suitability in [0, 1] by each row's own key; NULL for a missing predictor or a key without a model."""
         held = self.state.withColumnsRenamed({c: f"_{c}" for c in self.state.columns if c not in self.keys})
         both = join_on(df, held, self.keys, "left", small=at_most(held, KEYS_AT_ONCE))
+        both = _positions(self, both) if self.name == "gam" else both
         value = _FORMULAS[self.name](self)
         inside = F.least(F.lit(1.0), F.greatest(F.lit(0.0), value))
         known = all_finite(self.predictors) & F.col("_mean" if self.name != "gam" else "_lows").isNotNull()
@@ -76,6 +80,9 @@ class _Logistic:
         z = (x - np.asarray(about["mean"])) / np.asarray(about["sd"])
         return np.hstack([np.ones((len(x), 1)), z, z * z])
 
+    def curves(self, beta) -> list[tuple]:
+        return []
+
 
 class _Additive:
     def __init__(self, predictors, params):
@@ -90,8 +97,26 @@ class _Additive:
             self.penalty[at, at] += params["penalty"] * bend.T @ bend
 
     def matrix(self, x, about):
-        steps = [(h - l) / self.intervals if h > l else 1.0 for l, h in zip(about["lows"], about["highs"])]
-        return np.hstack([np.ones((len(x), 1)), *[gam._design(x[:, i], l, s, self.intervals) for i, (l, s) in enumerate(zip(about["lows"], steps))]])
+        out, n, at = np.zeros((len(x), self.size)), self.intervals + gam.ORDER, np.arange(len(x)) * self.size
+        out[:, 0] = 1.0
+        flat = out.reshape(-1)
+        for i, (l, h) in enumerate(zip(about["lows"], about["highs"])):
+            t = (x[:, i] - l) / ((h - l) / self.intervals if h > l else 1.0)
+            j = np.clip(np.floor(t), 0, self.intervals - 1).astype(int)
+            first = at + j + (1 + i * n)
+            for k, w in enumerate(gam._weights(t - j)):
+                flat[first + k] = w
+        return out
+
+    def curves(self, beta) -> list[tuple]:
+        """Polynomial coefficients (constant first) of every predictor's curve: before its range, on every interval, beyond."""
+        out = []
+        for i in range(len(self.predictors)):
+            n = self.intervals + gam.ORDER
+            b = beta[1 + i * n:1 + (i + 1) * n]
+            pieces, left, right = gam._pieces(b), (b[2] - b[0]) / 2, (b[-1] - b[-3]) / 2  # a step is the unit
+            out += [(pieces[0, 0] - left, left, 0.0, 0.0), *pieces, (pieces[-1].sum(), right, 0.0, 0.0)]
+        return [tuple(map(float, c)) for c in out]
 
 
 def _sums(design, state, keys, predictors):
@@ -162,18 +187,12 @@ def _newton(df: DataFrame, predictors, keys, label, design, max_iter: int):
     placed = checkpointed(dealt.drop("_parts").repartition(width, *keys, "_part").sortWithinPartitions(*keys).drop("_part"))
     types = dict(rows.dtypes)
     key_schema = ", ".join(f"`{k}` {types[k]}" for k in keys)
-    done = None
-    for part in range(slices):
-        chosen = usable if slices == 1 else usable.where(F.pmod(F.xxhash64(*keys), F.lit(slices)) == part)
-        held = {}
-        for r in chosen.toLocalIterator():
-            share = r["n1"] / r["n"]
-            held[tuple(r[k] for k in keys)] = {"mean": r["mean"], "sd": r["sd"], "lows": r["lows"], "highs": r["highs"], "best": None, "at": None, "halved": 0,
-                                               "beta": [float(np.log(share / (1 - share))), *[0.0] * (design.size - 1)]}
+    def rounds(table, held):
+        """Newton rounds over ``table`` for the keys of ``held``, whose coefficients they change; returns the keys that settled."""
         open_ = dict(held)
         for _ in range(max_iter):
             state = spark.sparkContext.broadcast(open_)
-            partial = placed.mapInPandas(_sums(design, state, keys, predictors), f"{key_schema}, v array<double>").repartition(width, *keys)
+            partial = table.mapInPandas(_sums(design, state, keys, predictors), f"{key_schema}, v array<double>").repartition(width, *keys)
             got = partial.mapInPandas(_steps(design, state, keys), f"{key_schema}, beta array<double>, at array<double>, best double, halved int, settled boolean").collect()
             state.unpersist()
             for r in got:
@@ -183,7 +202,29 @@ def _newton(df: DataFrame, predictors, keys, label, design, max_iter: int):
                     open_.pop(key, None)
             if not open_:
                 break
-        one = spark.createDataFrame([(*k, [float(v) for v in h["beta"]]) for k, h in held.items()], f"{key_schema}, beta array<double>")
+        return set(held) - set(open_)
+
+    many = (F.col("n") > 4 * START_ROWS) & (F.least("n1", F.col("n") - F.col("n1")) * START_ROWS >= F.col("n") * START_PRESENCES)
+    started = usable.where(many).select(*keys, F.col("n").alias("_n"))
+    n_started = started.count()
+    if n_started:
+        share = F.pmod(F.xxhash64(F.lit(1), *predictors), F.col("_n")) < START_ROWS
+        first = checkpointed(join_on(placed, started, keys, small=n_started <= KEYS_AT_ONCE).where(share).drop("_n"))
+    done = None
+    for part in range(slices):
+        chosen = usable if slices == 1 else usable.where(F.pmod(F.xxhash64(*keys), F.lit(slices)) == part)
+        held, large = {}, []
+        for r in chosen.withColumn("_many", many).toLocalIterator():
+            share, key = r["n1"] / r["n"], tuple(r[k] for k in keys)
+            held[key] = {"mean": r["mean"], "sd": r["sd"], "lows": r["lows"], "highs": r["highs"], "best": None, "at": None, "halved": 0,
+                         "beta": [float(np.log(share / (1 - share))), *[0.0] * (design.size - 1)]}
+            large += [key] if r["_many"] else []
+        if large:
+            trial = {k: dict(held[k]) for k in large}
+            for k in rounds(first, trial):  # a key that did not settle on its share starts like the others
+                held[k]["beta"] = trial[k]["beta"]
+        rounds(placed, held)
+        one = spark.createDataFrame([(*k, [float(v) for v in h["beta"]], design.curves(h["beta"])) for k, h in held.items()], f"{key_schema}, beta array<double>, curves array<struct<c0: double, c1: double, c2: double, c3: double>>")
         done = one if done is None else done.union(one)
     return checkpointed(join_on(usable, done, keys, small=n_keys <= KEYS_AT_ONCE)), failed
 
@@ -197,7 +238,7 @@ def _fit_gam(df, predictors, keys, label, params):
     design = _Additive(predictors, params)
     state, failed = _newton(df, predictors, keys, label, design, params["max_iter"])
     steps = F.transform(F.arrays_zip("lows", "highs"), lambda x: F.when(x["highs"] > x["lows"], (x["highs"] - x["lows"]) / design.intervals).otherwise(1.0))
-    return state.select(*keys, "n", "lows", steps.alias("steps"), "beta"), failed
+    return state.select(*keys, "n", "lows", steps.alias("steps"), "beta", "curves"), failed
 
 
 def _fit_enfa(df, predictors, keys, label, params):
@@ -250,24 +291,23 @@ def _lr_formula(m: GroupedModel):
     return logistic(reduce(lambda a, b: a + b, [t * F.col("_beta")[i + 1] for i, t in enumerate(z + [c * c for c in z])], F.col("_beta")[0]))
 
 
-def spline_at(p: str, i: int, n: int):
-    """(value of the ``i``-th spline of ``n`` pieces at column ``p``, its 0-based interval, its four weights there)."""
-    low, step, intervals, beta = F.col("_lows")[i], F.col("_steps")[i], n - gam.ORDER, F.col("_beta")
-    x = F.col(p)
-    inside = F.least(low + step * intervals, F.greatest(low, x))
-    t = (inside - low) / step
-    j = F.least(F.lit(intervals - 1), F.floor(t).cast("int"))
-    weights = gam._weights(t - j)
-    coef = [beta[F.lit(1 + i * n + k) + j] for k in range(gam.ORDER + 1)]
-    value = reduce(lambda a, b: a + b, [c * w for c, w in zip(coef, weights)])
-    at = lambda k: beta[1 + i * n + k]
-    slope = F.when(x < low, (at(2) - at(0)) / (step * 2)).otherwise((at(n - 1) - at(n - 3)) / (step * 2))
-    return value + slope * (x - inside), j, weights
+def _positions(m: GroupedModel, both: DataFrame) -> DataFrame:
+    """Each predictor's place on its spline, in steps (``_t``), the interval it is in (``_j``) and the curve there (``_c``).
+
+    Columns of their own: written into one formula they are repeated until it outgrows what is compiled.
+    """
+    intervals, each = m.params["n_splines"] - gam.ORDER, range(len(m.predictors))
+    both = both.withColumns({f"_t{i}": (F.col(m.predictors[i]) - F.col("_lows")[i]) / F.col("_steps")[i] for i in each})
+    both = both.withColumns({f"_j{i}": F.least(F.lit(intervals), F.greatest(F.lit(-1), F.floor(f"_t{i}"))).cast("int") for i in each})
+    return both.withColumns({f"_c{i}": F.get("_curves", F.col(f"_j{i}") + (1 + i * (intervals + 2))) for i in each})
 
 
 def _gam_formula(m: GroupedModel):
-    n = m.params["n_splines"]
-    return F.nanvl(logistic(reduce(lambda a, b: a + b, [spline_at(p, i, n)[0] for i, p in enumerate(m.predictors)], F.col("_beta")[0])), F.lit(0.5))
+    total = F.col("_beta")[0]
+    for i in range(len(m.predictors)):
+        u, c = F.col(f"_t{i}") - F.col(f"_j{i}"), F.col(f"_c{i}")
+        total = total + (c.c0 + u * (c.c1 + u * (c.c2 + u * c.c3)))
+    return F.nanvl(logistic(total), F.lit(0.5))
 
 
 def _enfa_formula(m: GroupedModel):

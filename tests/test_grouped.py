@@ -112,3 +112,26 @@ def test_perceptron_settles_and_decays(spark, toy):
     assert np.square(large.state["theta"][:16]).sum() < np.square(small.state["theta"][:16]).sum()
     from nichefield.operators.evaluate import auc
     assert auc(small.score(rows).where("score is not null"), "label", "score").first().auc > 0.85
+
+
+def test_first_rounds_on_a_share(spark, toy, monkeypatch):
+    """A key with many rows starts on a share of them and ends at the same coefficients."""
+    before = {r.k: r.beta for r in fit_by("gam", toy, ["u", "v"], "k").state.collect()}
+    seen, sums = [], grouped._sums
+    monkeypatch.setattr(grouped, "START_ROWS", 100)
+    monkeypatch.setattr(grouped, "START_PRESENCES", 10)
+    monkeypatch.setattr(grouped, "_sums", lambda design, state, *rest: seen.append(set(state.value)) or sums(design, state, *rest))
+    for r in fit_by("gam", toy, ["u", "v"], "k").state.collect():
+        assert np.allclose(r.beta, before[r.k], atol=1e-6)
+    assert seen[0] == {("a",)} and {("a",), ("b",), (None,)} in seen  # "one" cannot be fitted, the others are few
+
+
+def test_spline_scores_are_compiled(spark, toy):
+    """Scores of four splines fit a compiled method instead of falling back to evaluation row by row."""
+    df = toy.withColumns({"w": F.col("u") * F.col("u"), "z": F.col("v") - F.col("u")})
+    m = fit_by("gam", df, ["u", "v", "w", "z"], "k")
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        assert 0 < m.score(df).agg(F.avg("score")).first()[0] < 1
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
