@@ -188,7 +188,7 @@ def background_disk(occ: DataFrame, cells: DataFrame, grid: Grid, n, predictors,
     on_cell = _on_usable_cells(cells, grid, [first], finite(first))
 
     def accept(drawn: DataFrame) -> DataFrame:
-        usable = on_cell(drawn)  # the cheap test first
+        usable = checkpointed(on_cell(drawn))  # the cheap test first; read by each distance test
         if stretch is None:
             return in_distance_band(usable, presences, "i", low, high, keys)
         wide = {"x": F.col("x") * F.col("_s"), "y": F.col("y") * F.col("_s")}

@@ -4,6 +4,9 @@ Presences are reduced to one row per occupied square with the bounding box of it
 candidate meets only the few occupied squares around it, and the nearest and farthest point of a
 box usually settle the question. What stays open goes one level deeper, to squares a quarter as
 wide. So a square holding a third of all presences is one row, never a third of all pairs.
+
+Squares travel in packs: those in and around a tile of 4 x 4 at first, the 4 x 4 of an open square
+on deeper levels. A candidate is one row that meets one pack, so it is not copied for its neighbours.
 """
 
 from __future__ import annotations
@@ -15,7 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, at_most, checkpointed, key_list
 
-FAN_OUT = 4  # each level splits a square into FAN_OUT x FAN_OUT
+FAN_OUT = 4  # each level splits a square into FAN_OUT x FAN_OUT; a tile has as many
+REACH = 2  # squares just over half the radius: two on each side cover the circle
 MAX_LEVELS = 24
 
 
@@ -23,18 +27,29 @@ def _squares(points: DataFrame, size: float, keys) -> DataFrame:
     """Occupied squares of one level with the bounding box of their points."""
     return (points.withColumns({"_qx": F.floor(F.col("x") / size), "_qy": F.floor(F.col("y") / size)})
             .groupBy(*keys, "_qx", "_qy")
-            .agg(F.min("x").alias("_x0"), F.max("x").alias("_x1"),
-                 F.min("y").alias("_y0"), F.max("y").alias("_y1")))
+            .agg(F.min("x").alias("x0"), F.max("x").alias("x1"),
+                 F.min("y").alias("y0"), F.max("y").alias("y1")))
+
 
+def _packs(squares: DataFrame, margin: int, keys) -> DataFrame:
+    """The squares of each tile (``_tx``, ``_ty``) and ``margin`` squares around it: at most (FAN_OUT + 2 margin) ** 2."""
+    tiles = lambda q: F.explode(F.sequence(F.floor((F.col(q) - margin) / FAN_OUT), F.floor((F.col(q) + margin) / FAN_OUT)))
+    placed = squares.select(*keys, tiles("_qx").alias("_tx"), "_qy", F.struct("_qx", "_qy", "x0", "x1", "y0", "y1").alias("_box"))
+    return (placed.select(*keys, "_tx", tiles("_qy").alias("_ty"), "_box")
+            .groupBy(*keys, "_tx", "_ty").agg(F.collect_list("_box").alias("_boxes")))
 
-def _box_distances() -> tuple[Column, Column]:
-    """Squared distance from (x, y) to the nearest and the farthest corner or edge of the box."""
+
+def _nearest(b: Column) -> Column:
+    """Squared distance from (x, y) to the nearest corner or edge of the box."""
     x, y, zero = F.col("x"), F.col("y"), F.lit(0.0)
-    dx = F.greatest(F.col("_x0") - x, zero, x - F.col("_x1"))
-    dy = F.greatest(F.col("_y0") - y, zero, y - F.col("_y1"))
-    fx = F.greatest(F.abs(x - F.col("_x0")), F.abs(x - F.col("_x1")))
-    fy = F.greatest(F.abs(y - F.col("_y0")), F.abs(y - F.col("_y1")))
-    return dx * dx + dy * dy, fx * fx + fy * fy
+    dx, dy = F.greatest(b.x0 - x, zero, x - b.x1), F.greatest(b.y0 - y, zero, y - b.y1)
+    return dx * dx + dy * dy
+
+
+def _farthest(b: Column) -> Column:
+    x, y = F.col("x"), F.col("y")
+    dx, dy = F.greatest(F.abs(x - b.x0), F.abs(x - b.x1)), F.greatest(F.abs(y - b.y0), F.abs(y - b.y1))
+    return dx * dx + dy * dy
 
 
 def ids_within(candidates: DataFrame, presences: DataFrame, radius: float, cand_id: str,
@@ -48,43 +63,36 @@ def ids_within(candidates: DataFrame, presences: DataFrame, radius: float, cand_
     limit = F.lit(float(radius) * float(radius))
     inside = (lambda d: d <= limit) if inclusive else (lambda d: d < limit)
     size = radius / 2.0 * (1.0 + 1e-9)
-    reach = range(-2, 3)  # squares just over half the radius: two on each side cover the circle
-    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"))
-                                 for i in reach for j in reach]))
     points = checkpointed(presences.select(*keys, "x", "y").distinct())
-    # No level has more squares than there are points, so one check covers every level's join.
-    small, on = at_most(points, BROADCAST_ROWS), [*keys, "_qx", "_qy"]
-    pairs = (candidates.select(*keys, cand_id, "x", "y").withColumn("_o", around)
-             .select(*keys, cand_id, "x", "y",
-                     (F.floor(F.col("x") / size) + F.col("_o.i")).alias("_qx"),
-                     (F.floor(F.col("y") / size) + F.col("_o.j")).alias("_qy")))
-    found = None
-    for level in range(MAX_LEVELS):
-        near, far = _box_distances()
-        squares = _squares(points, size, keys)
-        judged = (pairs.join(F.broadcast(squares) if small else squares, on)
-                  .withColumns({"_near": near, "_far": far}).where(inside(F.col("_near"))))
-        judged = checkpointed(judged.withColumn("_hit", inside(F.col("_far"))))
+    # A pack holds few squares and a square is in four packs on average, so one check covers every level's join.
+    small, on = at_most(points, BROADCAST_ROWS // 4), [*keys, "_tx", "_ty"]
+    tile = lambda c: F.floor(F.floor(F.col(c) / size) / FAN_OUT)
+    pairs = candidates.select(*keys, cand_id, "x", "y", tile("x").alias("_tx"), tile("y").alias("_ty"))
+    found, margin = None, REACH
+    for _ in range(MAX_LEVELS):
+        packs = _packs(_squares(points, size, keys), margin, keys)
+        met = pairs.join(F.broadcast(packs) if small else packs, on)
+        hit = F.exists("_boxes", lambda b: inside(_farthest(b)))
+        # A box that is a single point is settled: nearest and farthest coincide.
+        left = F.filter("_boxes", lambda b: inside(_nearest(b)) & ((b.x0 < b.x1) | (b.y0 < b.y1)))
+        left = F.transform(left, lambda b: F.struct(b._qx.alias("_tx"), b._qy.alias("_ty")))
+        judged = met.select(*keys, cand_id, "x", "y", hit.alias("_hit"), "_boxes")
+        judged = judged.select(*keys, cand_id, "x", "y", "_hit", F.when(~F.col("_hit"), left).alias("_left"))
+        judged = checkpointed(judged.where(F.col("_hit") | (F.size("_left") > 0)))
         hits = judged.where("_hit").select(*keys, cand_id).distinct()
         found = hits if found is None else found.unionByName(hits).distinct()
-        # A box that is a single point is settled: nearest and farthest coincide.
-        still_open = (judged.where(~F.col("_hit"))
-                      .where((F.col("_x0") < F.col("_x1")) | (F.col("_y0") < F.col("_y1")))
-                      .join(hits, [*keys, cand_id], "left_anti"))
+        still_open = judged.where(~F.col("_hit")).join(hits, [*keys, cand_id], "left_anti")
         if still_open.isEmpty():
             return found
         size /= FAN_OUT
-        split = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"))
-                                    for i in range(FAN_OUT) for j in range(FAN_OUT)]))
-        pairs = (still_open.withColumn("_o", split)
-                 .select(*keys, cand_id, "x", "y",
-                         (F.col("_qx") * FAN_OUT + F.col("_o.i")).alias("_qx"),
-                         (F.col("_qy") * FAN_OUT + F.col("_o.j")).alias("_qy")))
+        # The squares of the next level in an open square are those of the tile that it is.
+        pairs = still_open.select(*keys, cand_id, "x", "y", F.explode("_left").alias("_o")).select(*keys, cand_id, "x", "y", "_o.*")
+        margin = 0
     # Only points closer together than the radius / 4**24 are left: compare them directly.
     d2 = (F.col("x") - F.col("_px")) ** 2 + (F.col("y") - F.col("_py")) ** 2
-    last = points.select(*keys, F.col("x").alias("_px"), F.col("y").alias("_py"),
-                         F.floor(F.col("x") / size).alias("_qx"), F.floor(F.col("y") / size).alias("_qy"))
-    tail = pairs.join(last, [*keys, "_qx", "_qy"]).where(inside(d2)).select(*keys, cand_id).distinct()
+    at = lambda c: F.floor(F.floor(F.col(c) / size) / FAN_OUT)
+    last = points.select(*keys, F.col("x").alias("_px"), F.col("y").alias("_py"), at("x").alias("_tx"), at("y").alias("_ty"))
+    tail = pairs.join(last, on).where(inside(d2)).select(*keys, cand_id).distinct()
     return found.unionByName(tail).distinct()
 
 
@@ -100,6 +108,7 @@ def in_distance_band(candidates: DataFrame, presences: DataFrame, cand_id: str,
     out = candidates
     if max_distance > 0:
         out = out.join(ids_within(candidates, presences, max_distance, cand_id, True, keys), on, "left_semi")
+        out = checkpointed(out) if min_distance > 0 else out  # read again below
     if min_distance > 0:
         out = out.join(ids_within(out, presences, min_distance, cand_id, False, keys), on, "left_anti")
     return out

@@ -224,3 +224,20 @@ def test_surface_must_cover_the_grid(spark, tmp_path):
         write_surface(twice, str(tmp_path / "s"), Grid(0, 2, 1, 1, 2, 2))
     with pytest.raises(ValueError, match="stored"):
         write_surface(df, str(tmp_path / "s"), Grid(0, 1, 1, 1, 1, 1), dtype="uint8")
+
+
+def test_candidates_are_not_copied_for_their_neighbours(spark, monkeypatch):
+    """Among dense presences a candidate is one row on the first level, with shuffle joins, and the answer is exact."""
+    from nichefield.operators import nearby
+    rng = np.random.default_rng(8)
+    known, asked = np.floor(rng.uniform(-3, 3, (3000, 2)) * 8) / 8, rng.uniform(-4, 4, (400, 2))
+    pres = spark.createDataFrame([(float(a), float(b)) for a, b in known], "x double, y double")
+    cand = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(asked)], "i long, x double, y double")
+    sizes, keep = [], nearby.checkpointed
+    monkeypatch.setattr(nearby, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(nearby, "checkpointed", lambda df: (lambda out: sizes.append((out.columns, out.count())) or out)(keep(df)))
+    got = {r.i for r in nearby.ids_within(cand, pres, 0.3, "i").collect()}
+    near = np.sqrt(((asked[:, None] - known[None]) ** 2).sum(axis=2)).min(axis=1)
+    assert got == set(np.flatnonzero(near <= 0.3).tolist())
+    first = next(n for columns, n in sizes if "_hit" in columns)
+    assert first <= len(asked)
