@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..grid import Grid, Layer
+from ..operators.common import shuffle_width
 
 SIZE = "select greatest(16, cast(floor(sqrt(count(*)) / 6) as int)) as g from lineitem"
 
@@ -103,6 +104,7 @@ from (select case cast(l_suppkey as int) % 3 when 0 then 'lr' when 1 then 'rf' e
       from lineitem group by 1, 2, 3, 4) t""",
 }
 _TABLES = ("lineitem", "events", "embeddings")
+TASK_ROWS = 500_000  # records that one task groups at most: more records make more tasks, not larger ones
 
 
 def _needs(name: str) -> list[str]:
@@ -149,6 +151,11 @@ class Data:
     def side(self) -> int:
         return self.spark.sql(SIZE.replace("lineitem", "{lineitem}"), lineitem=self.given("lineitem")).first().g
 
+    @property
+    def matrix_parts(self) -> int:
+        """Parts of at most ``TASK_ROWS`` records; the grid side tells how many records there are."""
+        return -(-36 * (self.side + 1) ** 2 // TASK_ROWS)
+
     @property
     def grid(self) -> Grid:
         return Grid(0.0, float(self.side), 1.0, 1.0, self.side, self.side, "EPSG:32633")
@@ -161,6 +168,8 @@ class Data:
         text = text.replace("{env}", ", ".join(f"cast(element_at(embedding, {i}) as double) as e{i}" for i in (1, 2, 3)))
         text = text.replace("{G}", str(self.side))
         used = {t: self.given(t) for t in _TABLES if re.search(rf"\b{t}\b", text)}
+        if table == "fx_matrix" and self.matrix_parts > shuffle_width(self.spark):
+            used["lineitem"] = used["lineitem"].repartition(self.matrix_parts, F.expr("l_orderkey * 10 + l_linenumber"))
         used |= {t: getattr(self, t[3:]) for t in _needs(table)}
         for t in used:
             text = re.sub(rf"(from|join) {t}\b", rf"\1 {{{t}}}", text)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.scalars import clean_number
-from .common import attach, join_on, key_list, range_parts
+from .common import attach, checkpointed, join_on, key_list, range_parts
 
 # Boyce windows and minimum sizes.
 BOYCE_WINDOWS = 10
@@ -132,7 +132,7 @@ def boyce(df: DataFrame, label: str = "label", score: str = "score", n_bins: int
 def evaluate(df: DataFrame, label: str = "label", score: str = "score", keys=()) -> DataFrame:
     """H4: auc, tss, boyce and threshold together; all NULL unless both classes are scored."""
     keys = key_list(keys)
-    counts = score_counts(df, label, score, keys)
+    counts = checkpointed(score_counts(df, label, score, keys))  # read by five branches, made once
     ranking, index = _ranking(counts, keys), _boyce(counts, keys, BOYCE_WINDOWS, BOYCE_WIDTH)
     if keys:
         joined = join_on(ranking, index, keys, "left")

@@ -274,3 +274,15 @@ def test_registered_fits_at_defaults(monkeypatch, name):
         with pytest.raises(StopIteration):
             run_fit(SimpleNamespace(matrix=None), name)
     assert asked == [{}, {}]
+
+
+def test_records_of_a_task_are_bounded(spark, monkeypatch):
+    """More records than the shuffle's width can share make more tasks, and the records stay the same."""
+    from nichefield.catalog import tables
+    folder = "/root/testdata/sf0.001"
+    whole = tables.Data(spark, folder).matrix.toPandas().sort_values("pid")
+    monkeypatch.setattr(tables, "TASK_ROWS", 300)
+    d = tables.Data(spark, folder)
+    sizes = [r["n"] for r in d.matrix.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(sizes) > 8 and max(sizes) < 2 * 300
+    assert d.matrix.toPandas().sort_values("pid").reset_index(drop=True).equals(whole.reset_index(drop=True))
