@@ -107,6 +107,25 @@ def test_boxes_leave_most_distances_out():
             assert done.sum() < 0.1 * len(x) * len(rows)
 
 
+def test_mop_computes_little_for_neighbouring_cells(spark):
+    """Cells reach tasks as neighbours, so hardly more than the nearest tenth of the distances is computed, in both forms."""
+    cells = spark.range(24_000).select(F.floor(F.col("id") / 100).cast("int").alias("row"), (F.col("id") % 100).cast("int").alias("col"),
+                                       *[(F.pmod(F.xxhash64("id", F.lit(i)), F.lit(10_000)) / 10_000).alias(f"p{i}") for i in range(3)])
+    predictors, means = ["p0", "p1", "p2"], []
+    for limit in (0, 10**6):
+        got = tr.mop(cells, cells.where("pmod(xxhash64(row, col), 4) = 0"), predictors, keys=[], broadcast_values=limit, distances=True)
+        means.append({(r.row, r.col): r.mop for r in got.collect()})
+        assert got.agg(F.sum("distances")).first()[0] < 0.19 * 24_000 * 6_000
+    assert max(abs(means[0][c] - means[1][c]) for c in means[0]) < 1e-12
+
+
+def test_close_distances_keep_their_digits():
+    from nichefield.operators.nearest import distances
+    x = np.random.default_rng(2).uniform(size=(20, 3)) + 50
+    y = np.concatenate([x, x + 1e-7, x - 3])
+    assert np.allclose(distances(x, y.T), np.sqrt(((x[:, None] - y[None]) ** 2).sum(2)), rtol=1e-12, atol=0)
+
+
 def test_mop_keeps_every_cell_of_every_key(spark):
     cells = spark.createDataFrame([("a", 0, 0, 1.0), ("b", 0, 1, 2.0), (None, 0, 2, 3.0), ("a", 0, 3, None), ("a", 0, 4, 1.0)], "k string, row int, col int, u double")
     known = spark.createDataFrame([("a", 0.0), ("a", 4.0), ("a", 0.0), (None, 2.0), (None, 4.0), ("z", 9.0)], "k string, u double")
