@@ -40,6 +40,8 @@ CLASSES = CLUSTERS * CUTS + 1
 TAIL_ROOT = 128
 #: Rows of the weight table, rounds of averaging, tokens of a gradient step, step size.
 FEATURES, ROUNDS, STEP_TOKENS, RATE = 1 << 16, 3, 16_384, 0.5
+#: Logarithms of a class's share are kept within this, so that no power of e leaves single precision.
+LARGEST = np.float32(80)
 END = b" end"  # no word has a blank
 SLICES = 16
 
@@ -161,33 +163,38 @@ class LanguageModel:
         return np.stack([(r >> np.uint64(48)).astype(np.uint16) for r in (one, mix(one ^ two), two, three)], 1)
 
     @staticmethod
-    def spread(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    def spread(weights, rows: np.ndarray) -> np.ndarray:
         """Class probabilities."""
         z = np.take(weights, rows[:, 0], axis=0)
         z += weights[FEATURES]
         for k in range(1, rows.shape[1]):
             z += np.take(weights, rows[:, k], axis=0)
-        z -= z.max(1, keepdims=True)
+        np.clip(z, -LARGEST, LARGEST, out=z)
         np.exp(z, out=z)
-        z /= z.sum(1, keepdims=True)
+        z /= (z @ np.ones((z.shape[1], 1), np.float32))
         return z
 
     def learn(self, weights, energy, rows, wanted) -> None:
         """One gradient step on a batch; ``energy`` has each row's squared gradients so far."""
         g = self.spread(weights, rows)
         g[np.arange(len(wanted)), wanted] -= 1
+        wide = g.astype(np.float64)
         for k in range(rows.shape[1]):  # 16-bit keys are sorted by their digits
             order = np.argsort(rows[:, k], kind="stable")
             at, sizes = runs(rows[:, k][order])
-            step = np.add.reduceat(np.take(g, order, axis=0), at, axis=0)
-            LanguageModel.move(weights, energy, rows[order[at], k], step, sizes)
+            upto = np.take(wide, order, axis=0)
+            step = np.take(np.cumsum(upto, axis=0, out=upto), at + sizes - 1, axis=0)
+            step[1:] -= step[:-1].copy()  # sums of the runs
+            step = step.astype(np.float32)
+            LanguageModel.move(weights, energy, rows[order[at], k].astype(np.int64), step, sizes)
         LanguageModel.move(weights, energy, np.array([FEATURES]), g.sum(0, keepdims=True), np.array([len(g)]))
 
     @staticmethod
     def move(weights, energy, at, step, sizes) -> None:
-        step /= np.sqrt(sizes)[:, None].astype(np.float32)
-        energy[at] += (step * step).mean(1)
-        weights[at] -= RATE * step / np.sqrt(energy[at] + 1)[:, None]
+        own = np.take(energy, at) + np.einsum("ij,ij->i", step, step) / (sizes * step.shape[1]).astype(np.float32)
+        energy[at] = own
+        step *= (RATE / np.sqrt(sizes * (own + 1.0))).astype(np.float32)[:, None]
+        weights[at] = np.take(weights, at, axis=0) - step
 
 
 def cluster(model: LanguageModel, after: np.ndarray) -> np.ndarray:

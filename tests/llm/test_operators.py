@@ -228,6 +228,33 @@ def test_lm_is_a_distribution():
     assert np.allclose([(q[m.classes[:-1]] * words).sum() + q[m.rare] * rare for q in p], 1, atol=1e-5)
 
 
+def test_lm_step_in_one_pass(monkeypatch):
+    """A step has the gradients' sums by feature, whatever the runs, and needs no sum run by run."""
+    rng = np.random.default_rng(4)
+    m = lm_scoring.LanguageModel(np.sort(rng.integers(0, 1 << 62, 50, dtype=np.uint64)), np.arange(1, 51), 1500, 60)
+    rows, wanted = (rng.zipf(1.3, (3000, 4)) % 400).astype(np.uint16), rng.integers(0, 16, 3000)
+    weights = rng.normal(size=m.weights.shape).astype(np.float32)
+    expected, energy = weights.astype(float), np.zeros(len(weights))
+    g = np.exp(sum(expected[rows[:, k]] for k in range(4)) + expected[-1])
+    g /= g.sum(1, keepdims=True)
+    g[np.arange(3000), wanted] -= 1
+    for k in range(5):
+        at = rows[:, k].astype(int) if k < 4 else np.full(3000, lm_scoring.FEATURES)
+        n = np.bincount(at, minlength=len(weights))
+        step = np.zeros(weights.shape)
+        np.add.at(step, at, g)
+        step[n > 0] /= np.sqrt(n[n > 0])[:, None]
+        energy += (step ** 2).mean(1)
+        expected[n > 0] -= (lm_scoring.RATE * step / np.sqrt(energy + 1)[:, None])[n > 0]
+
+    class Add:
+        reduceat = None
+
+    monkeypatch.setattr(lm_scoring, "np", type("numpy", (), {**vars(np), "add": Add}))
+    m.learn(weights, np.zeros(len(weights), np.float32), rows, wanted)
+    assert np.allclose(weights, expected, atol=1e-4)
+
+
 def test_lm_tail_words_are_history(spark):
     """Words outside the frequent table tell as history what comes next."""
     rows = [(i, f"z{i % 40} {'ab'[i % 2]}") for i in range(4000)]
