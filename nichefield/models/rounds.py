@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+COLLECTED = 1_000_000  # numbers that all tasks of a round together send to the driver, beyond that they are summed in tasks first
+
 
 def packed(rows: DataFrame, columns) -> DataFrame:
     """``columns`` as packs of numbers, a pack per Arrow batch: 8 bytes a value, and no row is built again in a round."""
@@ -38,15 +40,25 @@ def share_of(packs: DataFrame, width: int, share: int) -> DataFrame:
 
 
 def summed(packs: DataFrame, width: int, size: int, sums) -> np.ndarray:
-    """Total of ``sums(rows)``, ``size`` numbers, over all packs of ``width`` columns: per task, then entry by entry over tasks."""
-    def per_task(batches):
+    """Total of ``sums(rows)``, ``size`` numbers, over all packs of ``width`` columns: per task, then over tasks in their order.
+
+    Totals of few tasks go to the driver as they are, those of many meet entry by entry in tasks first."""
+    def totals(batches):
         total = np.zeros(size)
         for pdf in batches:
             for pack in pdf["pack"]:
                 total += sums(np.frombuffer(pack).reshape(-1, width))
-        yield pd.DataFrame({"i": np.arange(size), "v": total})
+        return total
+
+    def whole(batches):
+        yield pd.DataFrame({"v": [totals(batches).tobytes()]})
+
+    def by_entry(batches):
+        yield pd.DataFrame({"i": np.arange(size), "v": totals(batches)})
 
+    if packs.rdd.getNumPartitions() * size <= COLLECTED:
+        return np.sum([np.frombuffer(r.v) for r in packs.mapInPandas(whole, "v binary").collect()], axis=0)
     flat = np.zeros(size)
-    for r in packs.mapInPandas(per_task, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+    for r in packs.mapInPandas(by_entry, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
         flat[r.i] = r.v
     return flat

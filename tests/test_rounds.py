@@ -84,3 +84,23 @@ def test_trees_train_on_parts_of_a_bounded_size(toy, monkeypatch):
     rows = trees._rows(toy.coalesce(1), ["a", "b", "c"], "label")
     sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(sizes) == 2000 and max(sizes) <= 200
+
+
+def test_perceptron_takes_bounded_rows_in_one_job(toy, monkeypatch):
+    from nichefield.models import mlp
+
+    rounds = []
+    monkeypatch.setattr(mlp, "_sums", lambda *a: rounds.append(1))
+    m = fit("mlp", toy, ["a", "b", "c"])
+    other = fit("mlp", toy.repartition(3), ["a", "b", "c"])
+    assert not rounds and m.state["theta"] == pytest.approx(other.state["theta"], abs=1e-2)
+
+
+def test_totals_of_few_and_of_many_tasks_agree(toy, monkeypatch):
+    from nichefield.models import rounds
+
+    packs = rounds.packed(toy, ["a", "b", "label"]).persist()
+    few = rounds.summed(packs, 3, 3, lambda x: x.sum(axis=0))
+    monkeypatch.setattr(rounds, "COLLECTED", 0, raising=False)
+    many = rounds.summed(packs, 3, 3, lambda x: x.sum(axis=0))
+    assert few == pytest.approx(many) and few[2] == toy.where("label = 1").count()
