@@ -25,19 +25,22 @@ AREA_SMALL, AREA_LARGE = 10, 50
 EXTRAPOLATION_HIGH = 20
 SAMPLE_TINY, SAMPLE_SMALL, SAMPLE_MODEST = 25, 50, 100
 REMOVED_SOME, REMOVED_MUCH = 0.10, 0.30
+SCORES = ("auc_mean", "tss_mean", "boyce_mean", "auc_sd", "tss_sd", "boyce_sd")
+STEADY = 12  # digits of a mean or SD that do not depend on the order of its sum
 
 
 def headline(summary: DataFrame, keys=()) -> DataFrame:
     """Per run the row to report: the ensemble if there is one, else the best mean TSS, of equal ones the first by name.
 
-    Means count as equal to 12 digits, so that the order in which a sum was taken picks no algorithm."""
+    Means and SDs are taken to ``STEADY`` digits, so that the order in which a sum was taken picks no algorithm and moves no
+    value over a bound of the rules."""
     keys = key_list(keys)
+    summary = summary.withColumns({c: F.round(c, STEADY) for c in SCORES})
     single = F.col("algorithm") != "Ensemble"
-    rank = F.struct(single.alias("s"), (-F.round(F.coalesce("tss_mean", F.lit(float("-inf"))), 12)).alias("t"), "algorithm")
-    names = ["algorithm", "auc_mean", "tss_mean", "boyce_mean", "auc_sd", "tss_sd", "boyce_sd"]
+    rank = F.struct(single.alias("s"), (-F.coalesce("tss_mean", F.lit(float("-inf")))).alias("t"), "algorithm")
     alone = F.when(single, F.col("tss_mean"))
     return (summary.groupBy(*keys)
-            .agg(F.min_by(F.struct(*names), rank).alias("h"), F.min(alone).alias("tss_low"),
+            .agg(F.min_by(F.struct("algorithm", *SCORES), rank).alias("h"), F.min(alone).alias("tss_low"),
                  F.max(alone).alias("tss_high"), F.count(alone).alias("n_tss"))
             .select(*keys, "h.*", "tss_low", "tss_high", "n_tss"))
 
