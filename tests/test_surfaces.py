@@ -250,3 +250,15 @@ def test_notes_follow_the_rules(spark):
                     "Records removed in cleaning"):
         assert n[heading][0] == "caution"
     assert n["How performance was tested"][0] == "good" and "Dropped predictors" in n
+
+
+def test_mop_holds_a_bounded_part_of_a_large_shell(monkeypatch):
+    """Points far apart make all rows a shell: their distances must not be held for all points at once."""
+    from nichefield.operators import nearest as ne
+    rng = np.random.default_rng(3)
+    rows, x, sizes, made = rng.normal(size=(5000, 3)), rng.normal(size=(16, 3)) * 9, [], ne._all_distances
+    monkeypatch.setattr(ne, "SHELL_PAIRS", 6_000, raising=False)
+    monkeypatch.setattr(ne, "_all_distances", lambda *a: sizes.append((d := made(*a)).size) or d)
+    got, _ = ne.BoxIndex(rows, np.ones(5000)).mean(x, 500)
+    want = np.sort(np.sqrt(((x[:, None] - rows) ** 2).sum(axis=2)), axis=1)[:, :500].mean(axis=1)
+    assert np.abs(got - want).max() < 1e-9 and max(sizes) <= 6_000
