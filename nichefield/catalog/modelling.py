@@ -240,9 +240,15 @@ QUICK = {"rf": {"n_estimators": 20, "max_depth": 8}, "gbm": {"n_estimators": 12,
          "xgb": {"n_estimators": 10, "max_depth": 4}, "svm": {"landmarks": 32, "folds": 2, "max_iter": 20}}
 
 
+def _records(d, name):
+    """The labelled records; tree fits read them several times, so they are derived once for the fit and the scores."""
+    return checkpointed(d.matrix.select("pid", "label", *FEATURES)) if name in ("rf", "gbm", "xgb") else d.matrix
+
+
 def _fit(d, name):
-    m = fit(name, d.matrix, FEATURES, **QUICK.get(name, {}))
-    return tidy(m.score(d.matrix).select("pid", "label", "score"))
+    rows = _records(d, name)
+    m = fit(name, rows, FEATURES, **QUICK.get(name, {}))
+    return tidy(m.score(rows).select("pid", "label", "score"))
 
 
 for _name in ("lr", "gam", "rf", "gbm", "xgb", "svm", "mlp", "maxent"):
@@ -251,7 +257,8 @@ for _name in ("lr", "gam", "rf", "gbm", "xgb", "svm", "mlp", "maxent"):
 
 def _checked(d, name):
     """What must hold for any sound fit, per label: a score for each complete row, within [0, 1], and some skill."""
-    scored = checkpointed(fit(name, d.matrix, FEATURES, **QUICK.get(name, {})).score(d.matrix).select("label", "score"))
+    rows = _records(d, name)
+    scored = checkpointed(fit(name, rows, FEATURES, **QUICK.get(name, {})).score(rows).select("label", "score"))
     skilled = ev.auc(scored.where("score is not null"), "label", "score").first().auc >= AUC_FLOOR
     return scored.groupBy("label").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("score").isNull()).alias("n_null"),

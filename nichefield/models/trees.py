@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import all_finite
 from ..operators.common import shuffle_width
-from .base import Model, summary_of, training_rows
+from .base import Model, training_rows
 
 RF_DEFAULTS = {"n_estimators": 500, "max_features": "sqrt", "min_samples_leaf": 1, "max_depth": 30}
 GBM_DEFAULTS = {"n_estimators": 1000, "learning_rate": 0.01, "max_depth": 3, "subsample": 0.75}
@@ -29,8 +29,11 @@ def _vector(predictors):
 def _rows(df, predictors, label):
     """Records as vectors, in parts of a bounded size: training keeps them in memory and reads a whole part in each task."""
     rows = training_rows(df, predictors, label)
-    n = summary_of(rows, predictors)["n"]
-    if n > ROWS_PER_PART:
+    parts = rows.groupBy(F.spark_partition_id().alias("part")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == 1).alias("n1"))
+    n, n1, largest = parts.agg(F.sum("n"), F.sum("n1"), F.max("n")).first()
+    if not n or n1 in (0, n):
+        raise ValueError("fitting needs complete records of both classes")
+    if largest > ROWS_PER_PART:
         rows = rows.repartition(max(shuffle_width(rows.sparkSession), math.ceil(n / ROWS_PER_PART)))
     return rows.select("label", _vector(predictors).alias("features"))
 
@@ -49,7 +52,7 @@ def _boosted(name, df, predictors, label, seed, params) -> Model:
         labelCol="label", maxIter=params["n_estimators"], stepSize=params["learning_rate"],
         maxDepth=params["max_depth"], subsamplingRate=params["subsample"], seed=seed,
         featureSubsetStrategy=str(params.get("colsample_bytree", "all")),
-        maxMemoryInMB=512, cacheNodeIds=True, checkpointInterval=10)
+        maxMemoryInMB=512, checkpointInterval=10)
     if boost.getFeatureSubsetStrategy() in ("1.0", "1"):
         boost.setFeatureSubsetStrategy("all")
     return Model(name, predictors, params, stage=boost.fit(_rows(df, predictors, label)))

@@ -104,3 +104,27 @@ def test_totals_of_few_and_of_many_tasks_agree(toy, monkeypatch):
     monkeypatch.setattr(rounds, "COLLECTED", 0, raising=False)
     many = rounds.summed(packs, 3, 3, lambda x: x.sum(axis=0))
     assert few == pytest.approx(many) and few[2] == toy.where("label = 1").count()
+
+
+def test_trees_deal_rows_again_only_where_a_part_is_too_large(toy, monkeypatch):
+    from nichefield.models import trees
+
+    monkeypatch.setattr(trees, "ROWS_PER_PART", 700)
+    plan = lambda df: trees._rows(df, ["a", "b", "c"], "label")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" not in plan(toy).split("InMemoryRelation")[0] and "Repartition" in plan(toy.coalesce(2))
+
+
+def test_tree_queries_derive_their_records_once(spark, monkeypatch):
+    from nichefield.catalog import modelling as mo
+
+    fits, scored = [], []
+
+    class Fitted:
+        def score(self, df):
+            scored.append(df)
+            return df.withColumn("score", F.lit(0.5))
+
+    monkeypatch.setattr(mo, "fit", lambda name, df, *a, **k: fits.append(df) or Fitted())
+    d = type("D", (), {"matrix": spark.range(20).selectExpr("id as pid", "cast(id % 2 as int) as label", *[f"id * 1.0D as {c}" for c in mo.FEATURES])})()
+    mo._fit(d, "xgb")
+    assert fits[0] is scored[0] and "Project" not in fits[0]._jdf.queryExecution().optimizedPlan().toString()
